@@ -138,3 +138,61 @@ silver AS (
            AS relative_return_percentile
   FROM s7)
 """
+
+# The signal table (gold) on top of SILVER.
+GOLD = """
+g1 AS (
+  SELECT silver.*,
+    COALESCE(drawdown_percentile > 0.8, FALSE) AS signal_1,
+    COALESCE(drawdown_percentile > 0.85 AND volume_percentile > 0.9 AND vol_percentile > 0.85, FALSE) AS signal_2,
+    COALESCE(drawdown_percentile > 0.85 AND fwd_60d_skew > 0.0 AND fwd_60d_p95 > 2.0 * fwd_60d_median
+             AND fwd_60d_p5 > median_drawdown, FALSE) AS signal_3,
+    COALESCE(drawdown_percentile > 0.8 AND relative_return_percentile < 0.15
+             AND mean_reversion_score < -0.1, FALSE) AS signal_4,
+    COALESCE(drawdown_percentile > 0.9 AND volume_percentile > 0.9 AND relative_return_percentile < 0.15
+             AND fwd_60d_skew > 0.5 AND vol_regime = 'favorable', FALSE) AS signal_5
+  FROM silver),
+g2 AS (
+  SELECT g1.*, CAST(signal_1 AS INTEGER) + CAST(signal_2 AS INTEGER) + CAST(signal_3 AS INTEGER)
+               + CAST(signal_4 AS INTEGER) + CAST(signal_5 AS INTEGER) AS signal_score
+  FROM g1),
+g3 AS (
+  SELECT g2.*, PERCENT_RANK() OVER (PARTITION BY dt ORDER BY signal_score ASC NULLS FIRST,
+                                    drawdown_percentile ASC NULLS FIRST) AS rarity_percentile
+  FROM g2),
+g4 AS (
+  SELECT g3.*,
+    COALESCE(signal_score >= 4 AND rarity_percentile > 0.98 AND fwd_60d_skew > 1.0
+             AND relative_return_percentile < 0.05 AND vol_regime = 'favorable', FALSE) AS top_tier,
+    CASE WHEN fwd_60d_skew > 0.5 AND fwd_60d_median > 0.02 THEN 0.5
+         WHEN fwd_60d_skew > 0.3 AND ABS(fwd_60d_median) < 0.02 THEN 0.2
+         WHEN fwd_60d_skew < -0.3 THEN 0.1 ELSE 0.3 END AS buy_pct,
+    CASE WHEN fwd_60d_skew > 0.5 AND fwd_60d_median > 0.02 THEN 0.3
+         WHEN fwd_60d_skew > 0.3 AND ABS(fwd_60d_median) < 0.02 THEN 0.5
+         WHEN fwd_60d_skew < -0.3 THEN 0.1 ELSE 0.25 END AS call_pct,
+    CASE WHEN fwd_60d_skew > 0.5 AND fwd_60d_median > 0.02 THEN 0.1
+         WHEN fwd_60d_skew > 0.3 AND ABS(fwd_60d_median) < 0.02 THEN 0.2
+         WHEN fwd_60d_skew < -0.3 THEN 0.45 ELSE 0.25 END AS put_pct,
+    CASE WHEN fwd_60d_skew > 0.5 AND fwd_60d_median > 0.02 THEN 0.1
+         WHEN fwd_60d_skew > 0.3 AND ABS(fwd_60d_median) < 0.02 THEN 0.1
+         WHEN fwd_60d_skew < -0.3 THEN 0.35 ELSE 0.2 END AS short_pct
+  FROM g3),
+sz AS (
+  SELECT ticker, PERCENT_RANK() OVER (ORDER BY avg_volume ASC NULLS FIRST) AS size_percentile
+  FROM (SELECT ticker, AVG(volume) AS avg_volume FROM bars GROUP BY ticker)),
+g5 AS (
+  SELECT g4.*, sz.size_percentile,
+    1.0 + sz.size_percentile * 2.0 AS w0, 1.5 + sz.size_percentile * 2.5 AS h0,
+    1.0 + sz.size_percentile * 1.0 AS d0,
+    CAST(200 + FLOOR(POW(CAST(signal_score AS DOUBLE), 2.5) * 800) AS BIGINT) AS dens0
+  FROM g4 LEFT JOIN sz ON g4.ticker = sz.ticker),
+gold AS (
+  SELECT g5.* EXCLUDE (w0, h0, d0, dens0),
+    CASE WHEN top_tier THEN w0 * 2.5 ELSE w0 END AS width,
+    CASE WHEN top_tier THEN h0 * 2.5 ELSE h0 END AS height,
+    CASE WHEN top_tier THEN d0 * 2.5 ELSE d0 END AS depth,
+    CAST(signal_score AS DOUBLE) / 5.0 AS glow,
+    CASE WHEN top_tier THEN CAST(dens0 * 3 AS BIGINT) ELSE dens0 END AS density,
+    1.0 + CAST(signal_score AS DOUBLE) * 1.5 AS speed
+  FROM g5)
+"""
