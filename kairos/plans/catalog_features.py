@@ -10,7 +10,7 @@ from ..operators import windows as E
 from ..operators.joins import market_return, with_benchmark
 from ..registry import register
 from . import fixtures as FX
-from .silver import daily_features
+from .silver import core_features, daily_features
 from .sqltext import BARS, SILVER, W, dbl, rows, with_ctes
 
 S = with_ctes(BARS, SILVER)
@@ -18,20 +18,49 @@ BARS_ONLY = with_ctes(BARS)
 
 
 def _silver(spark, sf):
-    return daily_features(FX.bars(spark, sf))
+    return daily_features(FX.bars_table(spark, sf))
 
 
-def _q(name, cols, floats, ops, extra_sql_cols=None):
-    """Register a projection of the silver table."""
+def _bench_chain(b):
+    from .silver import benchmark_features, with_bench
+    return with_bench(E.with_returns(b), benchmark_features(b))
+
+
+BUILD = {
+    "core": lambda b: core_features(b),
+    "rsi": lambda b: E.with_rsi(E.with_returns(b)),
+    "macd": lambda b: E.with_macd(b),
+    "bollinger": lambda b: E.with_bollinger(b),
+    "atr_roc": lambda b: E.with_roc(E.with_atr(b)),
+    "zscore": lambda b: E.with_zscore(b),
+    "relative": lambda b: E.with_percent_rank(E.with_relative_return(_bench_chain(b)), "relative_return_20d",
+                                              "relative_return_percentile"),
+    "forward": lambda b: E.with_forward_distribution(E.with_forward_return(E.with_returns(b))),
+    "mean_rev": lambda b: E.with_mean_reversion(E.with_returns(b)),
+}
+
+
+def _q(name, cols, floats, ops, build, extra_sql_cols=None):
+    """Register a projection of the silver table (Spark side builds only the
+    operators the projection needs)."""
     sql_cols = ", ".join(extra_sql_cols or cols)
 
     @register(name, sql=S + f"SELECT ticker, dt, {sql_cols} FROM silver", floats=floats, ops=ops)
     def q(spark, sf):
-        return _silver(spark, sf).select("ticker", "dt", *cols)
+        b = FX.bars_table(spark, sf) if build in ("relative", "regime") else FX.bars(spark, sf)
+        if build == "regime":
+            return _regime(b).select("ticker", "dt", *cols)
+        return BUILD[build](b).select("ticker", "dt", *cols)
     q.__name__ = name
     return q
 
 
+def _regime(b):
+    from .silver import benchmark_features, with_bench
+    df = with_bench(E.with_drawdown(b), benchmark_features(b))
+    return df.withColumn("median_drawdown", F.percentile("drawdown_pct", 0.5).over(Window.partitionBy("ticker")))
+
+
 @register("bars", sql=BARS_ONLY + "SELECT * FROM bars", floats=("open", "high", "low", "close"),
           ops=("A5", "C1"))
 def q_bars(spark, sf):
@@ -40,29 +69,31 @@ def q_bars(spark, sf):
 
 
 _q("returns_drawdown", ["daily_return", "log_return", "running_max", "drawdown_pct", "drawdown_percentile"],
-   ["daily_return", "log_return", "running_max", "drawdown_pct", "drawdown_percentile"], ("E1", "E2", "E3"))
+   ["daily_return", "log_return", "running_max", "drawdown_pct", "drawdown_percentile"], ("E1", "E2", "E3"),
+   "core")
 _q("volatility", ["realized_vol_20d", "realized_vol_60d", "vol_percentile", "volume_percentile"],
-   ["realized_vol_20d", "realized_vol_60d", "vol_percentile", "volume_percentile"], ("E3", "E6"))
-_q("rsi", ["avg_gain_14", "avg_loss_14", "rsi_14"], ["avg_gain_14", "avg_loss_14", "rsi_14"], ("E8",))
+   ["realized_vol_20d", "realized_vol_60d", "vol_percentile", "volume_percentile"], ("E3", "E6"), "core")
+_q("rsi", ["avg_gain_14", "avg_loss_14", "rsi_14"], ["avg_gain_14", "avg_loss_14", "rsi_14"], ("E8",), "rsi")
 _q("macd_sma", ["ema_12", "ema_26", "macd_line", "macd_signal", "macd_histogram"],
-   ["ema_12", "ema_26", "macd_line", "macd_signal", "macd_histogram"], ("E9",))
+   ["ema_12", "ema_26", "macd_line", "macd_signal", "macd_histogram"], ("E9",), "macd")
 _q("bollinger", ["bb_mid", "bb_std", "bb_upper", "bb_lower", "bb_pct_b", "bb_width"],
-   ["bb_mid", "bb_std", "bb_upper", "bb_lower", "bb_pct_b", "bb_width"], ("E11",))
+   ["bb_mid", "bb_std", "bb_upper", "bb_lower", "bb_pct_b", "bb_width"], ("E11",), "bollinger")
 _q("atr_roc", ["true_range", "atr_14", "roc_5", "roc_20", "roc_60"],
-   ["true_range", "atr_14", "roc_5", "roc_20", "roc_60"], ("E12", "E13"))
-_q("zscores", ["zscore_20d", "zscore_60d"], ["zscore_20d", "zscore_60d"], ("E14",))
+   ["true_range", "atr_14", "roc_5", "roc_20", "roc_60"], ("E12", "E13"), "atr_roc")
+_q("zscores", ["zscore_20d", "zscore_60d"], ["zscore_20d", "zscore_60d"], ("E14",), "zscore")
 _q("relative_return", ["bench_return", "relative_return", "relative_return_20d", "relative_return_percentile"],
-   ["bench_return", "relative_return", "relative_return_20d", "relative_return_percentile"], ("C3", "E16", "E3"))
+   ["bench_return", "relative_return", "relative_return_20d", "relative_return_percentile"], ("C3", "E16", "E3"),
+   "relative")
 _q("forward_returns", ["fwd_return_5d", "fwd_return_20d", "fwd_return_60d"],
-   ["fwd_return_5d", "fwd_return_20d", "fwd_return_60d"], ("E19",))
+   ["fwd_return_5d", "fwd_return_20d", "fwd_return_60d"], ("E19",), "forward")
 _q("forward_distribution", ["fwd_60d_skew", "fwd_60d_p5", "fwd_60d_p25", "fwd_60d_median", "fwd_60d_p75",
                             "fwd_60d_p95"],
    ["fwd_60d_skew", "fwd_60d_p5", "fwd_60d_p25", "fwd_60d_median", "fwd_60d_p75", "fwd_60d_p95"],
-   ("E20", "U1", "U2"))
+   ("E20", "U1", "U2"), "forward")
 _q("mean_reversion", ["rolling_return_20d", "rolling_return_lag1", "mean_reversion_score"],
-   ["rolling_return_20d", "rolling_return_lag1", "mean_reversion_score"], ("E21",))
+   ["rolling_return_20d", "rolling_return_lag1", "mean_reversion_score"], ("E21",), "mean_rev")
 _q("vol_regime", ["bench_vol_20d", "bench_vol_threshold", "vol_regime", "median_drawdown"],
-   ["bench_vol_20d", "bench_vol_threshold", "median_drawdown"], ("E27", "C5", "C6", "D9"))
+   ["bench_vol_20d", "bench_vol_threshold", "median_drawdown"], ("E27", "C5", "C6", "D9"), "regime")
 
 
 @register("vol_term_structure",

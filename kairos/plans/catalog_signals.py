@@ -21,7 +21,7 @@ FLAGS = ["signal_1", "signal_2", "signal_3", "signal_4", "signal_5"]
 
 
 def gold(spark, sf):
-    return signal_table(daily_features(FX.bars(spark, sf)))
+    return signal_table(daily_features(FX.bars_table(spark, sf)))
 
 
 @register("signals", sql=G + f"SELECT ticker, dt, {', '.join(FLAGS)}, signal_score FROM gold",

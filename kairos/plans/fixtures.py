@@ -76,6 +76,20 @@ def bars(spark: SparkSession, sf_dir: str, benchmark: str = BENCHMARK) -> DataFr
         .unionByName(mkt).select(*cols)
 
 
+def bars_table(spark: SparkSession, sf_dir: str, benchmark: str = BENCHMARK) -> DataFrame:
+    """``bars`` materialised once into the shared checkpoint folder.
+
+    Feature plans read the bar table on several branches (instruments,
+    benchmark, size rank); a reliable checkpoint turns those into scans of
+    one small table (instruments x dates) instead of repeated aggregations
+    of the trade table, and cuts the lineage so a lost executor recomputes
+    from the checkpoint, not from the raw trades.
+    """
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    return bars(spark, sf_dir, benchmark).checkpoint(eager=True)
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """News articles from ``documents``: whole text as the title."""
     d = load(spark, sf_dir, "documents")

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import windows as E
-from ..operators.joins import with_benchmark
 from .fixtures import BENCHMARK
 
 
@@ -27,17 +26,25 @@ def core_features(bars: DataFrame) -> DataFrame:
     return df
 
 
-def with_vol_regime(df: DataFrame, benchmark=BENCHMARK, q=0.8) -> DataFrame:
-    """Favourable when the benchmark's 20-day vol is below its own
-    ``q`` quantile (exact, linear); null benchmark vol -> elevated.
+def benchmark_features(bars: DataFrame, benchmark=BENCHMARK, q=0.8) -> DataFrame:
+    """C3 + E27 inputs: the benchmark's return, close, 20-day vol and the
+    ``q`` quantile of that vol, one row per date.
 
-    The threshold is a window over the benchmark's own rows (one per date),
-    so the scalar never travels through the driver and no cross join runs.
+    Computed from the benchmark's own bars only (a one-instrument chain),
+    so it is bounded by the calendar and is broadcast to the fact side.
+    The threshold is a window over these rows: the scalar never passes
+    through the driver and no cross join is planned.
     """
-    bench = df.filter(F.col("ticker") == benchmark).select(
-        F.col("dt").alias("__bt"), F.col("realized_vol_20d").alias("bench_vol_20d"))
-    bench = bench.withColumn("bench_vol_threshold",
-                             F.percentile("bench_vol_20d", q).over(Window.partitionBy()))
+    b = bars.filter(F.col("ticker") == benchmark)
+    b = E.with_realised_vol(E.with_returns(b), ns=(20,))
+    b = b.select(F.col("dt").alias("__bt"), F.col("daily_return").alias("bench_return"),
+                 F.col("close").alias("bench_close"), F.col("realized_vol_20d").alias("bench_vol_20d"))
+    return b.withColumn("bench_vol_threshold", F.percentile("bench_vol_20d", q).over(Window.partitionBy()))
+
+
+def with_bench(df: DataFrame, bench: DataFrame) -> DataFrame:
+    """Broadcast join of the per-date benchmark row; keeps the ticker
+    partitioning of ``df`` so later windows do not re-shuffle."""
     df = df.join(F.broadcast(bench), F.col("dt") == F.col("__bt"), "left").drop("__bt")
     return df.withColumn("vol_regime", F.when(F.col("bench_vol_20d") < F.col("bench_vol_threshold"),
                                               F.lit("favorable")).otherwise(F.lit("elevated")))
@@ -45,7 +52,12 @@ def with_vol_regime(df: DataFrame, benchmark=BENCHMARK, q=0.8) -> DataFrame:
 
 def daily_features(bars: DataFrame, benchmark=BENCHMARK, rsi_zero_loss="cap",
                    macd_kind="sma") -> DataFrame:
-    """All silver features."""
+    """All silver features.
+
+    ``bars`` is read twice (instruments and benchmark): pass a materialised
+    table (``fixtures.bars_table``) so the second read is a scan, not a
+    recomputation of the bar aggregation.
+    """
     df = core_features(bars)
     df = E.with_rsi(df, zero_loss=rsi_zero_loss)
     df = E.with_macd(df, kind=macd_kind)
@@ -53,13 +65,12 @@ def daily_features(bars: DataFrame, benchmark=BENCHMARK, rsi_zero_loss="cap",
     df = E.with_atr(df)
     df = E.with_roc(df)
     df = E.with_zscore(df)
-    df = with_benchmark(df, benchmark)
+    df = with_bench(df, benchmark_features(bars, benchmark))
     df = E.with_relative_return(df)
     df = E.with_percent_rank(df, "relative_return_20d", "relative_return_percentile")
     df = E.with_forward_return(df)
     df = E.with_forward_distribution(df)
     df = E.with_mean_reversion(df)
-    df = with_vol_regime(df, benchmark)
     df = df.withColumn("median_drawdown",
                        F.percentile("drawdown_pct", 0.5).over(Window.partitionBy("ticker")))
     return df
