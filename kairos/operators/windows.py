@@ -141,25 +141,41 @@ def with_rsi(df: DataFrame, n=14, ret="daily_return", zero_loss="cap", min_perio
     return df.withColumn(f"rsi_{n}", rsi)
 
 
-def ema_horizon(span: int) -> int:
-    """Rows after which the dropped weight (1-a)^h is below 2^-60."""
-    a = 2.0 / (span + 1.0)
-    return int(math.ceil(60 * math.log(2.0) / -math.log(1.0 - a))) + 1
-
-
-def ema(value: str, span: int, k="ticker", t="dt") -> Column:
-    """Exponential mean with ``adjust=False``: y0 = x0, y = (1-a)y' + a x.
-
-    Evaluated as a left fold over the trailing ``ema_horizon(span)`` rows,
-    so it stays a bounded frame aggregate (no per-key state, no Python);
-    for rows within the horizon it is the exact recursion, beyond it the
-    dropped weight is below 2^-60 of the value.
+def ema_columns(df: DataFrame, specs, k="ticker", t="dt") -> DataFrame:
+    """Exponential means with ``adjust=False`` (y0 = x0, y = y'(1-a) + x a).
+
+    ``specs``: list of (out, source, span), or (out, fn) for a derived
+    column ``fn(pdf)``; a later spec may read an earlier output. The recursion is sequential per key, so it runs as one grouped
+    ``applyInPandas`` pass per instrument: a group is one instrument's bar
+    history, bounded by the calendar, and the output keeps the key
+    partitioning, so following windows on the same key do not re-shuffle.
     """
-    a = 2.0 / (span + 1.0)
-    h = ema_horizon(span)
-    arr = F.collect_list(value).over(w(k, t).rowsBetween(-(h - 1), 0))
-    return F.aggregate(F.slice(arr, 2, h), F.element_at(arr, 1),
-                       lambda acc, x: acc * F.lit(1.0 - a) + x * F.lit(a))
+    from pyspark.sql import types as T
+    import numpy as np
+
+    fields = list(df.schema.fields) + [T.StructField(sp[0], T.DoubleType()) for sp in specs]
+    schema = T.StructType(fields)
+    names = [f.name for f in fields]
+
+    def run(pdf):
+        pdf = pdf.sort_values(t, kind="mergesort")
+        for sp in specs:
+            if len(sp) == 2:
+                pdf[sp[0]] = sp[1](pdf).astype("float64")
+                continue
+            out, src, span = sp
+            a = 2.0 / (span + 1.0)
+            b = 1.0 - a
+            x = pdf[src].to_numpy(dtype="float64")
+            y = np.empty(len(x))
+            acc = np.nan
+            for i in range(len(x)):
+                acc = x[i] if i == 0 else acc * b + x[i] * a
+                y[i] = acc
+            pdf[out] = y
+        return pdf[names]
+
+    return df.groupBy(k).applyInPandas(run, schema)
 
 
 def with_macd(df: DataFrame, fast=12, slow=26, signal=9, kind="sma", price="close",
@@ -175,9 +191,10 @@ def with_macd(df: DataFrame, fast=12, slow=26, signal=9, kind="sma", price="clos
         df = df.withColumn("macd_line", F.col(f"ema_{fast}") - F.col(f"ema_{slow}"))
         df = df.withColumn("macd_signal", F.avg("macd_line").over(frame(signal, k, t)))
     else:
-        df = df.withColumns({f"ema_{fast}": ema(price, fast, k, t), f"ema_{slow}": ema(price, slow, k, t)})
-        df = df.withColumn("macd_line", F.col(f"ema_{fast}") - F.col(f"ema_{slow}"))
-        df = df.withColumn("macd_signal", ema("macd_line", signal, k, t))
+        ef, es = f"ema_{fast}", f"ema_{slow}"
+        df = ema_columns(df, [(ef, price, fast), (es, price, slow),
+                              ("macd_line", lambda p: p[ef] - p[es]),
+                              ("macd_signal", "macd_line", signal)], k, t)
     return df.withColumn("macd_histogram", F.col("macd_line") - F.col("macd_signal"))
 
 
@@ -306,7 +323,7 @@ def with_autocorr(df: DataFrame, col="daily_return", n=60, out="autocorr_lag1",
                   k="ticker", t="dt") -> DataFrame:
     """Lag-1 autocorrelation inside a full ``n``-row frame (n-1 pairs)."""
     df = df.withColumn("__lag1", F.lag(col, 1).over(w(k, t)))
-    full = F.count(F.lit(1)).over(frame(n, k, t)) == n
+    full = F.count(col).over(frame(n, k, t)) == n
     val = safe_corr(col, "__lag1", w(k, t).rowsBetween(-(n - 2), 0))
     return df.withColumn(out, F.when(full, val)).drop("__lag1")
 
@@ -416,3 +433,68 @@ def grid_positions(df: DataFrame, by, order) -> DataFrame:
     df = df.withColumn("grid_cols", F.ceil(F.sqrt(F.col("group_n").cast("double"))).cast("int"))
     return df.withColumns({"grid_row": (F.col("idx") / F.col("grid_cols")).cast("int"),
                            "grid_col": (F.col("idx") % F.col("grid_cols")).cast("int")})
+
+
+# --- E26: Hurst exponent ------------------------------------------------------
+
+def hurst_array(ret, n=252, max_lag=20):
+    """Rolling R/S Hurst exponent over the previous ``n`` values (numpy).
+
+    Row i (i >= n) uses ret[i-n:i]; lags 2..max_lag-1; chunks of each lag
+    start at 0, lag, ... while start < n - lag; chunks with NaN or zero std
+    are skipped; slope of log(mean R/S) on log(lag) over >= 3 valid lags,
+    clipped to [0, 1]; fewer valid lags -> 0.5. Rows before ``n`` -> NaN.
+    """
+    import numpy as np
+    from numpy.lib.stride_tricks import sliding_window_view
+
+    x = np.asarray(ret, dtype="float64")
+    out = np.full(len(x), np.nan)
+    if len(x) <= n:
+        return out
+    win = sliding_window_view(x, n)[: len(x) - n]  # win[j] = x[j:j+n] -> row j+n
+    lags = np.arange(2, max_lag)
+    taus = np.full((win.shape[0], len(lags)), np.nan)
+    for li, lag in enumerate(lags):
+        m = len(range(0, n - lag, lag))
+        ch = win[:, : m * lag].reshape(win.shape[0], m, lag)
+        mean = ch.mean(axis=2, keepdims=True)
+        cum = np.cumsum(ch - mean, axis=2)
+        r = cum.max(axis=2) - cum.min(axis=2)
+        sd = ch.std(axis=2, ddof=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            ok = np.isfinite(sd) & (sd > 0) & np.isfinite(r)
+            rs = np.where(ok, r / np.where(ok, sd, 1.0), 0.0)
+            cnt = ok.sum(axis=1)
+            taus[:, li] = np.where(cnt > 0, rs.sum(axis=1) / np.maximum(cnt, 1), np.nan)
+    lx = np.log(lags.astype("float64"))
+    valid = np.isfinite(taus) & (taus > 0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        ly = np.where(valid, np.log(np.where(valid, taus, 1.0)), 0.0)
+    k = valid.sum(axis=1)
+    sx = (valid * lx).sum(axis=1)
+    sy = ly.sum(axis=1)
+    sxx = (valid * lx * lx).sum(axis=1)
+    sxy = (ly * lx).sum(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        slope = (k * sxy - sx * sy) / (k * sxx - sx * sx)
+    h = np.where(k >= 3, np.clip(slope, 0.0, 1.0), 0.5)
+    out[n:] = h
+    return out
+
+
+def with_hurst(df: DataFrame, col="daily_return", n=252, max_lag=20, out="hurst_exponent",
+               k="ticker", t="dt") -> DataFrame:
+    """Rolling Hurst exponent per instrument (grouped ``applyInPandas``;
+    one group = one instrument's history, bounded by the calendar)."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.DoubleType())])
+    names = schema.fieldNames()
+
+    def run(pdf):
+        pdf = pdf.sort_values(t, kind="mergesort")
+        pdf[out] = hurst_array(pdf[col].to_numpy(dtype="float64"), n, max_lag)
+        return pdf[names]
+
+    return df.groupBy(k).applyInPandas(run, schema)

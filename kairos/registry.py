@@ -41,7 +41,8 @@ def finish(q: Query, df: DataFrame) -> DataFrame:
     scale = float(10 ** q.digits)
     # round(x * 10^d) / 10^d: the scaled value is the same double in both
     # engines and both round it half away from zero, so results are equal.
-    return df.withColumns({c: F.round(F.col(c) * F.lit(scale)) / F.lit(scale) for c in q.floats})
+    # "+ 0.0" turns a negative zero into 0.0 in both engines.
+    return df.withColumns({c: F.round(F.col(c) * F.lit(scale)) / F.lit(scale) + F.lit(0.0) for c in q.floats})
 
 
 def oracle_text(q: Query) -> str | None:
@@ -50,7 +51,7 @@ def oracle_text(q: Query) -> str | None:
     if not q.floats:
         return q.sql
     scale = f"{float(10 ** q.digits)!r}e0".replace(".0e0", "e0")
-    rep = ", ".join(f"ROUND({c} * {scale}) / {scale} AS {c}" for c in q.floats)
+    rep = ", ".join(f"ROUND({c} * {scale}) / {scale} + CAST(0 AS DOUBLE) AS {c}" for c in q.floats)
     return f"SELECT * REPLACE ({rep}) FROM (\n{q.sql}\n) AS oracle_q"
 
 
