@@ -73,6 +73,12 @@ TOPIC_RULES = [
 WORD_RE = r"[\p{L}\p{N}_]+"
 
 
+def ascii_upper(text) -> Column:
+    """Upper-case ASCII letters only (locale-free and identical in every
+    engine; full Unicode upper-casing turns e.g. 'ß' into 'SS')."""
+    return F.translate(col_(text), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 def match_keywords(text, keywords: dict[str, list[str]], whole_word=False) -> Column:
     """L1: instruments whose keywords occur in the text (case-insensitive
     substring; ``whole_word`` requires word boundaries), in dict order."""

@@ -194,11 +194,11 @@ def _sym_sql(col):
 
 
 @register("extract_symbols", sql=with_ctes(POSTS) + f"""
-SELECT id, {_sym_sql("upper(title || ' ' || selftext)")} AS symbols FROM posts""", ops=("L2",))
+SELECT id, {_sym_sql("translate(title || ' ' || selftext, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')")} AS symbols FROM posts""", ops=("L2",))
 def q_extract_symbols(spark, sf):
     """Symbols mentioned in each post (upper-cased whole text)."""
     p = _posts(spark, sf)
-    return p.select("id", TX.extract_symbols(F.upper(F.concat_ws(" ", "title", "selftext"))).alias("symbols"))
+    return p.select("id", TX.extract_symbols(TX.ascii_upper(F.concat_ws(" ", "title", "selftext"))).alias("symbols"))
 
 
 @register("ingest_posts", sql=with_ctes(POSTS) + """
@@ -224,16 +224,16 @@ def q_daily_activity(spark, sf):
 
 
 @register("valid_symbols", sql=with_ctes(POSTS).rstrip() + """,
-cand AS (SELECT DISTINCT id, UNNEST(regexp_extract_all(upper(title), '[\\pL\\pN_]+')) AS symbol FROM posts),
-uni AS (SELECT DISTINCT UNNEST(regexp_extract_all(upper(text), '[\\pL\\pN_]+')) AS w FROM benchmark)
+cand AS (SELECT DISTINCT id, UNNEST(regexp_extract_all(translate(title, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[\\pL\\pN_]+')) AS symbol FROM posts),
+uni AS (SELECT DISTINCT UNNEST(regexp_extract_all(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[\\pL\\pN_]+')) AS w FROM benchmark)
 SELECT id, symbol FROM cand WHERE regexp_full_match(symbol, '[A-Z]{2,5}') AND symbol IN (SELECT w FROM uni)""",
           ops=("C20",))
 def q_valid_symbols(spark, sf):
     """Candidate symbols in posts that exist in the known word universe
     (2-5 capital-letter words of the benchmark table)."""
-    p = _posts(spark, sf).select("id", F.explode(TX.candidate_symbols(F.upper("title"))).alias("symbol"))
+    p = _posts(spark, sf).select("id", F.explode(TX.candidate_symbols(TX.ascii_upper("title"))).alias("symbol"))
     uni = load(spark, sf, "benchmark").select(
-        F.explode(F.regexp_extract_all(F.upper("text"), F.lit(TX.WORD_RE), 0)).alias("ticker"))
+        F.explode(F.regexp_extract_all(TX.ascii_upper("text"), F.lit(TX.WORD_RE), 0)).alias("ticker"))
     return valid_symbols(p, uni, "symbol", "ticker")
 
 
