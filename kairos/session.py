@@ -62,3 +62,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A table location next to the checkpoint folder (shared storage)."""
     base = checkpoint_dir(spark)
     return os.path.join(base.replace("file:", ""), "tables", name)
+
+
+def materialize(df):
+    """Reliable checkpoint into the shared checkpoint folder: the result is
+    computed once, later plans scan it, and a lost executor recomputes from
+    the checkpoint instead of the whole lineage. Used for small tables that
+    iterative operators read on every step (graph adjacency, frontiers)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
