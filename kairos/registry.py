@@ -58,7 +58,7 @@ def oracle_text(q: Query) -> str | None:
 def _load_all():
     # Importing the catalog modules fills REGISTRY.
     for mod in ("catalog_features", "catalog_signals", "catalog_text", "catalog_quality", "catalog_graph", "catalog_decide",
-                "catalog_ml", "catalog_docs", "catalog_reports"):
+                "catalog_ml", "catalog_docs", "catalog_reports", "catalog_stream"):
         try:
             __import__(f"kairos.plans.{mod}")
         except ModuleNotFoundError as e:  # module not written yet

@@ -23,8 +23,12 @@ def main():
     for n in names:
         t = time.time()
         if n not in orc:
-            rows = qs[n](spark, sf).count()
-            print(f"{n:32s} rows-only {rows} ({time.time() - t:.1f}s)")
+            try:
+                rows = qs[n](spark, sf).count()
+                print(f"{n:32s} rows-only {rows} ({time.time() - t:.1f}s)")
+            except Exception as e:  # noqa: BLE001
+                bad += 1
+                print(f"{n:32s} FAIL rows-only ERROR {type(e).__name__}: {str(e)[:800]}")
             continue
         try:
             probs, rows, h = compare(spark, n, sf, qs, orc)
