@@ -56,8 +56,16 @@ def with_drawdown(df: DataFrame, price="close", k="ticker", t="dt") -> DataFrame
 
 # --- E3, E4, E5: percentile ranks -------------------------------------------
 
+def rank_key(c, digits: int = 10) -> Column:
+    """Ranking key: the value rounded to ``digits`` decimals, so that
+    equal values reached by different summation orders tie instead of
+    being ordered by last-bit noise."""
+    s = float(10 ** digits)
+    return F.round(col_(c) * F.lit(s)) / F.lit(s)
+
+
 def with_percent_rank(df: DataFrame, col: str, out: str, k="ticker", method="min",
-                      ascending=True) -> DataFrame:
+                      ascending=True, round_digits: int | None = None) -> DataFrame:
     """Full-history percentile rank of ``col`` within ``k``.
 
     ``method="min"``: Spark ``percent_rank`` (nulls sort first and count).
@@ -65,6 +73,10 @@ def with_percent_rank(df: DataFrame, col: str, out: str, k="ticker", method="min
     among non-null values divided by the non-null count; null stays null.
     """
     part = [k] if isinstance(k, str) else list(k)
+    if round_digits is not None:
+        key = f"__rk_{out}"
+        df = df.withColumn(key, rank_key(col, round_digits))
+        return with_percent_rank(df, key, out, k, method, ascending).drop(key)
     if method == "min":
         o = F.col(col).asc_nulls_first() if ascending else F.col(col).desc_nulls_last()
         return df.withColumn(out, F.percent_rank().over(Window.partitionBy(*part).orderBy(o)))

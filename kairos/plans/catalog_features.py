@@ -34,7 +34,7 @@ BUILD = {
     "atr_roc": lambda b: E.with_roc(E.with_atr(b)),
     "zscore": lambda b: E.with_zscore(b),
     "relative": lambda b: E.with_percent_rank(E.with_relative_return(_bench_chain(b)), "relative_return_20d",
-                                              "relative_return_percentile"),
+                                              "relative_return_percentile", round_digits=10),
     "forward": lambda b: E.with_forward_distribution(E.with_forward_return(E.with_returns(b))),
     "mean_rev": lambda b: E.with_mean_reversion(E.with_returns(b)),
 }

@@ -21,7 +21,7 @@ def core_features(bars: DataFrame) -> DataFrame:
     df = E.with_drawdown(df)
     df = E.with_realised_vol(df)
     df = E.with_percent_rank(df, "drawdown_pct", "drawdown_percentile")
-    df = E.with_percent_rank(df, "realized_vol_20d", "vol_percentile")
+    df = E.with_percent_rank(df, "realized_vol_20d", "vol_percentile", round_digits=10)
     df = E.with_percent_rank(df, "volume", "volume_percentile")
     return df
 
@@ -67,7 +67,7 @@ def daily_features(bars: DataFrame, benchmark=BENCHMARK, rsi_zero_loss="cap",
     df = E.with_zscore(df)
     df = with_bench(df, benchmark_features(bars, benchmark))
     df = E.with_relative_return(df)
-    df = E.with_percent_rank(df, "relative_return_20d", "relative_return_percentile")
+    df = E.with_percent_rank(df, "relative_return_20d", "relative_return_percentile", round_digits=10)
     df = E.with_forward_return(df)
     df = E.with_forward_distribution(df)
     df = E.with_mean_reversion(df)

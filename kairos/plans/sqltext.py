@@ -107,7 +107,7 @@ s4 AS (
          CASE WHEN fwd_n >= 10 THEN fwd_q[4] END AS fwd_60d_p75,
          CASE WHEN fwd_n >= 10 THEN fwd_q[5] END AS fwd_60d_p95,
          PERCENT_RANK() OVER (PARTITION BY ticker ORDER BY drawdown_pct ASC NULLS FIRST) AS drawdown_percentile,
-         PERCENT_RANK() OVER (PARTITION BY ticker ORDER BY realized_vol_20d ASC NULLS FIRST) AS vol_percentile,
+         PERCENT_RANK() OVER (PARTITION BY ticker ORDER BY ROUND(realized_vol_20d * 1e10) / 1e10 ASC NULLS FIRST) AS vol_percentile,
          PERCENT_RANK() OVER (PARTITION BY ticker ORDER BY volume ASC NULLS FIRST) AS volume_percentile,
          QUANTILE_CONT(drawdown_pct, 0.5) OVER (PARTITION BY ticker) AS median_drawdown
   FROM s3),
@@ -134,7 +134,7 @@ s7 AS (
   SELECT s6.*, SUM(relative_return) {rows(20)} AS relative_return_20d FROM s6),
 silver AS (
   SELECT s7.*,
-         PERCENT_RANK() OVER (PARTITION BY ticker ORDER BY relative_return_20d ASC NULLS FIRST)
+         PERCENT_RANK() OVER (PARTITION BY ticker ORDER BY ROUND(relative_return_20d * 1e10) / 1e10 ASC NULLS FIRST)
            AS relative_return_percentile
   FROM s7)
 """
