@@ -11,14 +11,14 @@ from ..operators.joins import filter_periods
 from ..registry import register
 from . import fixtures as FX
 from .gold import signal_table
-from .silver import daily_features
+from .silver import daily_features, silver_table
 from .sqltext import BARS, GOLD, SILVER, with_ctes
 
 MIN_INSTRUMENTS = 10
 
 
 def _stocks(spark, sf):
-    g = signal_table(daily_features(FX.bars_table(spark, sf)))
+    g = signal_table(silver_table(spark, sf))
     s = filter_periods(g, "dt", FX.scenarios(spark))
     n = F.count(F.lit(1)).over(Window.partitionBy("scenario_id", "dt"))
     return s.withColumn("__n", n).filter(F.col("__n") >= MIN_INSTRUMENTS).drop("__n"), g

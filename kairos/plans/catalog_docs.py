@@ -12,13 +12,13 @@ from ..sources import load
 from . import fixtures as FX
 from . import payload as PL
 from .gold import signal_table
-from .silver import daily_features
+from .silver import daily_features, silver_table
 
 
 @register("snapshot_payload", ops=("A14", "B3", "B4", "B10", "L12"))
 def q_snapshot(spark, sf):
     """Snapshot documents: latest row per instrument, one JSON per sector."""
-    return PL.build_snapshot_payload(signal_table(daily_features(FX.bars_table(spark, sf))))
+    return PL.build_snapshot_payload(signal_table(silver_table(spark, sf)))
 
 
 @register("graph_payload", ops=("A15", "G13"))
@@ -35,7 +35,7 @@ def q_scenario_payload(spark, sf):
     from ..operators.decide import aggregate_flows, benchmark_regimes
     from .catalog_decide import flows
     agg = aggregate_flows(flows(spark, sf))
-    reg = benchmark_regimes(daily_features(FX.bars_table(spark, sf)))
+    reg = benchmark_regimes(silver_table(spark, sf))
     return PL.build_scenario_payload(agg, reg)
 
 

@@ -10,7 +10,7 @@ from ..operators import windows as E
 from ..operators.joins import market_return
 from ..registry import register
 from . import fixtures as FX
-from .silver import core_features, daily_features
+from .silver import core_features, daily_features, silver_table
 from .sqltext import BARS, SILVER, W, dbl, rows, with_ctes
 
 S = with_ctes(BARS, SILVER)
@@ -18,7 +18,7 @@ BARS_ONLY = with_ctes(BARS)
 
 
 def _silver(spark, sf):
-    return daily_features(FX.bars_table(spark, sf))
+    return silver_table(spark, sf)
 
 
 def _bench_chain(b):

@@ -223,7 +223,7 @@ def q_intensity(spark, sf):
     direction bias of every reached instrument (crash)."""
     from ..operators.ranking import latest_per_key
     from .gold import signal_table
-    from .silver import daily_features
+    from .silver import daily_features, silver_table
     reached = G.intensity_shock(_edges(spark, sf), "MKT")
-    g = latest_per_key(signal_table(daily_features(FX.bars_table(spark, sf))))
+    g = latest_per_key(signal_table(silver_table(spark, sf)))
     return G.apply_shock(g.select("ticker", "buy_pct", "call_pct", "put_pct", "short_pct"), reached, "MKT")

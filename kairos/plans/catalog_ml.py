@@ -11,7 +11,7 @@ from ..operators.decide import benchmark_regimes
 from ..registry import register
 from ..sources import load
 from . import fixtures as FX
-from .silver import daily_features
+from .silver import daily_features, silver_table
 from .sqltext import BARS, SILVER, W, rows, with_ctes
 
 
@@ -60,7 +60,7 @@ SELECT prev_label, next_label, COUNT(*) AS n, COUNT(*) * 1.0 / SUM(COUNT(*)) OVE
 FROM p WHERE prev_label IS NOT NULL GROUP BY 1, 2""", floats=("share",), ops=("D17", "E35"))
 def q_regime_transitions(spark, sf):
     """Transition counts between consecutive regime labels and row shares."""
-    return N.regime_transitions(benchmark_regimes(daily_features(FX.bars_table(spark, sf))))
+    return N.regime_transitions(benchmark_regimes(silver_table(spark, sf)))
 
 
 @register("label_actions", sql=with_ctes(BARS, SILVER).rstrip() + """,
@@ -103,7 +103,7 @@ FEATURES = ["daily_return", "drawdown_pct", "drawdown_percentile", "realized_vol
 def q_action_model(spark, sf):
     """Random forest on the time split; per-class and summary metrics on
     the test dates, plus the predicted-action distribution."""
-    s = daily_features(FX.bars_table(spark, sf))
+    s = silver_table(spark, sf)
     lab = N.time_split(N.label_actions(s))
     model = N.train_actions(lab, FEATURES)
     test = lab.filter(F.col("is_test")).dropna(subset=FEATURES)

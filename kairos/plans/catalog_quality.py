@@ -13,14 +13,14 @@ from ..registry import register
 from ..sources import load
 from . import fixtures as FX
 from .gold import signal_table
-from .silver import daily_features
+from .silver import daily_features, silver_table
 from .sqltext import BARS, GOLD, SILVER, with_ctes
 
 G = with_ctes(BARS, SILVER, GOLD)
 
 
 def _silver(spark, sf):
-    return daily_features(FX.bars_table(spark, sf))
+    return silver_table(spark, sf)
 
 
 def _gold(spark, sf):
@@ -107,7 +107,7 @@ FROM allc GROUP BY layer""", ops=("M6",))
 def q_quality_report(spark, sf):
     """Per-layer check summary."""
     b = FX.bars_table(spark, sf)
-    s = daily_features(b)
+    s = silver_table(spark, sf)
     checks = M.bronze_checks(b).unionByName(M.silver_checks(s)).unionByName(M.gold_checks(signal_table(s)))
     return M.quality_report(checks)
 
@@ -124,7 +124,7 @@ FROM (SELECT COUNT(*) AS upper_rows FROM bars) u,
 def q_layer_integrity(spark, sf):
     """Row loss between bars and rows with a return; instruments lost."""
     b = FX.bars_table(spark, sf)
-    lower = daily_features(b).filter(F.col("daily_return").isNotNull())
+    lower = silver_table(spark, sf).filter(F.col("daily_return").isNotNull())
     return M.layer_integrity(b, lower)
 
 
@@ -140,8 +140,7 @@ SELECT COUNT(*) AS compared, COUNT(*) FILTER (WHERE ABS(g.close - s.close) > 0.0
 FROM gold g JOIN silver s ON g.ticker = s.ticker AND g.dt = s.dt""", ops=("M10", "C10"))
 def q_values_match(spark, sf):
     """Signal-table close equals feature-table close on every key."""
-    b = FX.bars_table(spark, sf)
-    s = daily_features(b)
+    s = silver_table(spark, sf)
     return M.values_match(signal_table(s), s, ["ticker", "dt"], "close")
 
 

@@ -18,7 +18,7 @@ from ..sources.files import ingest_articles
 from . import fixtures as FX
 from .catalog_text import ARTICLES, DAILY_NEWS, EXPLODED
 from .gold import signal_table
-from .silver import daily_features
+from .silver import daily_features, silver_table
 from .sqltext import BARS, GOLD, SILVER, with_ctes
 
 G = with_ctes(BARS, SILVER, GOLD)
@@ -88,7 +88,7 @@ SELECT sector,
 FROM x WHERE pick <= 3""", ops=("P12", "H2"))
 def q_sector_reports(spark, sf):
     """Per-sector sentiment, risk and top-3 picks from the latest rows."""
-    g = latest_per_key(signal_table(daily_features(FX.bars_table(spark, sf))))
+    g = latest_per_key(signal_table(silver_table(spark, sf)))
     return R.sector_reports(g)
 
 
@@ -147,7 +147,7 @@ SELECT 'short' AS side, ticker, signal_score, drawdown_pct FROM (
           floats=("drawdown_pct",), ops=("K5", "K6", "H3"))
 def q_long_short(spark, sf):
     """Union of long picks (highest score) and short picks (lowest)."""
-    g = latest_per_key(signal_table(daily_features(FX.bars_table(spark, sf)))).select(
+    g = latest_per_key(signal_table(silver_table(spark, sf))).select(
         "ticker", "signal_score", "drawdown_pct")
     lo = top_n(g, [F.col("signal_score").desc(), F.col("drawdown_pct"), F.col("ticker")], 3) \
         .withColumn("side", F.lit("long"))
@@ -171,7 +171,7 @@ FROM lt""", floats=("buy_pct", "call_pct", "put_pct", "short_pct", "p5", "p95",
 def q_bias_fallback(spark, sf):
     """Momentum/drawdown bias heuristic and the sketched forward distribution
     on each instrument's latest row."""
-    g = latest_per_key(signal_table(daily_features(FX.bars_table(spark, sf))))
+    g = latest_per_key(signal_table(silver_table(spark, sf)))
     b = direction_bias_momentum()
     d = approx_distribution()
     return g.select("ticker", *[v.alias(k) for k, v in b.items()], d["p5"].alias("p5"), d["p95"].alias("p95"),
@@ -224,7 +224,7 @@ def q_ml_bias(spark, sf):
     momentum heuristic."""
     from ..operators import ml as N
     from .catalog_ml import FEATURES
-    s = daily_features(FX.bars_table(spark, sf))
+    s = silver_table(spark, sf)
     lab = N.time_split(N.label_actions(s))
     model = N.train_actions(lab, FEATURES)
     scored = N.score_actions(model, lab.filter(F.col("is_test")).dropna(subset=FEATURES)).select(

@@ -13,7 +13,7 @@ from ..operators.windows import with_returns
 from ..registry import register
 from . import fixtures as FX
 from .gold import signal_table
-from .silver import daily_features
+from .silver import daily_features, silver_table
 from .sqltext import BARS, GOLD, SILVER, with_ctes
 
 G = with_ctes(BARS, SILVER, GOLD)
@@ -21,7 +21,7 @@ FLAGS = ["signal_1", "signal_2", "signal_3", "signal_4", "signal_5"]
 
 
 def gold(spark, sf):
-    return signal_table(daily_features(FX.bars_table(spark, sf)))
+    return signal_table(silver_table(spark, sf))
 
 
 @register("signals", sql=G + f"SELECT ticker, dt, {', '.join(FLAGS)}, signal_score FROM gold",

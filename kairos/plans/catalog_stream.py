@@ -119,8 +119,8 @@ def q_advance(spark, sf):
     instruments), advance three days one at a time; re-running a day
     replaces its partition."""
     from .gold import signal_table
-    from .silver import daily_features
-    g = signal_table(daily_features(FX.bars_table(spark, sf))).select("ticker", "dt", "close", "signal_score")
+    from .silver import daily_features, silver_table
+    g = signal_table(silver_table(spark, sf)).select("ticker", "dt", "close", "signal_score")
     start = S.reset_start_date(g, 10)
     g = g.join(F.broadcast(start), F.col("dt") >= F.col("start_date"), "left_semi")
     path = S._shared(spark, "gold-advance-" + __import__("uuid").uuid4().hex[:8])

@@ -74,3 +74,14 @@ def daily_features(bars: DataFrame, benchmark=BENCHMARK, rsi_zero_loss="cap",
     df = df.withColumn("median_drawdown",
                        F.percentile("drawdown_pct", 0.5).over(Window.partitionBy("ticker")))
     return df
+
+
+def silver_table(spark, sf_dir: str) -> DataFrame:
+    """The feature table materialised once per application and input
+    version (reliable checkpoint in the shared folder)."""
+    from ..session import materialize
+    from . import fixtures as FX
+    key = ("silver", spark.sparkContext.applicationId, sf_dir, FX._stamp(sf_dir, "lineitem"))
+    if key not in FX._TABLES:
+        FX._TABLES[key] = materialize(daily_features(FX.bars_table(spark, sf_dir)))
+    return FX._TABLES[key]

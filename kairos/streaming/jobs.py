@@ -32,8 +32,9 @@ def stage_by_day(df: DataFrame, ts: str, name: str) -> str:
     return path
 
 
-def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """File stream over a staged folder; one day's file per micro-batch."""
+def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 16) -> DataFrame:
+    """File stream over a staged folder (``files_per_batch`` day files per
+    micro-batch)."""
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
             .parquet(path))
 
@@ -109,7 +110,7 @@ def stream_quality(spark: SparkSession, path: str, schema, name="quality") -> Da
                       F.count_distinct("user_id").alias("users"))
         c.write.mode("append").parquet(out)
 
-    q = (read_stream(spark, path, schema).writeStream.foreachBatch(write)
+    q = (read_stream(spark, path, schema, files_per_batch=1).writeStream.foreachBatch(write)
          .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out)
