@@ -47,7 +47,7 @@ def _q(name, cols, floats, ops, build, extra_sql_cols=None):
 
     @register(name, sql=S + f"SELECT ticker, dt, {sql_cols} FROM silver", floats=floats, ops=ops)
     def q(spark, sf):
-        b = FX.bars_table(spark, sf) if build in ("relative", "regime") else FX.bars(spark, sf)
+        b = FX.bars_table(spark, sf)
         if build == "regime":
             return _regime(b).select("ticker", "dt", *cols)
         return BUILD[build](b).select("ticker", "dt", *cols)
@@ -117,7 +117,7 @@ def q_dip_top20(spark, sf):
     by drawdown percentile."""
     from ..operators.ranking import latest_per_key, top_n
     from ..operators.signals import signal_dip
-    df = E.with_drawdown(E.with_returns(FX.bars(spark, sf)))
+    df = E.with_drawdown(E.with_returns(FX.bars_table(spark, sf)))
     df = E.with_percent_rank(df, "drawdown_pct", "drawdown_percentile")
     df = latest_per_key(df, "ticker", "dt").select(
         "ticker", "dt", "close", "drawdown_pct", "drawdown_percentile", signal_dip().alias("signal_1"))
@@ -154,7 +154,7 @@ FROM m JOIN s ON m.ticker = s.ticker AND m.rn = s.rn"""
           digits=5, ops=("E10",))
 def q_macd_ema(spark, sf):
     """MACD 12/26/9 with true exponential means (adjust=False)."""
-    return E.with_macd(FX.bars(spark, sf), kind="ema").select(
+    return E.with_macd(FX.bars_table(spark, sf), kind="ema").select(
         "ticker", "dt", "ema_12", "ema_26", "macd_line", "macd_signal", "macd_histogram")
 
 
@@ -175,7 +175,7 @@ SELECT ticker, dt, {_trail_sql('realized_vol_20d')} AS vol_pct_trailing,
 FROM silver""", floats=("vol_pct_trailing", "volume_pct_trailing"), ops=("E5",))
 def q_trailing(spark, sf):
     """Percentile of today's value among the previous 251 rows (min 60)."""
-    df = E.with_realised_vol(E.with_returns(FX.bars(spark, sf)), ns=(20,))
+    df = E.with_realised_vol(E.with_returns(FX.bars_table(spark, sf)), ns=(20,))
     df = df.withColumn("volume_d", F.col("volume").cast("double"))
     df = E.with_trailing_percentile(df, "realized_vol_20d", "vol_pct_trailing")
     df = E.with_trailing_percentile(df, "volume_d", "volume_pct_trailing")
@@ -191,7 +191,7 @@ SELECT ticker, dt, CASE WHEN COUNT(daily_return) {rows(60)} = 60 THEN
 FROM a""", floats=("autocorr_lag1",), ops=("E22",))
 def q_autocorr(spark, sf):
     """Rolling lag-1 autocorrelation of daily returns, 60 rows."""
-    return E.with_autocorr(E.with_returns(FX.bars(spark, sf))).select("ticker", "dt", "autocorr_lag1")
+    return E.with_autocorr(E.with_returns(FX.bars_table(spark, sf))).select("ticker", "dt", "autocorr_lag1")
 
 
 @register("obv", sql=with_ctes(BARS).rstrip() + f""",
@@ -205,7 +205,7 @@ SELECT ticker, dt, obv_raw AS obv,
 FROM o""", floats=("obv", "obv_slope_20d"), digits=3, ops=("E23",))
 def q_obv(spark, sf):
     """On-balance volume and its 20-row regression slope."""
-    return E.with_obv(FX.bars(spark, sf)).select("ticker", "dt", "obv", "obv_slope_20d")
+    return E.with_obv(FX.bars_table(spark, sf)).select("ticker", "dt", "obv", "obv_slope_20d")
 
 
 @register("stochastic", sql=with_ctes(BARS).rstrip() + f""",
@@ -217,7 +217,7 @@ SELECT ticker, dt, stoch_k, CASE WHEN COUNT(stoch_k) {rows(3)} >= 3 THEN AVG(sto
 FROM k""", floats=("stoch_k", "stoch_d"), ops=("E24",))
 def q_stochastic(spark, sf):
     """Stochastic %K 14 and %D 3."""
-    return E.with_stochastic(FX.bars(spark, sf)).select("ticker", "dt", "stoch_k", "stoch_d")
+    return E.with_stochastic(FX.bars_table(spark, sf)).select("ticker", "dt", "stoch_k", "stoch_d")
 
 
 @register("mfi", sql=with_ctes(BARS).rstrip() + f""",
@@ -230,7 +230,7 @@ SELECT ticker, dt, CASE WHEN COUNT(*) {rows(14)} = 14 THEN
 FROM g""", floats=("mfi_14",), ops=("E25",))
 def q_mfi(spark, sf):
     """Money flow index, 14 rows."""
-    return E.with_mfi(FX.bars(spark, sf)).select("ticker", "dt", "mfi_14")
+    return E.with_mfi(FX.bars_table(spark, sf)).select("ticker", "dt", "mfi_14")
 
 
 @register("sector_zscore", sql=S + """
@@ -239,7 +239,7 @@ SELECT ticker, dt, (roc_20 - AVG(roc_20) OVER (PARTITION BY sector, dt))
 FROM silver""", floats=("roc_20_sector_z",), ops=("E18",))
 def q_sector_z(spark, sf):
     """20-row return z-scored within (sector, date)."""
-    df = E.with_roc(FX.bars(spark, sf), ns=(20,))
+    df = E.with_roc(FX.bars_table(spark, sf), ns=(20,))
     return E.with_sector_zscore(df, "roc_20").select("ticker", "dt", "roc_20_sector_z")
 
 
@@ -251,7 +251,7 @@ SELECT ticker, dt, CASE WHEN drawdown_pct IS NOT NULL THEN
 FROM silver""", floats=("drawdown_rank_avg",), ops=("E4",))
 def q_average_rank(spark, sf):
     """Average-rank percentile of drawdown within each instrument."""
-    df = E.with_drawdown(FX.bars(spark, sf))
+    df = E.with_drawdown(FX.bars_table(spark, sf))
     return E.with_percent_rank(df, "drawdown_pct", "drawdown_rank_avg", method="average") \
         .select("ticker", "dt", "drawdown_rank_avg")
 
@@ -268,7 +268,7 @@ SELECT ticker, dt, mret AS bench_return, roc_20 - SUM(mret) {rows(20)} AS relati
 def q_relative_compound(spark, sf):
     """20-row price return minus the summed market return (benchmark, or the
     cross-sectional mean where the benchmark has no bar)."""
-    df = market_return(E.with_returns(FX.bars(spark, sf)))
+    df = market_return(E.with_returns(FX.bars_table(spark, sf)))
     df = E.with_relative_return(df, kind="compound")
     return df.select("ticker", "dt", "bench_return", "relative_return_20d")
 
@@ -276,7 +276,7 @@ def q_relative_compound(spark, sf):
 @register("hurst", ops=("E26", "U5"))
 def q_hurst(spark, sf):
     """Rolling R/S Hurst exponent over the previous 252 returns."""
-    return E.with_hurst(E.with_returns(FX.bars(spark, sf))).select("ticker", "dt", "hurst_exponent")
+    return E.with_hurst(E.with_returns(FX.bars_table(spark, sf))).select("ticker", "dt", "hurst_exponent")
 
 
 @register("xs_rank", sql=S + """
@@ -286,7 +286,7 @@ SELECT ticker, dt,
 FROM silver""", floats=("roc_20_xs_rank", "volume_xs_rank"), ops=("E31",))
 def q_xs_rank(spark, sf):
     """Cross-sectional percent rank per date."""
-    df = E.with_roc(FX.bars(spark, sf), ns=(20,))
+    df = E.with_roc(FX.bars_table(spark, sf), ns=(20,))
     return E.with_xs_rank(df, ["roc_20", "volume"]).select("ticker", "dt", "roc_20_xs_rank", "volume_xs_rank")
 
 
@@ -294,7 +294,7 @@ def q_xs_rank(spark, sf):
           floats=("sma_20",), ops=("E15",))
 def q_sma(spark, sf):
     """Simple moving average, 20 rows."""
-    return E.with_sma(FX.bars(spark, sf)).select("ticker", "dt", "sma_20")
+    return E.with_sma(FX.bars_table(spark, sf)).select("ticker", "dt", "sma_20")
 
 
 @register("sector_share", sql=with_ctes(BARS) + """
@@ -302,7 +302,7 @@ SELECT sector, COUNT(*) AS n, COUNT(*) * 100.0 / SUM(COUNT(*)) OVER () AS pct FR
           floats=("pct",), ops=("E34",))
 def q_sector_share(spark, sf):
     """Share of bars per sector."""
-    g = FX.bars(spark, sf).groupBy("sector").agg(F.count(F.lit(1)).alias("n"))
+    g = FX.bars_table(spark, sf).groupBy("sector").agg(F.count(F.lit(1)).alias("n"))
     return E.pct_of_total(g, "n")
 
 
@@ -316,7 +316,7 @@ SELECT ticker, sector, idx, group_n, CAST(CEIL(SQRT(group_n)) AS INTEGER) AS gri
 FROM p""", ops=("E36",))
 def q_grid(spark, sf):
     """Position index and grid cell of each instrument inside its sector."""
-    b = FX.bars(spark, sf).filter(F.col("sector").isNotNull())
+    b = FX.bars_table(spark, sf).filter(F.col("sector").isNotNull())
     c = b.groupBy("ticker", "sector").agg(F.avg("volume").alias("avg_volume"))
     return E.grid_positions(c, "sector", [F.col("avg_volume").desc(), F.col("ticker")]).select(
         "ticker", "sector", "idx", "group_n", "grid_cols", "grid_row", "grid_col")

@@ -16,7 +16,7 @@ from .sqltext import BARS, SILVER, W, rows, with_ctes
 
 
 def _bench(spark, sf):
-    b = FX.bars(spark, sf).filter(F.col("ticker") == FX.BENCHMARK)
+    b = FX.bars_table(spark, sf).filter(F.col("ticker") == FX.BENCHMARK)
     return E.with_realised_vol(E.with_returns(b), ns=(20,))
 
 
@@ -75,7 +75,7 @@ SELECT *, CASE WHEN buy_profit >= short_profit AND buy_profit >= call_profit AND
           floats=("premium", "buy_profit", "short_profit", "call_profit", "put_profit"), ops=("N7",))
 def q_label_actions(spark, sf):
     """Four action profits over 5 days and the best action."""
-    df = E.with_forward_return(E.with_realised_vol(E.with_returns(FX.bars(spark, sf)), ns=(20,)), ns=(5,))
+    df = E.with_forward_return(E.with_realised_vol(E.with_returns(FX.bars_table(spark, sf)), ns=(20,)), ns=(5,))
     return N.label_actions(df).select("ticker", "dt", "premium", "buy_profit", "short_profit", "call_profit",
                                       "put_profit", "optimal_action")
 
@@ -88,7 +88,7 @@ SELECT CAST(SUM(CASE WHEN b.dt >= c.cutoff THEN 1 ELSE 0 END) AS BIGINT) AS test
 FROM bars b, c""", ops=("N8",))
 def q_time_split(spark, sf):
     """Time-ordered 80/20 split: train/test row counts and the cutoff."""
-    s = N.time_split(FX.bars(spark, sf))
+    s = N.time_split(FX.bars_table(spark, sf))
     return s.agg(F.sum(F.col("is_test").cast("int")).cast("long").alias("test_rows"),
                  F.sum((~F.col("is_test")).cast("int")).cast("long").alias("train_rows"),
                  F.min("cutoff").alias("cutoff"))

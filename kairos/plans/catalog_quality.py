@@ -81,7 +81,7 @@ GOLD_ROWS = _rows("gold", [("ticker_count", "tks", ">400", "{v} > 400"),
 @register("bronze_checks", sql=with_ctes(BARS, BRONZE_CTE) + BRONZE_ROWS, ops=("M1", "M2", "D14"))
 def q_bronze(spark, sf):
     """Bar-table rules as (layer, name, value, threshold, passed) rows."""
-    return M.bronze_checks(FX.bars(spark, sf))
+    return M.bronze_checks(FX.bars_table(spark, sf))
 
 
 @register("silver_checks", sql=with_ctes(BARS, SILVER, SILVER_CTE) + SILVER_ROWS, floats=("value",),

@@ -62,7 +62,7 @@ SELECT ticker, history_len, {_r('price', 2)} AS price, {_r('ret_20d', 4)} AS ret
 FROM s""", ops=("E37", "F13", "L12", "L13"))
 def q_latest_features(spark, sf):
     """Features of each instrument's latest history and the simple score."""
-    return R.latest_features(FX.bars(spark, sf))
+    return R.latest_features(FX.bars_table(spark, sf))
 
 
 LATEST = G.rstrip() + """,
@@ -98,7 +98,7 @@ FROM bars GROUP BY ticker HAVING COUNT(*) >= 200 ORDER BY avg_volume DESC, ticke
           floats=("avg_volume",), ops=("H5",))
 def q_select_universe(spark, sf):
     """Top 10 instruments by mean volume among those with >= 200 bars."""
-    c = coverage(FX.bars(spark, sf)).withColumn("history_len", F.col("rows"))
+    c = coverage(FX.bars_table(spark, sf)).withColumn("history_len", F.col("rows"))
     return R.select_universe(c, 10).drop("history_len")
 
 
@@ -188,7 +188,7 @@ FROM silver s LEFT JOIN dn n ON s.ticker = n.ticker AND s.dt = n.published_date"
 def q_enrich_news(spark, sf):
     """Bars enriched with daily news features (left join, defaults filled)
     and the attention score."""
-    b = FX.bars(spark, sf).select("ticker", "dt")
+    b = FX.bars_table(spark, sf).select("ticker", "dt")
     dn = daily_news(explode_matches(FX.articles(spark, sf), "title", FX.KEYWORDS)).select(
         "ticker", F.col("published_date").alias("dt"), "news_count", "avg_news_tone", "std_news_tone")
     j = b.join(dn, ["ticker", "dt"], "left").withColumn("has_news", F.col("news_count").isNotNull())

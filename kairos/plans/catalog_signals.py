@@ -177,7 +177,7 @@ SELECT ticker, COUNT(*) AS rows, MIN(dt) AS first_date, MAX(dt) AS last_date, AV
 FROM bars GROUP BY ticker""", floats=("avg_volume",), ops=("D6",))
 def q_coverage(spark, sf):
     """Rows, first/last date and mean volume per instrument."""
-    return D.coverage(FX.bars(spark, sf))
+    return D.coverage(FX.bars_table(spark, sf))
 
 
 @register("return_stats", sql=with_ctes(BARS, SILVER) + """
@@ -190,7 +190,7 @@ FROM silver GROUP BY ticker""",
           floats=("mean_return", "std_return", "skew", "ann_return", "ann_vol", "sharpe"), digits=4, ops=("D7",))
 def q_return_stats(spark, sf):
     """Per-instrument mean, std, adjusted skew, annualised return/vol, Sharpe."""
-    return D.return_stats(with_returns(FX.bars(spark, sf)))
+    return D.return_stats(with_returns(FX.bars_table(spark, sf)))
 
 
 @register("sector_means", sql=with_ctes(BARS) + """
@@ -198,7 +198,7 @@ SELECT sector, AVG(volume) AS avg_volume, AVG(close) AS avg_close FROM bars GROU
           floats=("avg_volume", "avg_close"), ops=("D24",))
 def q_sector_means(spark, sf):
     """Mean volume and close per sector."""
-    return D.sector_means(FX.bars(spark, sf), ["volume", "close"])
+    return D.sector_means(FX.bars_table(spark, sf), ["volume", "close"])
 
 
 @register("profile", sql=with_ctes(BARS) + """
@@ -208,14 +208,14 @@ SELECT COUNT(*) AS rows, COUNT(DISTINCT ticker) AS distinct_keys, MIN(dt) AS min
 FROM bars""", ops=("D1",))
 def q_profile(spark, sf):
     """Row, key, date-range and null counts in one pass."""
-    return D.profile(FX.bars(spark, sf), "ticker", "dt", ["close", "volume", "sector"])
+    return D.profile(FX.bars_table(spark, sf), "ticker", "dt", ["close", "volume", "sector"])
 
 
 @register("duplicate_keys", sql=with_ctes(BARS) + """
 SELECT ticker, dt, COUNT(*) AS n FROM bars GROUP BY ticker, dt HAVING COUNT(*) > 1""", ops=("D14",))
 def q_duplicates(spark, sf):
     """(ticker, dt) keys that occur more than once."""
-    return D.duplicate_keys(FX.bars(spark, sf), ["ticker", "dt"])
+    return D.duplicate_keys(FX.bars_table(spark, sf), ["ticker", "dt"])
 
 
 @register("first_date_with", sql=with_ctes(BARS) + """
@@ -223,7 +223,7 @@ SELECT MIN(dt) AS first_date FROM (
   SELECT dt FROM bars GROUP BY dt HAVING COUNT(DISTINCT ticker) >= 10)""", ops=("D15",))
 def q_first_date(spark, sf):
     """First date with at least 10 instruments."""
-    return D.first_date_with(FX.bars(spark, sf), 10)
+    return D.first_date_with(FX.bars_table(spark, sf), 10)
 
 
 @register("modal_score", sql=G + """
@@ -263,7 +263,7 @@ WHERE dt = (SELECT MIN(dt) FROM bars WHERE dt >= (SELECT MAX(dt) FROM bars) - IN
           floats=("close",), ops=("B9",))
 def q_snapshot_offset(spark, sf):
     """Rows of the first date at or after max date - 90 days."""
-    return H.snapshot_at_offset(FX.bars(spark, sf)).select("ticker", "dt", "close")
+    return H.snapshot_at_offset(FX.bars_table(spark, sf)).select("ticker", "dt", "close")
 
 
 @register("nth_date", sql=with_ctes(BARS) + """
@@ -271,7 +271,7 @@ SELECT ticker, dt, close FROM bars WHERE dt = (SELECT dt FROM (SELECT DISTINCT d
           floats=("close",), ops=("H6",))
 def q_nth_date(spark, sf):
     """Rows of the 101st distinct date."""
-    return H.nth_date(FX.bars(spark, sf), 100).select("ticker", "dt", "close")
+    return H.nth_date(FX.bars_table(spark, sf), 100).select("ticker", "dt", "close")
 
 
 @register("lookup_latest", sql=G + """

@@ -34,11 +34,12 @@ def bars(spark: SparkSession, sf_dir: str, benchmark: str = BENCHMARK) -> DataFr
     """Daily OHLCV bars per ticker plus the benchmark instrument.
 
     Open/close are the price of the first/last trade of the day by the
-    unique five-column trade key. Computed with ``min_by``/``max_by`` in a
-    hash aggregate (map-side partial aggregation), not a row_number window,
-    so a hot (ticker, day) never lands whole in one task. The benchmark bar
-    is rolled up from the per-ticker bars (a second, tiny aggregation)
-    instead of re-aggregating every trade a second time.
+    unique five-column trade key, computed with ``min_by``/``max_by`` in an
+    aggregation with map-side partial aggregation (not a row_number window),
+    so a hot (ticker, day) never lands whole in one task. Instrument bars
+    and the benchmark bar come from one ``rollup`` pass over the trades.
+    Dimensions: nation/region are fixed 25/5-row tables (broadcast);
+    supplier grows with the data, so its join is left to the planner.
     """
     li = load(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
@@ -58,22 +59,20 @@ def bars(spark: SparkSession, sf_dir: str, benchmark: str = BENCHMARK) -> DataFr
         F.col("l_quantity").alias("qty"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                  "l_extendedprice").alias("k"))
-    per = trades.groupBy("ticker", "dt").agg(
-        F.max("sector").alias("sector"),
-        F.min("k").alias("k_first"), F.max("k").alias("k_last"),
-        F.min_by("px", "k").alias("open"), F.max("px").alias("high"),
-        F.min("px").alias("low"), F.max_by("px", "k").alias("close"),
-        F.sum("qty").alias("vol"))
-    mkt = per.groupBy("dt").agg(
-        F.min_by("open", "k_first").alias("open"), F.max("high").alias("high"),
-        F.min("low").alias("low"), F.max_by("close", "k_last").alias("close"),
-        F.sum("vol").alias("vol")).select(
-        F.lit(benchmark).alias("ticker"), F.lit(None).cast("string").alias("sector"),
-        "dt", "open", "high", "low", "close", "vol")
-    cols = ["ticker", "sector", "dt", "open", "high", "low", "close",
-            F.col("vol").cast("long").alias("volume")]
-    return per.select("ticker", "sector", "dt", "open", "high", "low", "close", "vol") \
-        .unionByName(mkt).select(*cols)
+    # One aggregation for both levels: rollup(dt, ticker) gives the
+    # (dt, ticker) bars and the (dt) market bar in a single pass over the
+    # trades (Expand + partial aggregation before the shuffle, so the hot
+    # market group of each day is combined map-side); the grand-total
+    # level is dropped.
+    g = trades.rollup("dt", "ticker").agg(
+        F.grouping_id().alias("__g"), F.max("sector").alias("sector"),
+        F.min_by("px", "k").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
+        F.max_by("px", "k").alias("close"), F.sum("qty").alias("vol"))
+    g = g.filter(F.col("__g") < 3)
+    market = F.col("__g") == 1
+    return g.select(F.when(market, F.lit(benchmark)).otherwise(F.col("ticker")).alias("ticker"),
+                    F.when(market, F.lit(None).cast("string")).otherwise(F.col("sector")).alias("sector"),
+                    "dt", "open", "high", "low", "close", F.col("vol").cast("long").alias("volume"))
 
 
 def bars_table(spark: SparkSession, sf_dir: str, benchmark: str = BENCHMARK) -> DataFrame:
