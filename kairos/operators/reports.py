@@ -113,3 +113,93 @@ def event_feed(*parts: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
+
+
+def fund_allocations(latest: DataFrame) -> DataFrame:
+    """H3: three strategy books over the latest snapshot.
+    momentum: RSI > 55 and MACD histogram > 0, top 8 by RSI, equal weight,
+    CALL when RSI > 70 else BUY; value: drawdown < -8 % and score >= 1, 8
+    deepest, equal weight, BUY; contrarian: 4 highest RSI > 72 SHORT at 0.12
+    and 4 lowest RSI < 32 BUY at 0.13. Ties by ticker."""
+    x = latest.select("ticker", "rsi_14", "macd_histogram", "drawdown_pct", "signal_score")
+
+    def book(df, fund, order, n, weight=None, action=None):
+        r = F.row_number().over(Window.orderBy(*order))
+        d = df.withColumn("__r", r).filter(F.col("__r") <= n)
+        w = F.lit(weight) if weight is not None else F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy())
+        return d.select(F.lit(fund).alias("fund"), "ticker", w.alias("weight"), action.alias("action"))
+
+    mom = book(x.filter((F.col("rsi_14") > 55) & (F.col("macd_histogram") > 0)), "momentum",
+               [F.col("rsi_14").desc(), F.col("ticker")], 8,
+               action=F.when(F.col("rsi_14") > 70, "CALL").otherwise("BUY"))
+    val = book(x.filter((F.col("drawdown_pct") < -0.08) & (F.col("signal_score") >= 1)), "value",
+               [F.col("drawdown_pct"), F.col("ticker")], 8, action=F.lit("BUY"))
+    sh = book(x.filter(F.col("rsi_14") > 72), "contrarian", [F.col("rsi_14").desc(), F.col("ticker")], 4, 0.12,
+              F.lit("SHORT"))
+    lg = book(x.filter(F.col("rsi_14") < 32), "contrarian", [F.col("rsi_14"), F.col("ticker")], 4, 0.13,
+              F.lit("BUY"))
+    return mom.unionByName(val).unionByName(sh).unionByName(lg)
+
+
+def fund_profit(alloc: DataFrame, latest: DataFrame) -> DataFrame:
+    """Per fund: sum(weight * +-median forward return, x1.5 for CALL) x 10000."""
+    j = alloc.join(latest.select("ticker", F.coalesce("fwd_60d_median", F.lit(0.0)).alias("__m")), "ticker")
+    ret = F.when(F.col("action").isin("SHORT", "PUT"), -F.col("__m")).otherwise(F.col("__m"))
+    ret = F.when(F.col("action") == "CALL", ret * 1.5).otherwise(ret)
+    return j.groupBy("fund").agg((F.sum(ret * F.col("weight")) * 10000.0).alias("profit"),
+                                 F.count(F.lit(1)).alias("positions"))
+
+
+def risk_review(alloc: DataFrame, latest: DataFrame, max_pos=0.25, deep_dd=-0.20, max_short=0.40,
+                hot_vol=0.4, hot_weight=0.15) -> DataFrame:
+    """Risk rules as predicates, then reweight and renormalise per fund:
+    positions above 25 % capped; shorts in drawdown below -20 % removed;
+    volatile (> 0.4) positions capped at 15 %; total short weight scaled
+    down to 40 %."""
+    j = alloc.join(latest.select("ticker", "drawdown_pct", "realized_vol_20d"), "ticker", "left")
+    is_short = F.col("action").isin("SHORT", "PUT")
+    j = j.withColumns({
+        "flag_oversized": F.col("weight") > max_pos,
+        "flag_short_in_drawdown": is_short & (F.col("drawdown_pct") < deep_dd),
+        "flag_hot": (F.col("realized_vol_20d") > hot_vol) & (F.col("weight") > hot_weight)})
+    w = F.least(F.col("weight"), F.lit(max_pos))
+    w = F.when(F.col("flag_short_in_drawdown"), F.lit(0.0)).otherwise(w)
+    w = F.when(F.col("flag_hot"), F.least(w, F.lit(hot_weight))).otherwise(w)
+    j = j.withColumn("__w", w)
+    fund = Window.partitionBy("fund")
+    short_tot = F.sum(F.when(is_short, F.col("__w")).otherwise(0.0)).over(fund)
+    j = j.withColumn("__w", F.when(is_short & (short_tot > max_short), F.col("__w") * max_short / short_tot)
+                     .otherwise(F.col("__w")))
+    tot = F.sum("__w").over(fund)
+    return j.withColumn("adjusted_weight", F.when(tot > 0, F.col("__w") / tot).otherwise(F.lit(0.0))).drop("__w")
+
+
+def apportion(latest: DataFrame, total: int) -> DataFrame:
+    """Spread ``total`` units over instruments: raw = floor(10 + 20 s^2),
+    scaled and rounded (min 1); a surplus goes to the first instrument, a
+    deficit is taken from the last ones (each keeps >= 1). Windows over the
+    snapshot (one row per instrument)."""
+    allw = Window.partitionBy()
+    o = Window.orderBy("ticker")
+    x = latest.select("ticker", "signal_score").withColumn(
+        "raw", F.floor(F.lit(10.0) + F.col("signal_score") * F.col("signal_score") * 20.0))
+    x = x.withColumn("scale", F.lit(float(total)) / F.greatest(F.sum("raw").over(allw), F.lit(1)))
+    x = x.withColumn("a", F.greatest(F.lit(1), F.round(F.col("raw") * F.col("scale")).cast("long")))
+    x = x.withColumns({"__diff": F.lit(total) - F.sum("a").over(allw), "__i": F.row_number().over(o)})
+    cap_after = F.coalesce(F.sum(F.col("a") - 1).over(o.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    remove = F.least(F.col("a") - 1, F.greatest(F.lit(0), -F.col("__diff") - cap_after))
+    units = (F.when(F.col("__diff") > 0, F.when(F.col("__i") == 1, F.col("a") + F.col("__diff")).otherwise(F.col("a")))
+             .otherwise(F.col("a") - remove))
+    return x.select("ticker", "signal_score", "raw", units.cast("long").alias("units"))
+
+
+def lane_counts(latest: DataFrame) -> DataFrame:
+    """Crowd per instrument: total = max(1, round(5 + 8 s + 20 |dd|));
+    a quarter at the door; the rest split by direction bias, rest to short."""
+    base = F.lit(5.0) + F.col("signal_score") * 8.0 + F.abs(F.coalesce("drawdown_pct", F.lit(0.0))) * 20.0
+    x = latest.withColumn("total", F.greatest(F.lit(1), F.round(base).cast("long")))
+    x = x.withColumn("door", F.round(F.col("total") * 0.25).cast("long"))
+    x = x.withColumn("inside", F.col("total") - F.col("door"))
+    x = x.withColumns({k: F.round(F.col("inside") * F.col(f"{k}_pct")).cast("long") for k in ("buy", "call", "put")})
+    x = x.withColumn("short", F.greatest(F.lit(0), F.col("inside") - F.col("buy") - F.col("call") - F.col("put")))
+    return x.select("ticker", "total", "door", "inside", "buy", "call", "put", "short")

@@ -236,3 +236,103 @@ def q_ml_bias(spark, sf):
     return j.select("ticker", "dt", F.when(has, "model").otherwise("heuristic").alias("bias_source"),
                     *[F.when(has, F.col(f"prob_{a}")).otherwise(h[f"{a}_pct"]).alias(f"{a}_pct")
                       for a in ("buy", "call", "put", "short")])
+
+
+def _latest_gold(spark, sf):
+    return latest_per_key(signal_table(silver_table(spark, sf)))
+
+
+ALLOC = LATEST.rstrip() + """,
+mom AS (SELECT 'momentum' AS fund, ticker, 1.0 / COUNT(*) OVER () AS weight,
+               CASE WHEN rsi_14 > 70 THEN 'CALL' ELSE 'BUY' END AS action
+        FROM (SELECT * FROM lt WHERE rsi_14 > 55 AND macd_histogram > 0 ORDER BY rsi_14 DESC, ticker LIMIT 8)),
+val AS (SELECT 'value' AS fund, ticker, 1.0 / COUNT(*) OVER () AS weight, 'BUY' AS action
+        FROM (SELECT * FROM lt WHERE drawdown_pct < -0.08 AND signal_score >= 1 ORDER BY drawdown_pct, ticker LIMIT 8)),
+sh AS (SELECT 'contrarian' AS fund, ticker, 0.12 AS weight, 'SHORT' AS action
+       FROM (SELECT * FROM lt WHERE rsi_14 > 72 ORDER BY rsi_14 DESC, ticker LIMIT 4)),
+lg AS (SELECT 'contrarian' AS fund, ticker, 0.13 AS weight, 'BUY' AS action
+       FROM (SELECT * FROM lt WHERE rsi_14 < 32 ORDER BY rsi_14, ticker LIMIT 4)),
+alloc AS (SELECT * FROM mom UNION ALL SELECT * FROM val UNION ALL SELECT * FROM sh UNION ALL SELECT * FROM lg)
+"""
+
+
+@register("fund_allocations", sql=ALLOC + "SELECT fund, ticker, weight, action FROM alloc", floats=("weight",),
+          ops=("H3", "K5"))
+def q_fund_allocations(spark, sf):
+    """Momentum, value and contrarian books over the latest snapshot."""
+    return R.fund_allocations(_latest_gold(spark, sf))
+
+
+@register("fund_profit", sql=ALLOC + """
+SELECT a.fund, SUM(CASE WHEN a.action = 'CALL' THEN COALESCE(l.fwd_60d_median, 0.0) * 1.5
+                        WHEN a.action IN ('SHORT', 'PUT') THEN -COALESCE(l.fwd_60d_median, 0.0)
+                        ELSE COALESCE(l.fwd_60d_median, 0.0) END * a.weight) * 10000.0 AS profit,
+       COUNT(*) AS positions
+FROM alloc a JOIN lt l ON a.ticker = l.ticker GROUP BY a.fund""", floats=("profit",), digits=4, ops=("P11",))
+def q_fund_profit(spark, sf):
+    """Book profit from the forward median returns."""
+    lt = _latest_gold(spark, sf)
+    return R.fund_profit(R.fund_allocations(lt), lt)
+
+
+@register("risk_review", sql=ALLOC.rstrip() + """,
+j AS (SELECT a.*, l.drawdown_pct, l.realized_vol_20d, a.weight > 0.25 AS flag_oversized,
+             a.action IN ('SHORT', 'PUT') AND l.drawdown_pct < -0.2 AS flag_short_in_drawdown,
+             l.realized_vol_20d > 0.4 AND a.weight > 0.15 AS flag_hot
+      FROM alloc a LEFT JOIN lt l ON a.ticker = l.ticker),
+k AS (SELECT *, CASE WHEN flag_hot THEN LEAST(w1, 0.15) ELSE w1 END AS w2 FROM (
+        SELECT *, CASE WHEN flag_short_in_drawdown THEN 0.0 ELSE LEAST(weight, 0.25) END AS w1 FROM j)),
+m AS (SELECT *, SUM(CASE WHEN action IN ('SHORT', 'PUT') THEN w2 ELSE 0.0 END) OVER (PARTITION BY fund) AS st FROM k),
+n AS (SELECT *, CASE WHEN action IN ('SHORT', 'PUT') AND st > 0.4 THEN w2 * 0.4 / st ELSE w2 END AS w3 FROM m)
+SELECT fund, ticker, weight, action, drawdown_pct, realized_vol_20d, flag_oversized, flag_short_in_drawdown, flag_hot,
+       CASE WHEN SUM(w3) OVER (PARTITION BY fund) > 0 THEN w3 / SUM(w3) OVER (PARTITION BY fund) ELSE 0.0 END
+         AS adjusted_weight
+FROM n""", floats=("weight", "drawdown_pct", "realized_vol_20d", "adjusted_weight"),
+          ops=("P13",))
+def q_risk_review(spark, sf):
+    """Risk predicates and reweighted books."""
+    lt = _latest_gold(spark, sf)
+    return R.risk_review(R.fund_allocations(lt), lt)
+
+
+@register("apportion", sql=LATEST.rstrip() + """,
+x AS (SELECT ticker, signal_score, FLOOR(10.0 + signal_score * signal_score * 20.0) AS raw FROM lt),
+y AS (SELECT *, GREATEST(1, CAST(ROUND(raw * (1000.0 / GREATEST(SUM(raw) OVER (), 1))) AS BIGINT)) AS a FROM x),
+z AS (SELECT *, 1000 - SUM(a) OVER () AS diff, ROW_NUMBER() OVER (ORDER BY ticker) AS i,
+             COALESCE(SUM(a - 1) OVER (ORDER BY ticker ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS cap_after
+      FROM y)
+SELECT ticker, signal_score, raw,
+       CAST(CASE WHEN diff > 0 THEN CASE WHEN i = 1 THEN a + diff ELSE a END
+                 ELSE a - LEAST(a - 1, GREATEST(0, -diff - cap_after)) END AS BIGINT) AS units
+FROM z""", floats=("raw",), ops=("P15",))
+def q_apportion(spark, sf):
+    """1000 agents apportioned over instruments by score."""
+    return R.apportion(_latest_gold(spark, sf), 1000)
+
+
+@register("lane_counts", sql=LATEST + """
+SELECT ticker, total, door, inside, b AS buy, c AS call, p AS put, GREATEST(0, inside - b - c - p) AS short FROM (
+  SELECT *, CAST(ROUND(inside * buy_pct) AS BIGINT) AS b, CAST(ROUND(inside * call_pct) AS BIGINT) AS c,
+         CAST(ROUND(inside * put_pct) AS BIGINT) AS p FROM (
+    SELECT *, total - door AS inside FROM (
+      SELECT *, CAST(ROUND(total * 0.25) AS BIGINT) AS door FROM (
+        SELECT ticker, buy_pct, call_pct, put_pct,
+               GREATEST(1, CAST(ROUND(5.0 + signal_score * 8.0 + ABS(COALESCE(drawdown_pct, 0.0)) * 20.0) AS BIGINT))
+                 AS total FROM lt))))""", ops=("P16",))
+def q_lane_counts(spark, sf):
+    """Crowd size per instrument split into door and bias lanes."""
+    return R.lane_counts(_latest_gold(spark, sf))
+
+
+@register("approx_median_drawdown", ops=("D8",))
+def q_approx_median(spark, sf):
+    """Approximate median drawdown per instrument (percentile_approx)."""
+    from ..operators.aggregates import approx_quantile_by
+    return approx_quantile_by(silver_table(spark, sf), "ticker", "drawdown_pct", 0.5)
+
+
+@register("describe_bars", ops=("D33",))
+def q_describe(spark, sf):
+    """count/mean/stddev/min/max of every bar column."""
+    from ..operators.aggregates import describe
+    return describe(FX.bars_table(spark, sf))
