@@ -268,3 +268,8 @@ def tag_patterns(notes) -> dict[str, Column]:
     tags = F.when(F.size(tags) == 0, F.array(F.lit("Discretionary"))).otherwise(tags)
     outcome = F.when(any_of(WIN_WORDS), "win").when(any_of(LOSS_WORDS), "loss").otherwise("open")
     return {"patterns": tags, "reason_for_entry": tags[0], "outcome": outcome}
+
+
+def parse_ts(col, formats=("yyyyMMdd'T'HHmmss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")) -> Column:
+    """L4: timestamp from text, trying each format in turn; else null."""
+    return F.coalesce(*[F.try_to_timestamp(col_(col), F.lit(f)) for f in formats])

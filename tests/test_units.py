@@ -178,3 +178,43 @@ def test_lexicon_and_symbols(spark):
     r = df.select(s["score"], s["label"], TX.extract_symbols("t")).first()
     assert r[1] == "neutral" and math.isclose(r[0], 0.0)
     assert r[2] == ["BB", "GME", "TSLA"]
+
+
+def test_parse_ts_fallback(spark):
+    df = spark.createDataFrame([("20240105T101500",), ("2024-01-05 10:15:00",), ("garbage",)], "s string")
+    got = [r[0] for r in df.select(TX.parse_ts("s")).collect()]
+    assert str(got[0]) == "2024-01-05 10:15:00" and str(got[1]) == "2024-01-05 10:15:00" and got[2] is None
+
+
+def test_sector_normalisation(spark):
+    from kairos.operators.joins import normalise_sector
+    df = spark.createDataFrame([("A", "Financial Services"), ("B", "Unknown"), ("C", "Energy"),
+                                ("D", "Basic Materials")], "ticker string, sector string")
+    got = sorted((r[0], r[1]) for r in normalise_sector(df).collect())
+    assert got == [("A", "Financials"), ("C", "Energy"), ("D", "Materials")]
+
+
+def test_bars_csv_metadata_and_tables(spark):
+    from kairos.sources import tables as TB
+    d = tempfile.mkdtemp(prefix="kairos-src-")
+    p = os.path.join(d, "bars.csv")
+    with open(p, "w") as f:
+        f.write("Date,Open,High,Low,Close,Volume,Dividends,Stock Splits,Company\n"
+                "2024-01-02,1,2,0.5,1.5,100,0,0,AAA\n")
+    b = SRC.read_bars_csv(spark, p).first()
+    assert b["ticker"] == "AAA" and b["close"] == 1.5 and b["stock_splits"] == 0.0
+    m = spark.createDataFrame([(" AAA ", "n", " Energy ", "i", "US", " "), ("BBB", "n", "Tech", "i", "US", "12.5")],
+                              "ticker string, name string, sector string, industry string, country string, "
+                              "market_cap string")
+    rows = sorted(SRC.clean_metadata(m).collect())
+    assert rows[0]["ticker"] == "AAA" and rows[0]["market_cap"] == 0.0 and rows[1]["market_cap"] == 12.5
+    out = os.path.join(d, "t")
+    TB.write_table(spark.range(3), out)
+    assert TB.read_first(spark, os.path.join(d, "missing"), out).count() == 3
+    vp = os.path.join(d, "v")
+    assert TB.write_version(spark.range(2), vp) == 0
+    assert TB.write_version(spark.range(5), vp) == 1
+    assert TB.read_version(spark, vp, 0).count() == 2 and TB.read_version(spark, vp).count() == 5
+    TB.append_day(spark.createDataFrame([(1, "2024-01-01")], "x int, dt string"), os.path.join(d, "g"))
+    TB.append_day(spark.createDataFrame([(2, "2024-01-01")], "x int, dt string"), os.path.join(d, "g"))
+    assert spark.read.parquet(os.path.join(d, "g")).count() == 1
