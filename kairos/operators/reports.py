@@ -203,3 +203,28 @@ def lane_counts(latest: DataFrame) -> DataFrame:
     x = x.withColumns({k: F.round(F.col("inside") * F.col(f"{k}_pct")).cast("long") for k in ("buy", "call", "put")})
     x = x.withColumn("short", F.greatest(F.lit(0), F.col("inside") - F.col("buy") - F.col("call") - F.col("put")))
     return x.select("ticker", "total", "door", "inside", "buy", "call", "put", "short")
+
+
+def journal_stats(trades: DataFrame) -> DataFrame:
+    """Trade-journal analysis: per pattern (exploded) trades, wins,
+    win rate and total profit; plus an overall row (pattern = '__all__')."""
+    t = trades.withColumn("__win", (F.col("outcome") == "win").cast("int"))
+    per = t.select("*", F.explode("patterns").alias("pattern")).groupBy("pattern").agg(
+        F.count(F.lit(1)).alias("trades"), F.sum("__win").alias("wins"),
+        F.sum(F.coalesce("profit", F.lit(0.0))).alias("total_profit"))
+    allr = t.agg(F.lit("__all__").alias("pattern"), F.count(F.lit(1)).alias("trades"), F.sum("__win").alias("wins"),
+                 F.sum(F.coalesce("profit", F.lit(0.0))).alias("total_profit"))
+    out = per.unionByName(allr)
+    return out.withColumn("win_rate", F.col("wins") / F.col("trades"))
+
+
+def pattern_graph(trades: DataFrame) -> DataFrame:
+    """Weighted edges ticker -> pattern (trade counts) and pattern ->
+    outcome (share of the pattern's trades)."""
+    ex = trades.select("ticker", "outcome", F.explode("patterns").alias("pattern"))
+    tp = ex.groupBy(F.col("ticker").alias("src"), F.col("pattern").alias("dst")).agg(
+        F.count(F.lit(1)).cast("double").alias("weight")).withColumn("kind", F.lit("ticker_pattern"))
+    po = ex.groupBy(F.col("pattern").alias("src"), F.col("outcome").alias("dst")).agg(F.count(F.lit(1)).alias("__n"))
+    po = po.withColumn("weight", F.col("__n") / F.sum("__n").over(Window.partitionBy("src"))) \
+        .drop("__n").withColumn("kind", F.lit("pattern_outcome"))
+    return tp.unionByName(po)

@@ -320,3 +320,12 @@ def q_grid(spark, sf):
     c = b.groupBy("ticker", "sector").agg(F.avg("volume").alias("avg_volume"))
     return E.grid_positions(c, "sector", [F.col("avg_volume").desc(), F.col("ticker")]).select(
         "ticker", "sector", "idx", "group_n", "grid_cols", "grid_row", "grid_col")
+
+
+@register("pivot_returns", sql=S + """
+SELECT * FROM (PIVOT (SELECT dt, ticker, daily_return FROM silver) ON ticker USING first(daily_return) GROUP BY dt)""",
+          ops=("D12",))
+def q_pivot_returns(spark, sf):
+    """Dates x instruments matrix of daily returns (first value per cell)."""
+    from ..operators.aggregates import pivot_wide
+    return pivot_wide(E.with_returns(FX.bars_table(spark, sf)), "dt", "ticker", "daily_return")

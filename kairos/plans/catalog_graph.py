@@ -59,7 +59,7 @@ def _nodes(spark, sf):
 
 
 @register("correlation_pairs", sql=GS + "SELECT src, dst, n, corr FROM pairs", floats=("corr",),
-          ops=("G1", "C16", "D12"))
+          ops=("G1", "C16"))
 def q_pairs(spark, sf):
     """Pearson correlation of every instrument pair over common dates
     (block sufficient statistics; no per-date pair explosion)."""

@@ -218,3 +218,16 @@ def test_bars_csv_metadata_and_tables(spark):
     TB.append_day(spark.createDataFrame([(1, "2024-01-01")], "x int, dt string"), os.path.join(d, "g"))
     TB.append_day(spark.createDataFrame([(2, "2024-01-01")], "x int, dt string"), os.path.join(d, "g"))
     assert spark.read.parquet(os.path.join(d, "g")).count() == 1
+
+
+def test_journal_stats_and_pattern_graph(spark):
+    from kairos.operators.reports import journal_stats, pattern_graph
+    notes = "BUY AAPL breakout, took profit\nSELL MSFT earnings report, stop loss\nBUY NVDA momentum trend +\n"
+    t = TX.parse_trade_notes(spark.createDataFrame([(1, notes)], "note_id int, text string"))
+    tags = TX.tag_patterns("notes")
+    t = t.select("ticker", *[v.alias(k) for k, v in tags.items()], F.lit(None).cast("double").alias("profit"))
+    js = {r["pattern"]: r for r in journal_stats(t).collect()}
+    assert js["__all__"]["trades"] == 3 and js["__all__"]["wins"] == 2
+    assert js["Momentum"]["win_rate"] == 1.0 and js["Earnings Play"]["wins"] == 0
+    g = pattern_graph(t).filter(F.col("kind") == "pattern_outcome").collect()
+    assert all(0 < r["weight"] <= 1 for r in g)
