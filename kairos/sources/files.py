@@ -85,11 +85,17 @@ def ingest_articles(df: DataFrame, scenarios: DataFrame | None = None) -> DataFr
 
 
 def dedupe_by(df: DataFrame, k, order) -> DataFrame:
-    """K1/K2: keep the first row per key by a stable order."""
+    """K1/K2: keep the first row per key by a stable (ascending) order.
+
+    An aggregation, not a per-key window: ``min_by(row, order)`` combines
+    map-side, so a key with a huge group of copies (one text copied a
+    million times) never lands whole in one task.
+    """
     k = [k] if isinstance(k, str) else list(k)
     order = [order] if isinstance(order, str) else list(order)
-    r = F.row_number().over(Window.partitionBy(*k).orderBy(*order))
-    return df.withColumn("__r", r).filter("__r = 1").drop("__r")
+    rest = [c for c in df.columns if c not in k]
+    g = df.groupBy(*k).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row"))
+    return g.select(*k, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
 def ingest_posts(df: DataFrame, start: str, end: str) -> DataFrame:
