@@ -82,3 +82,49 @@ def daily_activity(posts: DataFrame, t="created_date") -> DataFrame:
     """Posts, summed score and comments per day."""
     return posts.groupBy(t).agg(F.count(F.lit(1)).alias("posts"), F.sum("score").alias("total_score"),
                                 F.sum("num_comments").alias("total_comments"))
+
+
+# Regime multipliers (urgency, sell boost, buy boost).
+REACTION_MULTIPLIERS = {"Bear": (1.3, 1.5, 0.6), "Bull": (0.9, 0.7, 1.4), "Neutral": (1.0, 1.0, 1.0)}
+
+
+def agent_reaction(items: DataFrame, ticker_sent: DataFrame, regime: DataFrame) -> DataFrame:
+    """P10: crowd reaction per (news item, affected instrument).
+
+    ``items``: url, ticker, sentiment_score, sentiment_label;
+    ``ticker_sent``: ticker, published_date, sentiment_mean,
+    sentiment_momentum_3d (the per-instrument daily sentiment, D4/E30);
+    ``regime``: one row with ``regime_label`` (the current regime).
+    Blended score 0.6 |item| + 0.4 |instrument mean| when the instrument
+    has a sentiment row; counts and urgency scaled by regime multipliers.
+    """
+    m = REACTION_MULTIPLIERS
+    x = items.join(ticker_sent.select("ticker", "published_date", "sentiment_mean", "sentiment_momentum_3d"),
+                   ["ticker", "published_date"], "left")
+    reg = regime.select(F.coalesce(F.col("regime_label"), F.lit("Neutral")).alias("regime"), F.lit(1).alias("__k"))
+    x = x.withColumn("__k", F.lit(1)).join(F.broadcast(reg), "__k", "left").drop("__k") \
+        .withColumn("regime", F.coalesce("regime", F.lit("Neutral")))
+
+    def pick(i):
+        return (F.when(F.col("regime") == "Bear", F.lit(m["Bear"][i]))
+                .when(F.col("regime") == "Bull", F.lit(m["Bull"][i])).otherwise(F.lit(m["Neutral"][i])))
+    score = F.abs(F.col("sentiment_score"))
+    has = F.col("sentiment_mean").isNotNull()
+    blended = F.when(has, score * 0.6 + F.abs("sentiment_mean") * 0.4).otherwise(score)
+    mom = F.when(has, F.coalesce("sentiment_momentum_3d", F.lit(0.0))).otherwise(F.lit(0.0))
+    base = F.greatest(F.lit(2000), F.floor(score * 10000.0))
+    x = x.withColumns({"__u": pick(0), "__sell": pick(1), "__buy": pick(2), "__bl": blended, "__mom": mom,
+                       "__base": base})
+    neg = F.col("sentiment_label").isin("negative", "bearish")
+    pos = F.col("sentiment_label").isin("positive", "bullish")
+    u_neg = F.least((F.lit(0.5) + F.col("__bl") * 0.5) * F.col("__u"), F.lit(0.99))
+    u_neg = F.when(F.col("__mom") > 0.1, F.least(u_neg + 0.1, F.lit(0.99))).otherwise(u_neg)
+    c_neg = F.floor(F.col("__base") * F.col("__sell"))
+    c_neg = F.when(F.col("__mom") > 0.1, F.floor(c_neg * 1.2)).otherwise(c_neg)
+    u_pos = F.least((F.lit(0.4) + F.col("__bl") * 0.5) * F.col("__u"), F.lit(0.95))
+    c_pos = F.floor(F.col("__base") * F.col("__buy"))
+    urgency = F.when(neg, u_neg).when(pos, u_pos).otherwise(F.lit(0.3))
+    count = F.when(neg, c_neg).when(pos, c_pos).otherwise(F.lit(2000)).cast("long")
+    action = F.when(neg, "panic_sell").when(pos, "rush_buy").otherwise("hold")
+    return x.select("url", "ticker", action.alias("action"), count.alias("agent_count"),
+                    (F.round(urgency * 1000.0) / 1000.0).alias("urgency"), "regime")

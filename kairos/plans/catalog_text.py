@@ -352,3 +352,49 @@ def q_json_props(spark, sf):
     parsed = TX.parse_json_reply("props", "k STRING")
     return ev.withColumn("__p", parsed).select(
         "event_id", F.coalesce(F.expr("try_cast(__p.k AS INT)"), F.lit(0)).alias("k"))
+
+
+@register("agent_reaction", sql=with_ctes(ARTICLES, EXPLODED, SCORED).rstrip() + """,
+""" + __import__("kairos.plans.sqltext", fromlist=["BARS"]).BARS.strip() + """,
+""" + __import__("kairos.plans.sqltext", fromlist=["SILVER"]).SILVER.strip() + """,
+ds AS (SELECT ticker, published_date, AVG(sentiment_score) AS sentiment_mean FROM sc GROUP BY 1, 2),
+dm AS (SELECT *, AVG(sentiment_mean) OVER (PARTITION BY ticker ORDER BY published_date
+                                           ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS mom FROM ds),
+rg AS (SELECT CASE WHEN rolling_return_20d > 0.05 THEN 'Bull' WHEN rolling_return_20d < -0.05 THEN 'Bear'
+                   ELSE 'Neutral' END AS regime
+       FROM silver WHERE ticker = 'MKT' AND dt = (SELECT MAX(dt) FROM silver WHERE ticker = 'MKT')),
+x AS (SELECT sc.url, sc.ticker, sc.sentiment_label, ABS(sc.sentiment_score) AS score, dm.sentiment_mean, dm.mom,
+             COALESCE(rg.regime, 'Neutral') AS regime
+      FROM sc LEFT JOIN dm ON sc.ticker = dm.ticker AND sc.published_date = dm.published_date
+      LEFT JOIN rg ON TRUE),
+y AS (SELECT *, CASE regime WHEN 'Bear' THEN 1.3 WHEN 'Bull' THEN 0.9 ELSE 1.0 END AS um,
+             CASE regime WHEN 'Bear' THEN 1.5 WHEN 'Bull' THEN 0.7 ELSE 1.0 END AS sb,
+             CASE regime WHEN 'Bear' THEN 0.6 WHEN 'Bull' THEN 1.4 ELSE 1.0 END AS bb,
+             CASE WHEN sentiment_mean IS NOT NULL THEN score * 0.6 + ABS(sentiment_mean) * 0.4 ELSE score END AS bl,
+             CASE WHEN sentiment_mean IS NOT NULL THEN COALESCE(mom, 0.0) ELSE 0.0 END AS mo,
+             GREATEST(2000, FLOOR(score * 10000.0)) AS base FROM x)
+SELECT url, ticker,
+  CASE WHEN sentiment_label IN ('negative', 'bearish') THEN 'panic_sell'
+       WHEN sentiment_label IN ('positive', 'bullish') THEN 'rush_buy' ELSE 'hold' END AS action,
+  CAST(CASE WHEN sentiment_label IN ('negative', 'bearish') THEN
+              CASE WHEN mo > 0.1 THEN FLOOR(FLOOR(base * sb) * 1.2) ELSE FLOOR(base * sb) END
+            WHEN sentiment_label IN ('positive', 'bullish') THEN FLOOR(base * bb) ELSE 2000 END AS BIGINT) AS agent_count,
+  ROUND(CASE WHEN sentiment_label IN ('negative', 'bearish') THEN
+               CASE WHEN mo > 0.1 THEN LEAST(LEAST((0.5 + bl * 0.5) * um, 0.99) + 0.1, 0.99)
+                    ELSE LEAST((0.5 + bl * 0.5) * um, 0.99) END
+             WHEN sentiment_label IN ('positive', 'bullish') THEN LEAST((0.4 + bl * 0.5) * um, 0.95)
+             ELSE 0.3 END * 1000.0) / 1000.0 AS urgency,
+  regime
+FROM y""", floats=("urgency",), ops=("P10",))
+def q_agent_reaction(spark, sf):
+    """Crowd reaction to every news item per affected instrument, scaled by
+    the current (latest) benchmark regime."""
+    from ..operators.decide import benchmark_regimes
+    from ..operators.ranking import latest_snapshot
+    from .silver import silver_table
+    sc = NW.score_text(_exploded(spark, sf), "title", neg=FX.NEGATIVE_WORDS, pos=FX.POSITIVE_WORDS)
+    ds = sc.groupBy("ticker", "published_date").agg(F.avg("sentiment_score").alias("sentiment_mean"))
+    ds = NW.sentiment_rolling(ds)
+    reg = latest_snapshot(benchmark_regimes(silver_table(spark, sf)))
+    return NW.agent_reaction(sc.select("url", "ticker", "published_date", "sentiment_score", "sentiment_label"),
+                             ds, reg)
