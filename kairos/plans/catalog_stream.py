@@ -130,3 +130,20 @@ def q_advance(spark, sf):
     if not os.path.exists(path.replace("file:", "")):
         return g.limit(0)  # no date has enough instruments: nothing advanced
     return spark.read.parquet(path)
+
+
+@register("stream_flows", sql=__import__("kairos.plans.catalog_decide", fromlist=["FLOWS"]).FLOWS + """
+SELECT * FROM (
+  SELECT flows.*, ROW_NUMBER() OVER (PARTITION BY scenario_id, dt ORDER BY urgency DESC, archetype_id) AS rank
+  FROM flows) WHERE rank <= 10""", floats=("urgency", "confidence", "stock_score"), ops=("I5", "P9"))
+def q_stream_flows(spark, sf):
+    """Flow requests (one per scenario date) arriving as a stream, each
+    answered with the top 10 decisions of its date."""
+    from ..session import materialize
+    from .catalog_decide import flows
+    fl = materialize(flows(spark, sf))
+    req = fl.select("scenario_id", "dt").distinct().withColumn("ts", F.col("dt").cast("timestamp"))
+    path = S.stage_by_day(req, "ts", "requests")
+    schema = T.StructType([T.StructField("scenario_id", T.IntegerType()), T.StructField("dt", T.DateType()),
+                           T.StructField("ts", T.TimestampType()), T.StructField("day", T.DateType())])
+    return S.stream_flows(S.read_stream(spark, path, schema, files_per_batch=64), fl)

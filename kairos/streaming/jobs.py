@@ -142,3 +142,33 @@ def reset_start_date(silver: DataFrame, n=100, k="ticker", t="dt"):
     """The first date with at least ``n`` instruments (restart point)."""
     d = silver.groupBy(t).agg(F.count_distinct(k).alias("__k")).filter(F.col("__k") >= n)
     return d.agg(F.min(t).alias("start_date"))
+
+
+def run_batches(stream: DataFrame, name: str, fn) -> DataFrame:
+    """Drain ``stream`` with ``availableNow``; every micro-batch goes through
+    ``fn(batch) -> DataFrame`` (any batch operator, e.g. a ranked
+    stream-static join) and is appended to a table in the shared folder."""
+    spark = stream.sparkSession
+    out = _shared(spark, f"{name}-{uuid.uuid4().hex[:8]}")
+
+    def write(batch: DataFrame, epoch: int):
+        fn(batch).write.mode("append").parquet(out)
+
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", out + "-ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def stream_flows(requests: DataFrame, flows: DataFrame, k=10, keys=("scenario_id", "dt"),
+                 order=("urgency", "archetype_id")) -> DataFrame:
+    """Answer each streamed (scenario, date) request with the top ``k``
+    decisions of that date by urgency (stream-static join per batch)."""
+    from ..operators.ranking import top_k_per_group
+    keys = list(keys)
+
+    def answer(batch: DataFrame) -> DataFrame:
+        j = batch.select(*keys).distinct().join(flows, keys)
+        return top_k_per_group(j, keys, [F.col(order[0]).desc(), F.col(order[1])], k, out="rank")
+
+    return run_batches(requests, "flows", answer)
