@@ -228,3 +228,48 @@ def pattern_graph(trades: DataFrame) -> DataFrame:
     po = po.withColumn("weight", F.col("__n") / F.sum("__n").over(Window.partitionBy("src"))) \
         .drop("__n").withColumn("kind", F.lit("pattern_outcome"))
     return tp.unionByName(po)
+
+
+def project_forward(latest: DataFrame, days: int = 90) -> DataFrame:
+    """F16 (noise-free part): project bias, score, drawdown and tickets
+    ``days`` ahead from the forward median and skew."""
+    p = min(max(1, days) / 365.0, 1.0)
+    med = F.coalesce(F.col("fwd_60d_median"), F.lit(0.0))
+    skew = F.coalesce(F.col("fwd_60d_skew"), F.lit(0.0))
+    bull = F.least(F.greatest(F.lit(0.5) + med * F.lit(p) * 3.0, F.lit(0.1)), F.lit(0.9))
+    x = latest.withColumn("__b", bull)
+    parts = {"buy_pct": F.col("__b") * 0.55, "call_pct": F.col("__b") * 0.45,
+             "put_pct": (F.lit(1.0) - F.col("__b")) * 0.5, "short_pct": (F.lit(1.0) - F.col("__b")) * 0.5}
+    x = x.withColumns({f"__{k}": v for k, v in parts.items()})
+    tot = F.col("__buy_pct") + F.col("__call_pct") + F.col("__put_pct") + F.col("__short_pct")
+    shift = skew * F.lit(p) * 0.5 + med * F.lit(p) * 2.0
+    gs = F.least(F.greatest(F.floor(F.col("signal_score") + shift + 0.5), F.lit(0)), F.lit(5)).cast("int")
+    x = x.withColumns({**{k: F.greatest(F.lit(0.05), F.col(f"__{k}") / tot) for k in parts},
+                       "projected_score": gs,
+                       "projected_drawdown": F.least(F.greatest(F.col("drawdown_pct") + med * F.lit(p), F.lit(-0.5)),
+                                                     F.lit(0.0))})
+    x = x.withColumns({f"projected_signal_{i}": F.col("projected_score") >= i for i in range(1, 6)})
+    return x.select("ticker", *parts.keys(), "projected_score", "projected_drawdown",
+                    *[f"projected_signal_{i}" for i in range(1, 6)])
+
+
+def payload_checks(snapshot_docs: DataFrame, graph_docs: DataFrame, min_stocks=400, min_edges=500) -> DataFrame:
+    """M5: rules over the emitted documents (parsed back from JSON)."""
+    from .quality import run_checks
+    st = snapshot_docs.select(F.explode(F.from_json(
+        "json", "struct<stocks: array<struct<ticker: string, sector: string, close: double>>>").stocks).alias("s"))
+    ed = graph_docs.select(F.explode(F.from_json(
+        "json", "struct<edges: array<struct<target: string, weight: double>>>").edges).alias("e"))
+    s = st.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("s.ticker").isNull()).alias("nt"),
+               F.count_if(F.col("s.sector").isNull()).alias("ns"),
+               F.count_if(~(F.col("s.close") > 0)).alias("bp"), F.lit(1).alias("__k"))
+    e = ed.agg((F.count(F.lit(1)) / 2).alias("ne"),
+               F.count_if((F.col("e.weight") < -1) | (F.col("e.weight") > 1)).alias("bw"), F.lit(1).alias("__k"))
+    one = s.join(e, "__k")
+    return run_checks(one, "payload", [
+        ("stock_count", F.first("n"), f">={min_stocks}", lambda v: v >= min_stocks),
+        ("edge_count", F.first("ne"), f">={min_edges}", lambda v: v >= min_edges),
+        ("null_tickers", F.first("nt"), "0", lambda v: v == 0),
+        ("null_sectors", F.first("ns"), "0", lambda v: v == 0),
+        ("non_positive_price", F.first("bp"), "0", lambda v: v == 0),
+        ("edge_weight_out_of_range", F.first("bw"), "0", lambda v: v == 0)])

@@ -336,3 +336,39 @@ def q_describe(spark, sf):
     """count/mean/stddev/min/max of every bar column."""
     from ..operators.aggregates import describe
     return describe(FX.bars_table(spark, sf))
+
+
+@register("project_forward", sql=LATEST + """
+SELECT ticker, GREATEST(0.05, bv * 0.55 / tot) AS buy_pct, GREATEST(0.05, bv * 0.45 / tot) AS call_pct,
+       GREATEST(0.05, (1.0 - bv) * 0.5 / tot) AS put_pct, GREATEST(0.05, (1.0 - bv) * 0.5 / tot) AS short_pct,
+       gs AS projected_score, pdd AS projected_drawdown,
+       gs >= 1 AS projected_signal_1, gs >= 2 AS projected_signal_2, gs >= 3 AS projected_signal_3,
+       gs >= 4 AS projected_signal_4, gs >= 5 AS projected_signal_5
+FROM (SELECT *, bv * 0.55 + bv * 0.45 + (1.0 - bv) * 0.5 + (1.0 - bv) * 0.5 AS tot FROM (
+  SELECT ticker,
+         LEAST(GREATEST(0.5 + COALESCE(fwd_60d_median, 0.0) * P * 3.0, 0.1), 0.9) AS bv,
+         CAST(LEAST(GREATEST(FLOOR(signal_score + (COALESCE(fwd_60d_skew, 0.0) * P * 0.5
+                                                   + COALESCE(fwd_60d_median, 0.0) * P * 2.0) + 0.5), 0), 5) AS INTEGER) AS gs,
+         LEAST(GREATEST(drawdown_pct + COALESCE(fwd_60d_median, 0.0) * P, -0.5), 0.0) AS pdd
+  FROM (SELECT *, CAST('""" + repr(90 / 365.0) + """' AS DOUBLE) AS P FROM lt)))""",
+          floats=("buy_pct", "call_pct", "put_pct", "short_pct", "projected_drawdown"), ops=("F16",))
+def q_project_forward(spark, sf):
+    """Bias, score, drawdown and tickets projected 90 days ahead."""
+    return R.project_forward(_latest_gold(spark, sf), 90)
+
+
+@register("sector_filter", sql=G + """
+SELECT ticker, dt, sector, signal_score FROM gold WHERE sector IN ('ASIA', 'EUROPE') AND signal_score >= 1""",
+          ops=("B7",))
+def q_sector_filter(spark, sf):
+    """Rows of a sector set with at least one signal (membership filter)."""
+    g = signal_table(silver_table(spark, sf))
+    return g.filter(F.col("sector").isin("ASIA", "EUROPE") & (F.col("signal_score") >= 1)).select(
+        "ticker", "dt", "sector", "signal_score")
+
+
+@register("payload_checks", ops=("M5", "M1"))
+def q_payload_checks(spark, sf):
+    """Rules over the emitted snapshot and graph documents."""
+    from .catalog_docs import q_graph_payload, q_snapshot
+    return R.payload_checks(q_snapshot(spark, sf), q_graph_payload(spark, sf))
