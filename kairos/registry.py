@@ -70,10 +70,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load_all()
     out = {}
     for name, q in REGISTRY.items():
-        out[name] = (lambda q: (lambda spark, sf_dir: finish(q, q.fn(spark, sf_dir))))(q)
+        out[name] = (lambda q: (lambda spark, sf_dir: _run(q, spark, sf_dir)))(q)
     return out
 
 
+def _run(q: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Wall-clock timestamps of the inputs are read as UTC, like the oracle.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return finish(q, q.fn(spark, sf_dir))
+
+
 def oracle_sql() -> dict[str, str]:
     _load_all()
     return {n: oracle_text(q) for n, q in REGISTRY.items() if q.sql is not None}
