@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +13,7 @@ from ..registry import register
 from ..sources import load
 from ..streaming import jobs as S
 from . import fixtures as FX
+from .catalog_decide import FLOWS
 
 
 def _events_stream(spark, sf):
@@ -123,7 +126,7 @@ def q_advance(spark, sf):
     g = signal_table(silver_table(spark, sf)).select("ticker", "dt", "close", "signal_score")
     start = S.reset_start_date(g, 10)
     g = g.join(F.broadcast(start), F.col("dt") >= F.col("start_date"), "left_semi")
-    path = S._shared(spark, "gold-advance-" + __import__("uuid").uuid4().hex[:8])
+    path = S._shared(spark, "gold-advance-" + uuid.uuid4().hex[:8])
     for _ in range(3):
         S.advance_day(g, path, lambda d: d)
     import os
@@ -132,7 +135,7 @@ def q_advance(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("stream_flows", sql=__import__("kairos.plans.catalog_decide", fromlist=["FLOWS"]).FLOWS + """
+@register("stream_flows", sql=FLOWS + """
 SELECT * FROM (
   SELECT flows.*, ROW_NUMBER() OVER (PARTITION BY scenario_id, dt ORDER BY urgency DESC, archetype_id) AS rank
   FROM flows) WHERE rank <= 10""", floats=("urgency", "confidence", "stock_score"), ops=("I5", "P9"))

@@ -14,7 +14,7 @@ from ..registry import register
 from ..sources import load
 from ..sources.files import dedupe_by, ingest_posts
 from . import fixtures as FX
-from .sqltext import with_ctes
+from .sqltext import BARS, SILVER, with_ctes
 
 ARTICLES = """
 articles AS (
@@ -355,8 +355,8 @@ def q_json_props(spark, sf):
 
 
 @register("agent_reaction", sql=with_ctes(ARTICLES, EXPLODED, SCORED).rstrip() + """,
-""" + __import__("kairos.plans.sqltext", fromlist=["BARS"]).BARS.strip() + """,
-""" + __import__("kairos.plans.sqltext", fromlist=["SILVER"]).SILVER.strip() + """,
+""" + BARS.strip() + """,
+""" + SILVER.strip() + """,
 ds AS (SELECT ticker, published_date, AVG(sentiment_score) AS sentiment_mean FROM sc GROUP BY 1, 2),
 dm AS (SELECT *, AVG(sentiment_mean) OVER (PARTITION BY ticker ORDER BY published_date
                                            ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS mom FROM ds),
