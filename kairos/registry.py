@@ -7,12 +7,15 @@ both engines, so the oracle compares values, not last-bit summation noise.
 
 from __future__ import annotations
 
+import importlib
 from dataclasses import dataclass, field
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import ship_package
+
 
 @dataclass
 class Query:
@@ -59,11 +62,7 @@ def _load_all():
     # Importing the catalog modules fills REGISTRY.
     for mod in ("catalog_features", "catalog_signals", "catalog_text", "catalog_quality", "catalog_graph", "catalog_decide",
                 "catalog_ml", "catalog_docs", "catalog_reports", "catalog_stream"):
-        try:
-            __import__(f"kairos.plans.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+        importlib.import_module(f".plans.{mod}", __package__)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -77,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _run(q: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
     # Wall-clock timestamps of the inputs are read as UTC, like the oracle.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return finish(q, q.fn(spark, sf_dir))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -45,12 +48,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared file system folder and is
-    used as is. Only where it is unset (local tests) a private folder is
-    created under the system temporary directory.
+    used as is. Only where it is unset in local mode (tests) a private folder
+    is created under the system temporary directory; elsewhere that raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="kairos-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not sc.getCheckpointDir():
@@ -58,10 +63,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or current
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A table location next to the checkpoint folder (shared storage)."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base.replace("file:", ""), "tables", name)
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever the driver was started:
+    a zip in the shared folder, added once per application."""
+    sc = spark.sparkContext
+    if _SHIPPED.get("app") == sc.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/package/{sc.applicationId}/kairos_package.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(path.toString())
+    _SHIPPED["app"] = sc.applicationId
+
+
+_SHIPPED: dict = {}
 
 
 def materialize(df):
