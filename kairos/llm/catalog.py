@@ -4,10 +4,37 @@ from __future__ import annotations
 
 from ..registry import register
 from ..sources import load
-from . import simhash
+from . import bpe, exactdedup, langid, mixing, simhash
 
 
 @register("op3_simhash", ops=("llm3",))
 def q_simhash(spark, sf):
     """SimHash near-duplicates of all documents: 4-word shingles, 4 bits."""
     return simhash.near_duplicates(load(spark, sf, "documents"))
+
+
+@register("op6_mixing", sql=mixing.ORACLE, ops=("llm6",))
+def q_mixing(spark, sf):
+    """All documents mixed to weights 1, 2, 3 of the sources."""
+    return mixing.mix_report(load(spark, sf, "documents"))
+
+
+@register("op7_langid", ops=("llm7",))
+def q_langid(spark, sf):
+    """Language of every document, learned from three quarters of them."""
+    return langid.identify(load(spark, sf, "documents"))
+
+
+@register("op8_exact_dedup", sql=r"""
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, h AS text_sha256
+FROM d WINDOW w AS (PARTITION BY h)""", ops=("llm8",))
+def q_exact_dedup(spark, sf):
+    """Exact duplicates of all documents, the largest doc_id stays."""
+    return exactdedup.exact_duplicates(load(spark, sf, "documents"))
+
+
+@register("op9_bpe", ops=("llm9",))
+def q_bpe(spark, sf):
+    """Ids and decoded text of every document, as digests."""
+    return bpe.digests(load(spark, sf, "documents"))

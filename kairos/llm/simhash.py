@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from .common import lower_spaced, prepare, stage, utf8, words
 from .components import components
@@ -40,13 +41,15 @@ def text_fingerprints(arr: pa.Array, shingle: int = 4, seed: int = 42) -> np.nda
 def fingerprints(docs: DataFrame, text_col: str = "text", key: str = "doc_id", shingle: int = 4) -> DataFrame:
     """``key`` and ``fp`` (the 64 bits as a long) of every row."""
     prepare(docs.sparkSession)
+    return docs.select(F.col(key).cast("long").alias("key"), _fp(F.col(text_col).cast("string"), shingle).alias("fp"))
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text_fingerprints(b.column(1), shingle).view(np.int64))], ["key", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "key long, fp long")
+def _fp(text, shingle: int):
+    @arrow_udf("long")
+    def run(t: pa.Array) -> pa.Array:
+        return pa.array(text_fingerprints(t, shingle).view(np.int64))
+
+    return run(text)
 
 
 # -- bit-sliced comparison ---------------------------------------------------
@@ -268,3 +271,19 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     each = least.join(ids, "fp", "left").select("fp", F.coalesce("cid", "least").alias("component_id"))
     return prints.join(each, "fp").select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                                           "component_id")
+
+
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of ``docs``, one of each near-duplicate component (smallest
+    doc_id, null ids last; of repeated rows the first), columns unchanged."""
+    loc = F.monotonically_increasing_id()  # a second scan of the same input gives it again
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), loc.alias("loc"), F.col(text_col).cast("string").alias("text"))
+    prints = stage(rows.select("id", "loc", _fp(F.col("text"), shingle).alias("fp")), "simhash")
+    roots = link_groups(prints, radius)
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "loc"))
+    least = stage(prints.groupBy("fp").agg(first.alias("k")).join(roots, "fp", "left").select(
+        F.coalesce("root", "fp").alias("root"), "k"), "least")
+    keep = least.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.loc").alias("keep"))
+    gone = stage(prints.join(keep, prints["loc"] == keep["keep"], "left_anti").select(F.col("loc").alias("__loc")), "dropped")
+    return docs.withColumn("__loc", loc).join(gone, "__loc", "left_anti").drop("__loc")
