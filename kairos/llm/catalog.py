@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..registry import register
 from ..sources import load
-from . import bpe, exactdedup, langid, mixing, simhash
+from . import bpe, exactdedup, langid, mixing, rans, simhash
 
 
 @register("op3_simhash", ops=("llm3",))
@@ -13,6 +13,12 @@ def q_simhash(spark, sf):
     return simhash.near_duplicates(load(spark, sf, "documents"))
 
 
+@register("op4_token_files", ops=("llm4",))
+def q_token_files(spark, sf):
+    """Ids of every document through rANS token files and back."""
+    return rans.round_trip(load(spark, sf, "documents"))
+
+
 @register("op6_mixing", sql=mixing.ORACLE, ops=("llm6",))
 def q_mixing(spark, sf):
     """All documents mixed to weights 1, 2, 3 of the sources."""
