@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from ..registry import register
 from ..sources import load
-from . import bpe, exactdedup, langid, mixing, rans, simhash
+from . import bpe, cdc, exactdedup, langid, mixing, rans, simhash
+
+
+@register("op1_fingerprints", ops=("llm1",))
+def q_fingerprints(spark, sf):
+    """Chunk fingerprints of every document and of its edited text."""
+    return cdc.report(load(spark, sf, "documents"))
 
 
 @register("op3_simhash", ops=("llm3",))
