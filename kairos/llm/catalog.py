@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..registry import register
 from ..sources import load
-from . import bpe, cdc, exactdedup, langid, mixing, rans, simhash
+from . import bpe, cdc, exactdedup, langid, mixing, quality, rans, simhash
 
 
 @register("op1_fingerprints", ops=("llm1",))
@@ -25,6 +25,12 @@ def q_token_files(spark, sf):
     return rans.round_trip(load(spark, sf, "documents"))
 
 
+@register("op5_quality", ops=("llm5",))
+def q_quality(spark, sf):
+    """Quality score of every document, learned from four fifths of the labels."""
+    return quality.scores(load(spark, sf, "documents"), load(spark, sf, "labels"))
+
+
 @register("op6_mixing", sql=mixing.ORACLE, ops=("llm6",))
 def q_mixing(spark, sf):
     """All documents mixed to weights 1, 2, 3 of the sources."""
