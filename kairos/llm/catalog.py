@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..registry import register
 from ..sources import load
-from . import bpe, cdc, exactdedup, langid, mixing, quality, rans, simhash
+from . import bpe, cdc, exactdedup, langid, mixing, quality, rans, simhash, urlfilter
 
 
 @register("op1_fingerprints", ops=("llm1",))
@@ -56,3 +56,9 @@ def q_exact_dedup(spark, sf):
 def q_bpe(spark, sf):
     """Ids and decoded text of every document, as digests."""
     return bpe.digests(load(spark, sf, "documents"))
+
+
+@register("op10_url_filter", ops=("llm10",))
+def q_urls(spark, sf):
+    """Verdict on every page's url by rules and a language-model ratio."""
+    return urlfilter.judge(load(spark, sf, "pages"))
