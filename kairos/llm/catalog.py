@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..registry import register
 from ..sources import load
-from . import bpe, cdc, exactdedup, langid, mixing, quality, rans, simhash, urlfilter
+from . import bpe, cdc, exactdedup, langid, licenses, mixing, quality, rans, simhash, urlfilter
 
 
 @register("op1_fingerprints", ops=("llm1",))
@@ -13,6 +13,12 @@ def q_fingerprints(spark, sf):
     return cdc.report(load(spark, sf, "documents"))
 
 
+@register("op2_license_scan", ops=("llm2",))
+def q_licenses(spark, sf):
+    """License notices in every document."""
+    return licenses.scan(load(spark, sf, "documents"), licenses.template_table(spark))
+
+
 @register("op3_simhash", ops=("llm3",))
 def q_simhash(spark, sf):
     """SimHash near-duplicates of all documents: 4-word shingles, 4 bits."""

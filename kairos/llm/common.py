@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -34,6 +35,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def anchored(docs: DataFrame) -> DataFrame:
+    """``docs`` such that a second scan gives every row the same
+    ``monotonically_increasing_id``: as it is if its plan only scans files,
+    filters and selects, else written once."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    if all(re.match(r"[\s:+-]*(Project|Filter|Relation) ", line) for line in plan.splitlines()):
+        return docs
+    return stage(docs, "input")
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete a staged table that no later plan reads."""
     jvm = df.sparkSession._jvm

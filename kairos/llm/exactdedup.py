@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stage, stage_path
+from .common import anchored, ascii_lower, stage, stage_path
 
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -100,6 +100,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     round for each different text of a digest. Every round decides at least
     the kept row of each digest, so it ends; ``rounds`` is a guard.
     """
+    docs = anchored(docs)
     rows = stage(located(docs, id_col, text_col, digest), "digests")
     texts = docs.select(F.monotonically_increasing_id().alias("loc"),
                         ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("norm"))
@@ -143,5 +144,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that exact dedup keeps, all columns unchanged."""
+    docs = anchored(docs)
     gone = stage(decisions(docs, id_col, text_col).filter("loc <> keep_loc").select(F.col("loc").alias("__loc")), "dropped")
     return docs.withColumn("__loc", F.monotonically_increasing_id()).join(gone, "__loc", "left_anti").drop("__loc")

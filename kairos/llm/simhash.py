@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import lower_spaced, prepare, stage, utf8, words
+from .common import anchored, lower_spaced, prepare, stage, utf8, words
 from .components import components
 
 BUCKET = 2048  # a larger bucket is split, first by more bits, then into blocks
@@ -276,6 +276,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4, radius: int = 4) -> DataFrame:
     """The rows of ``docs``, one of each near-duplicate component (smallest
     doc_id, null ids last; of repeated rows the first), columns unchanged."""
+    docs = anchored(docs)
     loc = F.monotonically_increasing_id()  # a second scan of the same input gives it again
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), loc.alias("loc"), F.col(text_col).cast("string").alias("text"))

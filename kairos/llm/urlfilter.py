@@ -33,11 +33,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def windows(text: Column) -> Column:
-    """For each character and the end mark: ORDER characters before it and itself."""
-    chars = F.split(F.concat(F.lit(BEGIN * ORDER), text, F.lit(END)), "")
-    size = F.length(text) + 1
-    return F.transform(F.sequence(F.lit(1), size), lambda i: F.array_join(F.slice(chars, i, ORDER + 1), ""))
+def characters(text: Column) -> Column:
+    """The text's characters with ORDER begin marks and one end mark."""
+    return F.split(F.concat(F.lit(BEGIN * ORDER), text, F.lit(END)), "")
+
+
+def windows(chars: Column) -> Column:
+    """For each character and the end mark: ORDER characters before it and
+    itself. Taken by index: ``slice`` copies the whole array every time."""
+    return F.transform(F.sequence(F.lit(0), F.size(chars) - (ORDER + 1)), lambda i: F.concat(*[F.get(chars, i + k) for k in range(ORDER + 1)]))
 
 
 def _grams(win: DataFrame) -> DataFrame:
@@ -134,7 +138,10 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     urls = stage(urls.select("page_id", "loc", "host", "path", rule.alias("rule"), verdict.alias("ruled")), "urls")
     text = F.concat("host", "path")
     even = F.pmod(F.xxhash64("host", "path"), F.lit(2)) == 0
-    chars = urls.select("loc", "ruled", even.alias("even"), F.explode(windows(text)).alias("w"))
+    # explode_outer: for explode the optimizer moves a filter on the array's
+    # size, and so the cutting into characters, into every step of the array.
+    chars = urls.select("loc", "ruled", even.alias("even"), characters(text).alias("chars")).select(
+        "loc", "ruled", "even", F.explode_outer(windows(F.col("chars"))).alias("w"))
     wins = stage(chars.groupBy("w").agg(F.count_if((F.col("ruled") == "allow") & F.col("even")).alias("a"),
                                         F.count_if((F.col("ruled") == "block") & F.col("even")).alias("r")), "windows")
     grams, falls = model(wins.filter("a + r > 0"))
