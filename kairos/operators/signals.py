@@ -72,6 +72,30 @@ def with_signals(df: DataFrame, params=None) -> DataFrame:
     return df.withColumn("signal_score", score)
 
 
+# Thresholds of the one-day scorer.
+DAY = dict(dip_dd=0.80, shock_dd=0.85, shock_volume=0.90, shock_vol=0.85, asym_dd=0.85, asym_fwd60=0.05, asym_fwd5=-0.03,
+           disl_dd=0.80, disl_mom=-0.05, conv_dd=0.90, conv_volume=0.90, conv_vol=0.85, conv_mom=-0.08, conv_fwd60=0.10, top_score=4)
+
+
+def day_score(df: DataFrame, p=DAY) -> DataFrame:
+    """the signals of single days from that day's feature rows alone; the
+    forward distribution is replaced by forward returns and the relative
+    return by momentum. Top tier by score only."""
+    dd, volume, vol = F.col("drawdown_percentile"), F.col("volume_percentile"), F.col("vol_percentile")
+    m5, m20 = F.col("roc_5"), F.col("roc_20")
+    f5, f60 = F.col("fwd_return_5d"), F.col("fwd_return_60d")
+    flags = {
+        "signal_1": dd > p["dip_dd"],
+        "signal_2": (dd > p["shock_dd"]) & (volume > p["shock_volume"]) & (vol > p["shock_vol"]),
+        "signal_3": (dd > p["asym_dd"]) & (f60 > p["asym_fwd60"]) & (f5 > p["asym_fwd5"]),
+        "signal_4": (dd > p["disl_dd"]) & (m20 < p["disl_mom"]) & (m5 > m20),
+        "signal_5": (dd > p["conv_dd"]) & (volume > p["conv_volume"]) & (vol > p["conv_vol"]) & (m20 < p["conv_mom"]) & (f60 > p["conv_fwd60"]),
+    }
+    df = df.withColumns({n: flag(c) for n, c in flags.items()})
+    df = df.withColumn("signal_score", sum(F.col(n).cast("int") for n in flags))
+    return df.withColumn("top_tier", F.col("signal_score") >= p["top_score"])
+
+
 def with_top_tier(df: DataFrame, params=None, kind="full") -> DataFrame:
     """top tier flag. ``kind="full"`` (all conditions) or ``"score"``
     (score >= 4 only)."""

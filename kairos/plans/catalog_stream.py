@@ -3,8 +3,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,15 +12,16 @@ from ..sources import load
 from ..streaming import jobs as S
 from . import fixtures as FX
 from .catalog_decide import FLOWS
+from .sqltext import BARS, SILVER, with_ctes
 
 
-def _events_stream(spark, sf):
+def _events_stream(spark, sf, end_after=None):
     # Event time must be a TIMESTAMP (the table stores wall-clock time;
     # the session runs in UTC, so the instant is the same).
     ev = load(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    path = S.stage_by_day(ev, "ts", "events")
+    path = S.stage_by_day(ev, "ts", "events", end_after)
     schema = T.StructType(ev.schema.fields + [T.StructField("day", T.DateType())])
-    return S.read_stream(spark, path, schema), path, schema
+    return S.read_stream(spark, path, schema)
 
 
 @register("windowed_news_stream", sql="""
@@ -31,8 +30,8 @@ SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL
 FROM events GROUP BY 1, 2, 3""", floats=("avg_value",), ops=("I7",))
 def q_windowed(spark, sf):
     """Tumbling 1-hour event-time windows per type, watermark 2 hours."""
-    st, _, _ = _events_stream(spark, sf)
-    return S.run_to_table(S.windowed_counts(st, kind="tumbling"), "tumbling", mode="complete")
+    st = _events_stream(spark, sf, end_after="5 days")
+    return S.run_to_table(S.windowed_counts(st, kind="tumbling"), S.shared_path(spark, "tumbling"))
 
 
 @register("sliding_window_stream", sql="""
@@ -43,37 +42,41 @@ SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, C
 FROM w GROUP BY 1, 2, 3""", floats=("avg_value",), ops=("I7",))
 def q_sliding(spark, sf):
     """Sliding 1-hour windows every 30 minutes."""
-    st, _, _ = _events_stream(spark, sf)
-    return S.run_to_table(S.windowed_counts(st, kind="sliding"), "sliding", mode="complete")
+    st = _events_stream(spark, sf, end_after="5 days")
+    return S.run_to_table(S.windowed_counts(st, kind="sliding"), S.shared_path(spark, "sliding"))
 
 
 @register("session_window_stream", sql="""
-WITH o AS (SELECT ts, event_type, value, LAG(ts) OVER (PARTITION BY event_type ORDER BY ts) AS pts FROM events),
-g AS (SELECT *, SUM(CASE WHEN pts IS NULL OR ts >= pts + INTERVAL 30 MINUTE THEN 1 ELSE 0 END)
-               OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM o)
-SELECT MIN(ts) AS window_start, MAX(ts) + INTERVAL 30 MINUTE AS window_end, event_type, COUNT(*) AS n,
+WITH o AS (SELECT ts, user_id, value, LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) AS pts FROM events),
+g AS (SELECT *, SUM(CASE WHEN pts IS NULL OR ts >= pts + INTERVAL 12 HOUR THEN 1 ELSE 0 END)
+               OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM o)
+SELECT MIN(ts) AS window_start, MAX(ts) + INTERVAL 12 HOUR AS window_end, user_id, COUNT(*) AS n,
        AVG(value) AS avg_value
-FROM g GROUP BY event_type, sid""", floats=("avg_value",), ops=("I7",))
+FROM g GROUP BY user_id, sid""", floats=("avg_value",), ops=("I7",))
 def q_session(spark, sf):
-    """Session windows per type with a 30-minute gap."""
-    st, _, _ = _events_stream(spark, sf)
-    return S.run_to_table(S.windowed_counts(st, kind="session"), "session", mode="complete")
+    """Session windows of each user with a 12-hour gap."""
+    st = _events_stream(spark, sf, end_after="5 days")
+    return S.run_to_table(S.windowed_counts(st, kind="session", by=("user_id",), gap="12 hours"), S.shared_path(spark, "session"))
 
 
-@register("stream_dedupe", ops=("I8", "K1"))
+@register("stream_dedupe", sql="""
+SELECT event_id, ts, user_id, event_type, value, props FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS r FROM events)
+WHERE r = 1""", ops=("I8", "K1"))
 def q_stream_dedupe(spark, sf):
-    """Events with a repeated (user, type) inside one hour dropped."""
-    st, _, _ = _events_stream(spark, sf)
-    return S.run_to_table(S.stream_dedupe(st, ["user_id", "event_type"]).drop("day"), "dedupe", mode="append")
+    """The first event of each (user, type) in each hour."""
+    st = _events_stream(spark, sf, end_after="5 days")
+    return S.run_to_table(S.stream_dedupe(st.drop("day"), ["user_id", "event_type"]), S.shared_path(spark, "dedupe"))
 
 
 @register("stream_leaderboard", sql="""
-SELECT user_id, COUNT(*) AS trades, COUNT(*) FILTER (WHERE value > 10) AS wins, SUM(value) AS profit,
+SELECT user_id, COUNT(*) AS trades, COUNT(*) FILTER (WHERE value - 10 >= 0) AS wins, SUM(value - 10) AS profit,
        MAX(ts) AS last_trade FROM events GROUP BY user_id""", floats=("profit",), ops=("I6",))
 def q_leaderboard(spark, sf):
-    """Running per-agent totals in update mode; final state per agent."""
-    st, _, _ = _events_stream(spark, sf)
-    return S.run_to_table(S.leaderboard(st), "leaderboard", mode="update", key_cols=["user_id"])
+    """Running totals of each agent in update mode, with the profit of the
+    batch leaderboard; the final state of each agent."""
+    st = _events_stream(spark, sf).withColumn("profit", F.col("value") - 10)
+    return S.run_to_table(S.leaderboard(st), S.shared_path(spark, "leaderboard"), mode="update", key_cols=["user_id"])
 
 
 @register("stream_quality", sql="""
@@ -81,9 +84,8 @@ SELECT CAST(ts AS DATE) AS day, COUNT(*) AS rows, COUNT(*) FILTER (WHERE value I
        COUNT(*) FILTER (WHERE value < 0) AS negative_values, COUNT(DISTINCT user_id) AS users
 FROM events GROUP BY 1""", ops=("I3", "M1"))
 def q_stream_quality(spark, sf):
-    """Rule checks of every micro-batch (one event day each)."""
-    _, path, schema = _events_stream(spark, sf)
-    return S.stream_quality(spark, path, schema)
+    """Rule checks of every day, put together from all micro-batches."""
+    return S.stream_quality(_events_stream(spark, sf), S.shared_path(spark, "quality"))
 
 
 @register("stream_news", sql=f"""
@@ -113,26 +115,31 @@ def q_stream_news(spark, sf):
     uni = load(spark, sf, "benchmark").select(
         F.explode(F.regexp_extract_all(TX.ascii_upper("text"), F.lit(TX.WORD_RE), 0)).alias("w")).distinct()
     st = st.join(uni, st.symbol == uni.w, "left_semi")
-    return S.run_to_table(st.select("id", "symbol", "score", "label"), "news", mode="append")
-
-
-@register("advance_days", ops=("I1", "I2", "A18", "F12"))
+    return S.run_to_table(st.select("id", "symbol", "score", "label"), S.shared_path(spark, "news"))
+
+
+@register("advance_days", sql=with_ctes(BARS, SILVER, """
+first_day AS (SELECT MIN(dt) AS d0 FROM (SELECT dt FROM silver GROUP BY dt HAVING COUNT(DISTINCT ticker) >= 10))""") + """
+SELECT ticker, dt, close,
+       CASE WHEN drawdown_percentile > 0.80 THEN 1 ELSE 0 END
+       + CASE WHEN drawdown_percentile > 0.85 AND volume_percentile > 0.90 AND vol_percentile > 0.85 THEN 1 ELSE 0 END
+       + CASE WHEN drawdown_percentile > 0.85 AND fwd_return_60d > 0.05 AND fwd_return_5d > -0.03 THEN 1 ELSE 0 END
+       + CASE WHEN drawdown_percentile > 0.80 AND roc_20 < -0.05 AND roc_5 > roc_20 THEN 1 ELSE 0 END
+       + CASE WHEN drawdown_percentile > 0.90 AND volume_percentile > 0.90 AND vol_percentile > 0.85 AND roc_20 < -0.08
+                   AND fwd_return_60d > 0.10 THEN 1 ELSE 0 END AS signal_score
+FROM silver WHERE dt >= (SELECT d0 FROM first_day)""", floats=("close",), ops=("I1", "I2", "A18", "F12"))
 def q_advance(spark, sf):
     """Incremental gold: from the reset date (first date with >= 10
-    instruments), advance three days one at a time; re-running a day
-    replaces its partition."""
-    from .gold import signal_table
-    from .silver import daily_features, silver_table
-    g = signal_table(silver_table(spark, sf)).select("ticker", "dt", "close", "signal_score")
-    start = S.reset_start_date(g, 10)
-    g = g.join(F.broadcast(start), F.col("dt") >= F.col("start_date"), "left_semi")
-    path = S._shared(spark, "gold-advance-" + uuid.uuid4().hex[:8])
-    for _ in range(3):
-        S.advance_day(g, path, lambda d: d)
-    import os
-    if not os.path.exists(path.replace("file:", "")):
-        return g.limit(0)  # no date has enough instruments: nothing advanced
-    return spark.read.parquet(path)
+    instruments) every date is scored by the one-day scorer."""
+    from ..operators.signals import day_score
+    from .silver import silver_table
+    silver = silver_table(spark, sf)
+    start = S.reset_start_date(silver, 10).first()["start_date"]
+    scored = lambda days: day_score(days).select("ticker", "dt", "close", "signal_score")
+    path = S.shared_path(spark, "gold-advance")
+    if start is None or not S.advance(silver, path, scored, days=None, start=start):
+        return scored(silver.limit(0))
+    return S.gold_rows(spark, path).select("ticker", "dt", "close", "signal_score")
 
 
 @register("stream_flows", sql=FLOWS + """
@@ -149,4 +156,4 @@ def q_stream_flows(spark, sf):
     path = S.stage_by_day(req, "ts", "requests")
     schema = T.StructType([T.StructField("scenario_id", T.IntegerType()), T.StructField("dt", T.DateType()),
                            T.StructField("ts", T.TimestampType()), T.StructField("day", T.DateType())])
-    return S.stream_flows(S.read_stream(spark, path, schema, files_per_batch=64), fl)
+    return S.stream_flows(S.read_stream(spark, path, schema, files_per_batch=64), fl, S.shared_path(spark, "flows"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources import load
+from ..sources import load, storage
 
 BENCHMARK = "MKT"
 
@@ -76,18 +76,18 @@ def bars(spark: SparkSession, sf_dir: str, benchmark: str = BENCHMARK) -> DataFr
 
 
 def bars_table(spark: SparkSession, sf_dir: str, benchmark: str = BENCHMARK) -> DataFrame:
-    """``bars`` materialised once into the shared checkpoint folder.
+    """``bars`` written once into the shared checkpoint folder.
 
     Feature plans read the bar table on several branches (instruments,
-    benchmark, size rank); a reliable checkpoint turns those into scans of
-    one small table (instruments x dates) instead of repeated aggregations
-    of the trade table, and cuts the lineage so a lost executor recomputes
-    from the checkpoint, not from the raw trades.
+    benchmark, size rank); a written Parquet table turns those into pruned
+    scans of one small table (instruments x dates) instead of repeated
+    aggregations of the trade table, and cuts the lineage so a lost executor
+    rereads it instead of the raw trades.
     """
-    from ..session import materialize
-    key = ("bars", spark.sparkContext.applicationId, sf_dir, benchmark, _stamp(sf_dir, "lineitem"))
+    from ..session import layer_table
+    key = ("bars", spark.sparkContext.applicationId, sf_dir, benchmark, stamp(spark, sf_dir))
     if key not in _TABLES:
-        _TABLES[key] = materialize(bars(spark, sf_dir, benchmark))
+        _TABLES[key] = layer_table(bars(spark, sf_dir, benchmark), "bars")
     return _TABLES[key]
 
 
@@ -97,14 +97,9 @@ def bars_table(spark: SparkSession, sf_dir: str, benchmark: str = BENCHMARK) ->
 _TABLES: dict = {}
 
 
-def _stamp(sf_dir: str, name: str):
-    import os
-    p = os.path.join(sf_dir, f"{name}.parquet")
-    try:
-        st = os.stat(p)
-        return (st.st_size, st.st_mtime_ns)
-    except OSError:
-        return None
+def stamp(spark: SparkSession, sf_dir: str, names=("lineitem", "supplier", "nation", "region")):
+    """Version of the inputs that a derived table is built from."""
+    return tuple(storage.stamp(spark, f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names)
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,11 +77,11 @@ def daily_features(bars: DataFrame, benchmark=BENCHMARK, rsi_zero_loss="cap",
 
 
 def silver_table(spark, sf_dir: str) -> DataFrame:
-    """The feature table materialised once per application and input
-    version (reliable checkpoint in the shared folder)."""
-    from ..session import materialize
+    """The feature table written once per application and input version (a
+    Parquet table in the shared folder, so readers scan only their columns)."""
+    from ..session import layer_table
     from . import fixtures as FX
-    key = ("silver", spark.sparkContext.applicationId, sf_dir, FX._stamp(sf_dir, "lineitem"))
+    key = ("silver", spark.sparkContext.applicationId, sf_dir, FX.stamp(spark, sf_dir))
     if key not in FX._TABLES:
-        FX._TABLES[key] = materialize(daily_features(FX.bars_table(spark, sf_dir)))
+        FX._TABLES[key] = layer_table(daily_features(FX.bars_table(spark, sf_dir)), "silver")
     return FX._TABLES[key]

@@ -6,6 +6,7 @@ import io
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -90,6 +91,14 @@ def ship_package(spark: SparkSession) -> None:
 _SHIPPED: dict = {}
 
 
+def layer_table(df, name: str):
+    """Write a derived layer once as Parquet in the shared folder and read it
+    back: later scans prune columns, push filters and have statistics."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/layers/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df):
     """Reliable checkpoint into the shared checkpoint folder: the result is
     computed once, later plans scan it, and a lost executor recomputes from

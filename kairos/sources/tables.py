@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import storage
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -14,7 +14,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one input table. Column pruning and filters reach the scan
     through Catalyst, so callers just ``select``/``filter`` afterwards."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict[str, DataFrame]:
@@ -45,7 +45,7 @@ def read_first(spark: SparkSession, *names: str) -> DataFrame:
     """The first table that exists, among catalog names or paths."""
     for n in names:
         if "/" in n:
-            if os.path.exists(n.replace("file:", "")):
+            if storage.exists(spark, n):
                 return spark.read.parquet(n)
         elif spark.catalog.tableExists(n):
             return spark.table(n)
@@ -81,13 +81,13 @@ def write_version(df: DataFrame, path: str) -> int:
     spark = df.sparkSession
     hist = history(spark, path)
     nxt = 0 if hist is None else (hist.agg(F.max("version")).first()[0] + 1)
-    df.write.mode("overwrite").parquet(os.path.join(path, f"version={nxt}"))
+    df.write.mode("overwrite").parquet(f"{path}/version={nxt}")
     return nxt
 
 
 def history(spark: SparkSession, path: str) -> DataFrame | None:
     """The versions present (version, rows)."""
-    if not os.path.exists(path.replace("file:", "")):
+    if not storage.exists(spark, path):
         return None
     return spark.read.parquet(path).groupBy("version").agg(F.count(F.lit(1)).alias("rows"))
 
