@@ -111,17 +111,24 @@ def score_grid(grid: DataFrame) -> DataFrame:
         .when(F.col("__rsi") > 70, F.col("eff_greed") * 3.0 - c * 4.0).otherwise(F.lit(0.0))
     s = s + c * (-F.col("__z")) * 4.0
     s = s - (F.lit(1.0) - F.col("risk_tolerance")) * F.col("__vol") * 15.0
+    # News: sensitivity times sentiment; bad news and fear amplify each other.
+    sent = F.col("sentiment_mean")
+    news = F.col("news_sensitivity") * sent * 10.0
+    news = news - F.when(sent < -0.3, F.col("eff_fear") * F.abs(sent) * 8.0).otherwise(F.lit(0.0))
+    s = s + F.coalesce(news, F.lit(0.0))
     pref = F.col("sector_preference")
     s = s + F.when(pref == "ALL", F.lit(0.0)).when(
         F.array_contains(F.split(pref, ","), F.coalesce(F.col("sector"), F.lit(""))), F.lit(3.0)).otherwise(F.lit(-1.0))
     return g.withColumn("stock_score", s)
 
 
-def decision_grid(stocks: DataFrame, archetypes: DataFrame, regimes: DataFrame, by=("scenario_id", "dt")) -> DataFrame:
+def decision_grid(stocks: DataFrame, archetypes: DataFrame, regimes: DataFrame, by=("scenario_id", "dt"),
+                  sentiment: DataFrame | None = None) -> DataFrame:
     """C17 + P2-P7: one decision per (group, archetype).
 
     ``stocks``: one row per (group keys, instrument) with the signal-table
-    columns. Returns target instrument, action, urgency, confidence, score
+    columns; ``sentiment``: (ticker, dt, sentiment_mean) of instruments with
+    news that day, one row each. Returns target instrument, action, urgency, confidence, score
     and a reasoning string per (group, archetype).
     """
     by = list(by)
@@ -133,6 +140,10 @@ def decision_grid(stocks: DataFrame, archetypes: DataFrame, regimes: DataFrame,
     s = stocks.join(F.broadcast(regimes.select("dt", "regime_label")), "dt", "left") \
         .withColumn("regime_label", F.coalesce("regime_label", F.lit("Neutral"))) \
         .join(F.broadcast(mods), "regime_label", "left")
+    if sentiment is None:
+        s = s.withColumn("sentiment_mean", F.lit(None).cast("double"))
+    else:
+        s = s.join(sentiment.select("ticker", "dt", "sentiment_mean"), ["ticker", "dt"], "left")
     s = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_arch - 1))).alias("arch_no"))
     g = score_grid(s.join(F.broadcast(arch), "arch_no"))
     grp = Window.partitionBy(*by, "archetype_id")
@@ -167,12 +178,13 @@ def decision_grid(stocks: DataFrame, archetypes: DataFrame, regimes: DataFrame,
     action = F.when(u2 < c1, "BUY").when(u2 < c2, "CALL").when(u2 < c3, "PUT").otherwise("SHORT")
     # Urgency, confidence, reasoning.
     urg = F.col("urgency_base") + F.col("__gold") * 0.08 + F.coalesce("realized_vol_20d", F.lit(0.0)) * 0.5
+    urg = urg + F.coalesce(F.abs("sentiment_mean") * 0.3, F.lit(0.0))
     urg = urg * (F.lit(0.5) + F.col("eff_greed") * 0.3 + (F.lit(1.0) - F.col("eff_fear")) * 0.2)
     urg = F.least(F.greatest(urg, F.lit(0.0)), F.lit(1.0))
     conf = (F.col("stock_score") - F.col("__mean")) / (F.col("__sd") + F.lit(1e-6)) * 0.3 + 0.5
     conf = F.least(F.greatest(conf, F.lit(0.0)), F.lit(1.0))
     reason = F.concat_ws("; ", F.concat(F.lit("Regime="), F.col("regime_label")),
-                         F.when(F.col("__gold") >= 3, F.concat(F.lit("golden="), F.col("__gold").cast("int").cast("string"))),
+                         F.when(F.col("__gold") >= 3, F.concat(F.lit("score="), F.col("__gold").cast("int").cast("string"))),
                          F.when(dd < -0.10, F.concat(F.lit("drawdown="),
                                                      (F.round(dd * 1000.0) / 10.0).cast("string"), F.lit("%"))),
                          F.when(ctr, F.lit("contrarian_signal")))
@@ -201,9 +213,9 @@ def aggregate_flows(flows: DataFrame, by=("scenario_id", "dt")) -> DataFrame:
     return g.withColumns({"bullish_ratio": bull / F.col("agents"), "net_flow": bull - bear})
 
 
-def benchmark_regimes(silver: DataFrame, benchmark="MKT", band=0.05) -> DataFrame:
+def benchmark_regimes(silver: DataFrame, benchmark="MKT", low=-0.05, high=0.05) -> DataFrame:
     """Stand-in regime table: Bull / Bear / Neutral by the benchmark's
-    20-row summed return (> band, < -band)."""
+    20-row summed return (> high, < low)."""
     b = silver.filter(F.col("ticker") == benchmark).select("dt", "rolling_return_20d")
     r = F.col("rolling_return_20d")
-    return b.select("dt", F.when(r > band, "Bull").when(r < -band, "Bear").otherwise("Neutral").alias("regime_label"))
+    return b.select("dt", F.when(r > high, "Bull").when(r < low, "Bear").otherwise("Neutral").alias("regime_label"))

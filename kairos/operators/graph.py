@@ -287,63 +287,3 @@ def filter_edges_by_vol(edges: DataFrame, nodes: DataFrame, mode="highVol", vol=
     avg = (F.coalesce("__va", F.lit(0.5)) + F.coalesce("__vb", F.lit(0.5))) / 2.0
     cond = avg > 0.6 if mode == "highVol" else avg <= 0.4
     return j.filter(cond).select(*edges.columns)
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame, id_="ticker", distance="weight") -> DataFrame:
-    """Betweenness centrality, edge length = |correlation| (the source's
-    choice, S28; ``distance="inverse"`` uses 1 - |corr|). Brandes from each
-    source node runs in ``mapInPandas`` over a partition of sources; the
-    adjacency (one row per edge, bounded by the pair table) is broadcast
-    to the tasks; partial scores are summed by node and normalised by
-    (n-1)(n-2) like an undirected graph."""
-    import heapq
-
-    import pandas as pd
-
-    spark = nodes.sparkSession
-    adj = both_directions(edges).select("src", "dst", F.abs("weight").alias("w"))
-    if distance == "inverse":
-        adj = adj.withColumn("w", F.lit(1.0) - F.col("w"))
-    adj_rows = adj.collect()  # bounded by the edge count of the instrument graph
-    graph: dict = {}
-    for r in adj_rows:
-        graph.setdefault(r["src"], []).append((r["dst"], float(r["w"])))
-    bc = spark.sparkContext.broadcast(graph)
-    ids = nodes.select(F.col(id_).alias("source")).distinct()
-    n_nodes = ids.count()
-
-    def run(it):
-        g = bc.value
-        for pdf in it:
-            acc: dict = {}
-            for s in pdf["source"]:
-                dist, sigma, preds, order = {s: 0.0}, {s: 1.0}, {s: []}, []
-                heap = [(0.0, s)]
-                seen = set()
-                while heap:
-                    d, v = heapq.heappop(heap)
-                    if v in seen:
-                        continue
-                    seen.add(v)
-                    order.append(v)
-                    for u, w in g.get(v, []):
-                        nd = d + w
-                        if u not in dist or nd < dist[u] - 1e-15:
-                            dist[u], sigma[u], preds[u] = nd, sigma[v], [v]
-                            heapq.heappush(heap, (nd, u))
-                        elif abs(nd - dist[u]) <= 1e-15:
-                            sigma[u] += sigma[v]
-                            preds[u].append(v)
-                delta = {v: 0.0 for v in order}
-                for v in reversed(order):
-                    for p in preds.get(v, []):
-                        delta[p] += sigma[p] / sigma[v] * (1.0 + delta[v])
-                    if v != s:
-                        acc[v] = acc.get(v, 0.0) + delta[v]
-            yield pd.DataFrame({"node": list(acc.keys()), "b": list(acc.values())})
-
-    part = ids.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "node string, b double")
-    tot = part.groupBy("node").agg(F.sum("b").alias("b"))
-    scale = 1.0 / ((n_nodes - 1) * (n_nodes - 2)) if n_nodes > 2 else 1.0
-    out = nodes.select(F.col(id_).alias("node")).distinct().join(tot, "node", "left")
-    return out.select(F.col("node").alias(id_), (F.coalesce("b", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))

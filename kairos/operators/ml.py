@@ -191,11 +191,21 @@ def cluster_embeddings(df: DataFrame, k=20, dims=8, seed=42, outlier_q=0.95, vec
     ctr = F.element_at(cmap, F.col("topic_id") + 1)
     dist = F.sqrt(F.aggregate(F.zip_with(pc, ctr, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y))
     x = x.withColumn("distance", dist)
-    thr = F.percentile("distance", outlier_q).over(Window.partitionBy())
-    x = x.withColumn("topic_id", F.when(F.col("distance") > thr, F.lit(-1)).otherwise(F.col("topic_id")))
+    # One number; sketches of the partitions are merged, within 1e-5 of the rank.
+    thr = x.agg(F.percentile_approx("distance", outlier_q, 100_000)).first()[0]
+    if thr is not None:
+        x = x.withColumn("topic_id", F.when(F.col("distance") > F.lit(thr), F.lit(-1)).otherwise(F.col("topic_id")))
     return x.drop("__v", "__pc")
 
 
+def class_topics(docs: DataFrame, cls="lang", out="topic_id") -> DataFrame:
+    """The number of each document's class, in order of the class names
+    (null first). Only the distinct classes are numbered, and joined back."""
+    names = docs.select(F.col(cls).alias("__c")).distinct()
+    names = names.withColumn(out, F.row_number().over(Window.orderBy("__c")) - 1)
+    return docs.join(names, F.col(cls).eqNullSafe(F.col("__c")), "left").drop("__c")
+
+
 def topic_words(docs: DataFrame, text="text", cls="topic_id", top=10, min_df=2, max_df=0.95) -> DataFrame:
     """Class-based TF-IDF of 1-2-grams (stop words removed) per class:
     w = tf(t, c) * log(1 + A / f(t)), A = mean words per class, f(t) = total

@@ -81,3 +81,20 @@ def cap_edges(edges: DataFrame, n=2000, w="weight") -> DataFrame:
 def keep_last(df: DataFrame, k, t, n=20) -> DataFrame:
     """H8: newest ``n`` rows per key."""
     return top_k_per_group(df, k, [F.col(t).desc()], n).drop("rank")
+
+
+def global_rank(df: DataFrame, order, out="rank", name="ranked") -> DataFrame:
+    """1, 2, ... over all rows by ``order`` (which must be unique). The
+    rows are range-partitioned and written in order; a row's rank is its place
+    in its partition plus the rows of the partitions before it (one number for
+    each partition), so no task sees all rows."""
+    from ..session import layer_table
+    rows = layer_table(df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()), name)
+    part, at = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    before, offsets = 1, []
+    for r in sorted(counts, key=lambda r: r["p"]):
+        offsets.append((r["p"], before))
+        before += r["n"]
+    table = df.sparkSession.createDataFrame(offsets or [(0, 1)], "__p long, __o long")
+    return rows.join(F.broadcast(table), part == F.col("__p")).withColumn(out, F.col("__o") + at).drop("__p", "__o", "__m")

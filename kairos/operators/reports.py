@@ -97,14 +97,14 @@ def select_universe(latest: DataFrame, n: int, min_history=200, size="avg_volume
 def leaderboard(trades: DataFrame, agent="agent_id", t="ts", profit="profit", last_n=8) -> DataFrame:
     """H7: agents ranked by total profit with win rate and their last
     ``last_n`` trades (newest first)."""
-    from .ranking import top_k_per_group
+    from .ranking import global_rank, top_k_per_group
     recent = top_k_per_group(trades, agent, [F.col(t).desc(), F.col("trade_id").desc()], last_n, out="__r") \
         .groupBy(agent).agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", "trade_id", profit))),
                                         lambda s: s["trade_id"]).alias("last_trades"))
     tot = trades.groupBy(agent).agg(F.sum(profit).alias("total_profit"), F.count(F.lit(1)).alias("total_trades"),
                                     (F.count_if(F.col(profit) >= 0) / F.count(F.lit(1))).alias("win_rate"))
     out = tot.join(recent, agent)
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("total_profit").desc(), F.col(agent))))
+    return global_rank(out, [F.col("total_profit").desc(), F.col(agent)], name="leaderboard")
 
 
 def event_feed(*parts: DataFrame) -> DataFrame:

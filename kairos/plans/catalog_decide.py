@@ -26,7 +26,7 @@ def _stocks(spark, sf):
 
 def flows(spark, sf):
     s, g = _stocks(spark, sf)
-    return P.decision_grid(s, P.make_archetypes(spark), P.benchmark_regimes(g))
+    return P.decision_grid(s, P.make_archetypes(spark), FX.regimes(g), sentiment=FX.daily_sentiment(spark, sf))
 
 
 def _u(*cols):
@@ -65,10 +65,10 @@ def _or(c, d):
 
 FLOWS = with_ctes(BARS, SILVER, GOLD).rstrip() + f""",
 scen AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{n}', DATE '{a}', DATE '{b}')" for i, n, a, b in FX.SCENARIOS)})
-         AS t(scenario_id, scenario_name, start_date, end_date)),
+         AS t(scenario_id, scenario_name, start_date, end_date)),{FX.SENTIMENT_SQL},
 stk0 AS (SELECT g.*, s.scenario_id FROM gold g JOIN scen s ON g.dt >= s.start_date AND g.dt <= s.end_date),
 stk AS (SELECT * FROM (SELECT *, COUNT(*) OVER (PARTITION BY scenario_id, dt) AS nn FROM stk0) WHERE nn >= {MIN_INSTRUMENTS}),
-reg AS (SELECT dt AS rdt, CASE WHEN rolling_return_20d > 0.05 THEN 'Bull' WHEN rolling_return_20d < -0.05 THEN 'Bear'
+reg AS (SELECT dt AS rdt, {FX.REGIME_SQL}
                               ELSE 'Neutral' END AS rl FROM silver WHERE ticker = 'MKT'),
 mods AS (SELECT * FROM (VALUES {_mods_values()}) AS t(regime_label, greed_boost, fear_reduction, buy_bias, urgency_base)),
 base AS (SELECT * FROM (VALUES
@@ -78,11 +78,12 @@ aj AS (SELECT base_type, variant_index, {_jit('risk')} AS risk_tolerance, {_jit(
               {_jit('fear')} AS fear_j, {_jit('news')} AS news_sensitivity, {_jit('contr', -1.0, 1.0)} AS contrarian_factor,
               {_pj('buy')} AS b0, {_pj('call')} AS c0, {_pj('put')} AS p0, {_pj('short')} AS s0, sector_pref FROM av),
 arch AS (SELECT base_type || '_v' || lpad(CAST(variant_index AS VARCHAR), 2, '0') AS archetype_id, base_type,
-                risk_tolerance, greed_j AS greed, fear_j AS fear, contrarian_factor,
+                risk_tolerance, greed_j AS greed, fear_j AS fear, news_sensitivity, contrarian_factor,
                 {_r3('b0 / (b0 + c0 + p0 + s0)')} AS buy_prob, {_r3('c0 / (b0 + c0 + p0 + s0)')} AS call_prob,
                 {_r3('p0 / (b0 + c0 + p0 + s0)')} AS put_prob, {_r3('s0 / (b0 + c0 + p0 + s0)')} AS short_prob,
                 sector_pref AS sector_preference FROM aj),
-gr0 AS (SELECT stk.*, COALESCE(reg.rl, 'Neutral') AS regime_label FROM stk LEFT JOIN reg ON stk.dt = reg.rdt),
+gr0 AS (SELECT stk.*, sent.sentiment_mean, COALESCE(reg.rl, 'Neutral') AS regime_label FROM stk LEFT JOIN reg ON stk.dt = reg.rdt
+        LEFT JOIN sent ON stk.ticker = sent.sticker AND stk.dt = sent.sdt),
 gr1 AS (SELECT gr0.*, m.greed_boost, m.fear_reduction, m.buy_bias, m.urgency_base, a.*,
                LEAST(GREATEST(a.greed + m.greed_boost, 0.0), 1.0) AS eff_greed,
                LEAST(GREATEST(a.fear - m.fear_reduction, 0.0), 1.0) AS eff_fear,
@@ -101,6 +102,8 @@ gr2 AS (SELECT gr1.*,
            WHEN xrsi > 70 THEN eff_greed * 3.0 - contrarian_factor * 4.0 ELSE 0.0 END)
    + contrarian_factor * (-xz) * 4.0
    - (1.0 - risk_tolerance) * xvol * 15.0
+   + COALESCE(news_sensitivity * sentiment_mean * 10.0
+              - (CASE WHEN sentiment_mean < -0.3 THEN eff_fear * ABS(sentiment_mean) * 8.0 ELSE 0.0 END), 0.0)
    + (CASE WHEN sector_preference = 'ALL' THEN 0.0
            WHEN list_contains(string_split(sector_preference, ','), COALESCE(sector, '')) THEN 3.0 ELSE -1.0 END)
      AS stock_score FROM gr1),
@@ -130,11 +133,11 @@ flows AS (SELECT scenario_id, dt, archetype_id, base_type, ticker AS target_tick
         WHEN u2 < qb / (qb + qc + qp + qs) + qc / (qb + qc + qp + qs) THEN 'CALL'
         WHEN u2 < qb / (qb + qc + qp + qs) + qc / (qb + qc + qp + qs) + qp / (qb + qc + qp + qs) THEN 'PUT'
         ELSE 'SHORT' END AS action,
-   {_r3("LEAST(GREATEST((urgency_base + xgold * 0.08 + COALESCE(realized_vol_20d, 0.0) * 0.5) * (0.5 + eff_greed * 0.3 + (1.0 - eff_fear) * 0.2), 0.0), 1.0)")} AS urgency,
+   {_r3("LEAST(GREATEST((urgency_base + xgold * 0.08 + COALESCE(realized_vol_20d, 0.0) * 0.5 + COALESCE(ABS(sentiment_mean) * 0.3, 0.0)) * (0.5 + eff_greed * 0.3 + (1.0 - eff_fear) * 0.2), 0.0), 1.0)")} AS urgency,
    {_r3("LEAST(GREATEST((stock_score - smean) / (ssd + 1e-6) * 0.3 + 0.5, 0.0), 1.0)")} AS confidence,
    {_r3("stock_score")} AS stock_score,
    concat_ws('; ', 'Regime=' || regime_label,
-             CASE WHEN xgold >= 3 THEN 'golden=' || CAST(CAST(xgold AS INTEGER) AS VARCHAR) END,
+             CASE WHEN xgold >= 3 THEN 'score=' || CAST(CAST(xgold AS INTEGER) AS VARCHAR) END,
              CASE WHEN xdd < -0.10 THEN 'drawdown=' || CAST(ROUND(xdd * 1000.0) / 10.0 AS VARCHAR) || '%' END,
              CASE WHEN contrarian_factor > 0.3 THEN 'contrarian_signal' END) AS reasoning,
    regime_label FROM pr)

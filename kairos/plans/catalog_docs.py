@@ -32,16 +32,15 @@ def q_graph_payload(spark, sf):
 @register("scenario_payload", ops=("A16",))
 def q_scenario_payload(spark, sf):
     """Scenario documents: dates with regime and instruments by agents."""
-    from ..operators.decide import aggregate_flows, benchmark_regimes
+    from ..operators.decide import aggregate_flows
     from .catalog_decide import flows
     agg = aggregate_flows(flows(spark, sf))
-    reg = benchmark_regimes(silver_table(spark, sf))
+    reg = FX.regimes(silver_table(spark, sf))
     return PL.build_scenario_payload(agg, reg)
 
 
 @register("topic_metadata", ops=("A17",))
 def q_topic_metadata(spark, sf):
     """Topic metadata document from the language-class keywords."""
-    from pyspark.sql import Window
-    d = load(spark, sf, "documents").withColumn("topic_id", F.dense_rank().over(Window.orderBy("lang")) - 1)
+    d = N.class_topics(load(spark, sf, "documents"))
     return PL.build_topic_metadata(N.assign_topics(N.topic_words(d)))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..operators import ml as N
 from ..operators import windows as E
-from ..operators.decide import benchmark_regimes
 from ..registry import register
 from ..sources import load
 from . import fixtures as FX
@@ -54,14 +53,14 @@ def q_regime_states(spark, sf):
 
 
 @register("regime_transitions", sql=with_ctes(BARS, SILVER).rstrip() + """,
-r AS (SELECT dt, CASE WHEN rolling_return_20d > 0.05 THEN 'Bull' WHEN rolling_return_20d < -0.05 THEN 'Bear'
+r AS (SELECT dt, """ + FX.REGIME_SQL + """
                       ELSE 'Neutral' END AS regime_label FROM silver WHERE ticker = 'MKT'),
 p AS (SELECT LAG(regime_label) OVER (ORDER BY dt) AS prev_label, regime_label AS next_label FROM r)
 SELECT prev_label, next_label, COUNT(*) AS n, COUNT(*) * 1.0 / SUM(COUNT(*)) OVER (PARTITION BY prev_label) AS share
 FROM p WHERE prev_label IS NOT NULL GROUP BY 1, 2""", floats=("share",), ops=("D17", "E35"))
 def q_regime_transitions(spark, sf):
     """Transition counts between consecutive regime labels and row shares."""
-    return N.regime_transitions(benchmark_regimes(silver_table(spark, sf)))
+    return N.regime_transitions(FX.regimes(silver_table(spark, sf)))
 
 
 @register("label_actions", sql=with_ctes(BARS, SILVER).rstrip() + """,
@@ -123,7 +122,7 @@ def q_embedding_topics(spark, sf):
 @register("topic_words", ops=("N13", "N14", "L8"))
 def q_topic_words(spark, sf):
     """Class TF-IDF keywords per language class and their topic labels."""
-    d = load(spark, sf, "documents").withColumn("topic_id", F.dense_rank().over(Window.orderBy("lang")) - 1)
+    d = N.class_topics(load(spark, sf, "documents"))
     return N.assign_topics(N.topic_words(d))
 
 

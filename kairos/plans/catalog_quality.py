@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality as M
-from ..operators.decide import benchmark_regimes
 from ..operators.joins import diff_versions
 from ..operators.ranking import latest_per_key
 from ..registry import register
@@ -195,14 +194,14 @@ def q_version_diff(spark, sf):
 
 
 @register("regime_share", sql=with_ctes(BARS, SILVER).rstrip() + """,
-r AS (SELECT dt, CASE WHEN rolling_return_20d > 0.05 THEN 'Bull' WHEN rolling_return_20d < -0.05 THEN 'Bear'
+r AS (SELECT dt, """ + FX.REGIME_SQL + """
                         ELSE 'Neutral' END AS regime_label FROM silver WHERE ticker = 'MKT'
                         AND dt BETWEEN DATE '1996-01-01' AND DATE '1996-12-31')
 SELECT regime_label, COUNT(*) AS days, COUNT(*) * 100.0 / SUM(COUNT(*)) OVER () AS pct FROM r GROUP BY regime_label
 """, floats=("pct",), ops=("M15",))
 def q_regime_share(spark, sf):
     """Regime composition of 1996."""
-    return M.regime_share(benchmark_regimes(_silver(spark, sf)), "1996-01-01", "1996-12-31")
+    return M.regime_share(FX.regimes(_silver(spark, sf)), "1996-01-01", "1996-12-31")
 
 
 @register("pipeline_status", sql=G + """

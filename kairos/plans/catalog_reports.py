@@ -209,15 +209,6 @@ def q_ingest_articles(spark, sf):
     return ingest_articles(FX.articles(spark, sf)).drop("ingested_at")
 
 
-@register("betweenness", ops=("G5",))
-def q_betweenness(spark, sf):
-    """Betweenness centrality of the correlation graph (Brandes per source,
-    sources spread over tasks, sums by node)."""
-    from ..operators.graph import betweenness
-    from .catalog_graph import _edges, _nodes
-    return betweenness(_nodes(spark, sf), _edges(spark, sf))
-
-
 @register("ml_bias", ops=("C8", "F9"))
 def q_ml_bias(spark, sf):
     """Model action probabilities where the model scored the row, else the

@@ -360,7 +360,7 @@ def q_json_props(spark, sf):
 ds AS (SELECT ticker, published_date, AVG(sentiment_score) AS sentiment_mean FROM sc GROUP BY 1, 2),
 dm AS (SELECT *, AVG(sentiment_mean) OVER (PARTITION BY ticker ORDER BY published_date
                                            ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS mom FROM ds),
-rg AS (SELECT CASE WHEN rolling_return_20d > 0.05 THEN 'Bull' WHEN rolling_return_20d < -0.05 THEN 'Bear'
+rg AS (SELECT """ + FX.REGIME_SQL + """
                    ELSE 'Neutral' END AS regime
        FROM silver WHERE ticker = 'MKT' AND dt = (SELECT MAX(dt) FROM silver WHERE ticker = 'MKT')),
 x AS (SELECT sc.url, sc.ticker, sc.sentiment_label, ABS(sc.sentiment_score) AS score, dm.sentiment_mean, dm.mom,
@@ -389,12 +389,11 @@ FROM y""", floats=("urgency",), ops=("P10",))
 def q_agent_reaction(spark, sf):
     """Crowd reaction to every news item per affected instrument, scaled by
     the current (latest) benchmark regime."""
-    from ..operators.decide import benchmark_regimes
     from ..operators.ranking import latest_snapshot
     from .silver import silver_table
     sc = NW.score_text(_exploded(spark, sf), "title", neg=FX.NEGATIVE_WORDS, pos=FX.POSITIVE_WORDS)
     ds = sc.groupBy("ticker", "published_date").agg(F.avg("sentiment_score").alias("sentiment_mean"))
     ds = NW.sentiment_rolling(ds)
-    reg = latest_snapshot(benchmark_regimes(silver_table(spark, sf)))
+    reg = latest_snapshot(FX.regimes(silver_table(spark, sf)))
     return NW.agent_reaction(sc.select("url", "ticker", "published_date", "sentiment_score", "sentiment_label"),
                              ds, reg)
