@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reports as R
 from ..operators.aggregates import coverage
-from ..operators.news import daily_news, explode_matches
+from ..operators.news import daily_news, explode_matches, news_rolling
 from ..operators.ranking import latest_per_key, top_n
 from ..operators.signals import approx_distribution, direction_bias_momentum, news_attention
 from ..registry import register
@@ -178,22 +178,27 @@ def q_bias_fallback(spark, sf):
                     d["skew"].alias("skew"))
 
 
-@register("enrich_news", sql=with_ctes(BARS, SILVER, ARTICLES, EXPLODED, DAILY_NEWS) + """
+@register("enrich_news", sql=with_ctes(BARS, SILVER, FX.SCENARIO_SQL, FX.INSTRUMENT_NEWS_SQL) + """,
+dn0 AS (SELECT sticker, sdt, COUNT(*) AS news_count, AVG(tone / CAST(10 AS DOUBLE)) AS avg_news_tone,
+               COALESCE(STDDEV_SAMP(tone / CAST(10 AS DOUBLE)), 0.0) AS std_news_tone FROM inews GROUP BY sticker, sdt),
+dn AS (SELECT *, STDDEV_SAMP(news_count) OVER w AS s7, AVG(news_count) OVER w AS m7 FROM dn0
+       WINDOW w AS (PARTITION BY sticker ORDER BY sdt ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
 SELECT s.ticker, s.dt, COALESCE(n.news_count, 0) AS news_count, COALESCE(n.avg_news_tone, 0.0) AS avg_news_tone,
        COALESCE(n.std_news_tone, 0.0) AS std_news_tone, n.news_count IS NOT NULL AS has_news,
-       CASE WHEN n.news_count IS NOT NULL THEN 0.5 * ABS(0.0) + 0.3 * ABS(n.avg_news_tone) + 0.2 * n.std_news_tone
+       CASE WHEN n.news_count IS NOT NULL THEN 0.5 * ABS(CASE WHEN s7 > 0 THEN (news_count - m7) / s7 ELSE 0.0 END) + 0.3 * ABS(n.avg_news_tone) + 0.2 * n.std_news_tone
             ELSE 0.0 END AS news_attention_score
-FROM silver s LEFT JOIN dn n ON s.ticker = n.ticker AND s.dt = n.published_date""",
+FROM silver s LEFT JOIN dn n ON s.ticker = n.sticker AND s.dt = n.sdt""",
           floats=("avg_news_tone", "std_news_tone", "news_attention_score"), ops=("C7", "F15", "B3"))
 def q_enrich_news(spark, sf):
     """Bars enriched with daily news features (left join, defaults filled)
     and the attention score."""
     b = FX.bars_table(spark, sf).select("ticker", "dt")
-    dn = daily_news(explode_matches(FX.articles(spark, sf), "title", FX.KEYWORDS)).select(
-        "ticker", F.col("published_date").alias("dt"), "news_count", "avg_news_tone", "std_news_tone")
+    tone = F.col("tone") / F.lit(10.0)
+    dn = FX.instrument_news(spark, sf).groupBy("ticker", "dt").agg(
+        F.count(F.lit(1)).alias("news_count"), F.avg(tone).alias("avg_news_tone"), F.coalesce(F.stddev_samp(tone), F.lit(0.0)).alias("std_news_tone"))
+    dn = news_rolling(dn, t="dt").select("ticker", "dt", "news_count", "avg_news_tone", "std_news_tone", "news_count_zscore")
     j = b.join(dn, ["ticker", "dt"], "left").withColumn("has_news", F.col("news_count").isNotNull())
-    j = j.fillna({"news_count": 0, "avg_news_tone": 0.0, "std_news_tone": 0.0})
-    j = j.withColumn("news_count_zscore", F.lit(0.0))
+    j = j.fillna({"news_count": 0, "avg_news_tone": 0.0, "std_news_tone": 0.0, "news_count_zscore": 0.0})
     return j.select("ticker", "dt", "news_count", "avg_news_tone", "std_news_tone", "has_news",
                     news_attention("has_news", "news_count_zscore", "avg_news_tone", "std_news_tone")
                     .alias("news_attention_score"))
@@ -218,7 +223,8 @@ def q_ml_bias(spark, sf):
     s = silver_table(spark, sf)
     lab = N.time_split(N.label_actions(s))
     model = N.train_actions(lab, FEATURES)
-    scored = N.score_actions(model, lab.filter(F.col("is_test")).dropna(subset=FEATURES)).select(
+    # Every row with complete features is scored; only training needs labels.
+    scored = N.score_actions(model, latest_per_key(s).dropna(subset=FEATURES)).select(
         "ticker", "dt", "prob_buy", "prob_call", "prob_put", "prob_short")
     g = latest_per_key(signal_table(s)).select("ticker", "dt", "roc_5", "drawdown_pct")
     j = g.join(scored, ["ticker", "dt"], "left")

@@ -150,10 +150,9 @@ def regimes(silver: DataFrame) -> DataFrame:
 REGIME_SQL = f"CASE WHEN rolling_return_20d > {REGIME_HIGH} THEN 'Bull' WHEN rolling_return_20d < {REGIME_LOW} THEN 'Bear'"
 
 
-def daily_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """News sentiment by instrument and date from ``documents``: doc_id deals
-    each document to a nation and to a date of a scenario period, its length
-    gives the score in [-1, 1]; the mean of a day's documents."""
+def instrument_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ticker, dt, tone) of every document: doc_id deals it to a nation and to
+    a date of a scenario period, its length gives the tone from -100 to 100."""
     nation = load(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("ticker"))
     d = load(spark, sf_dir, "documents").filter("doc_id is not null and n_chars is not null").select(
         ((F.col("doc_id") * 7 + F.floor(F.col("doc_id") / 25)) % 25).alias("k"), (F.col("doc_id") % 3 + 1).cast("int").alias("scenario_id"),
@@ -161,15 +160,25 @@ def daily_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.broadcast(scenarios(spark))  # three rows
     d = d.join(s, "scenario_id").withColumn("dt", F.date_add("start_date", (F.col("n") % (F.datediff("end_date", "start_date") + 1)).cast("int")))
     d = d.join(F.broadcast(nation), d.k == nation.n_nationkey)  # 25 rows
+    return d.select("ticker", "dt", "tone")
+
+
+def daily_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean sentiment in [-1, 1] by instrument and date."""
+    d = instrument_news(spark, sf_dir)
     return d.groupBy("ticker", "dt").agg((F.sum("tone") / F.lit(100.0) / F.count(F.lit(1))).alias("sentiment_mean"))
 
 
-SENTIMENT_SQL = """
-sent AS (SELECT n_name AS sticker, sdt, SUM(tone) / CAST(100 AS DOUBLE) / COUNT(*) AS sentiment_mean FROM (
+SCENARIO_SQL = ("scen AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', DATE '{a}', DATE '{b}')" for i, n, a, b in SCENARIOS)
+                + ") AS t(scenario_id, scenario_name, start_date, end_date))")
+INSTRUMENT_NEWS_SQL = """
+inews AS (SELECT n_name AS sticker, sdt, tone FROM (
   SELECT (doc_id * 7 + doc_id // 25) % 25 AS k, s.start_date + CAST((doc_id // 3) % (s.end_date - s.start_date + 1) AS INTEGER) AS sdt,
          n_chars % 201 - 100 AS tone
   FROM documents JOIN scen s ON s.scenario_id = doc_id % 3 + 1 WHERE n_chars IS NOT NULL)
-  JOIN nation ON k = n_nationkey GROUP BY n_name, sdt)"""
+  JOIN nation ON k = n_nationkey)"""
+SENTIMENT_SQL = INSTRUMENT_NEWS_SQL + """,
+sent AS (SELECT sticker, sdt, SUM(tone) / CAST(100 AS DOUBLE) / COUNT(*) AS sentiment_mean FROM inews GROUP BY sticker, sdt)"""
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
