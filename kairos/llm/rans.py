@@ -22,22 +22,24 @@ frequent id.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import _ranges, distinct, tokenizer_path, utf8_bytes
-from .common import id_text, prepare, stage, stage_path, utf8, words
+from .bpe import _ranges, byte_chars, distinct, tokenizer_path, utf8_bytes
+from .common import _SPACE, id_text, prepare, stage, stage_path, utf8, words
 
 MAGIC = b"RANSTOK1"
 LANES, STEPS = 16, 512
 SCALE = 18
 LOW = np.uint64(1 << 31)
-FILE_IDS = 1 << 20  # a file ends with the document that reaches so many ids
+FILE_IDS = 1 << 19  # a file ends with the document that reaches so many ids
 
 
 # -- coding ------------------------------------------------------------------
@@ -150,24 +152,24 @@ class WordEncoder:
     """The library's ids of whole texts, put together from those of their
     white-space words: this vocabulary drops white space before cutting
     pieces, so no piece crosses it. ``check`` raises for tokenizers that
-    don't. Words of plain Latin letters go straight to the library's BPE
-    model, all others through its whole ``encode``; ids of known words are
-    held in a bounded table."""
+    don't. Words of Latin-1 letters go straight to the library's BPE model,
+    all others through its whole ``encode``; ids of known words are held in a
+    bounded table."""
 
-    HELD = 400_000
+    HELD = 500_000
 
     def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_padding()
         self.tok.no_truncation()
         self.suffix = json.loads(spec)["model"].get("end_of_word_suffix")
         self.check()
-        self.marks: dict[str, list[int]] = {}
         self.clear()
 
     def check(self) -> None:
-        probe = ["Don't stop,\nÉté  2024!", "a\t b\r\nc", "Ünï x1y2 ''s", " <|endoftext|> z."]
+        probe = ["Don't STOP,\nÉté  2024!", "a\t b\r\nc", "Ünï x1y2 ''s", " <|endoftext|> z."]
         for p in probe:
             parts = [i for w in p.split() for i in self._whole([w])[0]]
             if parts != self._whole([p])[0]:
@@ -178,39 +180,43 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.flat: list[int] = []
-        self.start, self.end = [], []
-
-    def _add(self, word: bytes, ids: list[int]) -> None:
-        self.known[word] = len(self.start)
-        self.start.append(len(self.flat))
-        self.flat += ids
-        self.end.append(len(self.flat))
+        self.flat, self.end = array("I"), array("q", [0])
+
+    def _latin(self, word: bytes) -> list[int] | None:
+        """Ids of a word of Latin-1 letters, already lower-cased; such words
+        are one piece, written in the vocabulary's byte characters."""
+        if not word.isalpha():  # ASCII letters are their own byte characters
+            text = word.decode()
+            if not text.isalpha() or max(text) > "\xff":
+                return None
+            return [t.id for t in self.tok.model.tokenize(word.decode("latin-1").translate(_BYTE_CHARS))]
+        return [t.id for t in self.tok.model.tokenize(word.decode())]
 
     def _learn(self, missing: list[bytes]) -> None:
-        model, slow = self.tok.model, []
+        slow, rows, flat, ends = [], [], [], []
         for w in missing:
-            body = w.rstrip(b".,!?;:")
-            if self.suffix and body.isalpha():  # ASCII letters: pieces are the word and its marks
-                ids = [t.id for t in model.tokenize(body.lower().decode())]
-                if len(body) < len(w):
-                    tail = w[len(body):].decode()
-                    if tail not in self.marks:
-                        self.marks[tail] = self._whole([tail])[0]
-                    ids += self.marks[tail]
-                self._add(w, ids)
-            else:
+            ids = self._latin(w) if self.suffix else None
+            if ids is None:
                 slow.append(w)
+            else:
+                rows.append(w)
+                flat += ids
+                ends.append(len(flat))
         for w, ids in zip(slow, self._whole([w.decode() for w in slow])):
-            self._add(w, ids)
+            rows.append(w)
+            flat += ids
+            ends.append(len(flat))
+        base, at = len(self.flat), len(self.end) - 1
+        self.flat.extend(flat)
+        self.end.extend([base + e for e in ends])
+        self.known.update(zip(rows, range(at, at + len(rows))))
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and their number for each."""
-        s, e, first = words(data, off)
-        if not len(s):
-            return np.zeros(0, np.int64), np.zeros(len(off) - 1, np.int64)
-        lens = e - s
-        word, back = distinct(data[_ranges(s, lens)], np.concatenate(([0], np.cumsum(lens))))
+        raw, cut, first = cut_words(data, off)
+        if len(cut) < 2:
+            return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
+        word, back = distinct(raw, cut)
         names = word.to_pylist()
         missing = [w for w in names if w not in self.known]
         if len(self.known) + len(missing) > self.HELD:
@@ -218,13 +224,49 @@ class WordEncoder:
             missing = names
         self._learn(missing)
         at = np.fromiter((self.known[w] for w in names), np.int64, len(names))
-        start, n = np.array(self.start, np.int64)[at], np.array(self.end, np.int64)[at] - np.array(self.start, np.int64)[at]
+        # Copies: an array that lends its memory can't grow.
+        end, flat = np.array(self.end), np.array(self.flat, np.uint32)
+        start, n = end[at], end[at + 1] - end[at]
         count = n[back]
-        ids = np.array(self.flat, np.int64)[_ranges(start[back], count)]
+        ids = flat[_ranges(start[back], count)]
         ends = np.concatenate(([0], np.cumsum(count)))
         return ids, np.diff(ends[first])
 
 
+_BYTE_CHARS = {b: c for c, b in byte_chars().items()}
+
+
+def cut_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' words without white space: their bytes, offsets, and the
+    number of the first word of each row (n + 1). Latin-1 capitals become small
+    letters, and marks at a word's end behind a Latin letter or digit become
+    a word of their own, so that there are fewer different words; a word with
+    ``<|``, which may begin a special token, stays as it is."""
+    s, e, first = words(data, off)
+    solid = ~_SPACE[data]
+    raw = data[solid]
+    at = np.concatenate(([0], np.cumsum(e - s)))
+    special = np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124))
+    low = raw.copy()
+    low[(raw >= 65) & (raw <= 90)] += 32
+    lead = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)) + 1
+    low[lead[raw[lead] <= 0x9E]] += 32
+    plain = (low >= 97) & (low <= 122) | (low >= 48) & (low <= 57)
+    plain[lead] = True
+    mark = np.zeros(256, bool)
+    mark[[33, 44, 46, 58, 59, 63]] = True
+    is_mark = mark[low]
+    # The last byte of each word that is no mark.
+    last = np.maximum.accumulate(np.where(is_mark, np.int32(-1), np.arange(len(low), dtype=np.int32))) if len(low) else np.zeros(0, np.int32)
+    body = last[at[1:] - 1].astype(np.int64) + 1 if len(s) else np.zeros(0, np.int64)
+    split = (body > at[:-1]) & (body < at[1:]) & plain[np.maximum(body - 1, 0)] if len(s) else np.zeros(0, bool)
+    for w in np.unique(np.searchsorted(at, special, side="right") - 1).tolist():
+        low[at[w]:at[w + 1]] = raw[at[w]:at[w + 1]]
+        split[w] = False
+    cut = np.sort(np.concatenate([at, body[split]]))
+    return low, cut, np.searchsorted(cut, at[first])
+
+
 _ENCODERS: dict = {}
 
 
@@ -248,7 +290,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
         enc, part, at = _encoder(spec.value), TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
             data, off = utf8(b.column(1))
             ids, n = enc.encode(data, off)
             ends = np.cumsum(n)
