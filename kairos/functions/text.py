@@ -184,6 +184,7 @@ def parse_json_reply(text, schema) -> Column:
     return F.from_json(obj, schema)
 
 
+# What a trade, a symbol and a date look like in a note.
 TRADE_LINE = r"(?i)\b(BUY|SELL|SHORT|LONG|CALL|PUT)\b\s+\$?([A-Z]{1,5})\b"
 DOLLAR_SYM = r"\$([A-Z]{1,5})\b"
 NOTE_DATE = r"\b(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})\b"
@@ -192,7 +193,7 @@ NOTE_STOPWORDS = ["BUY", "SELL", "THE", "AND", "FOR", "WAS", "NOT", "BUT", "HAS"
                   "HER", "CAN"]
 
 
-def parse_trade_notes(df: DataFrame, text="text", id_col="note_id", fallback_n=10) -> DataFrame:
+def parse_trade_notes(df: DataFrame, text="text", id_col="note_id", fallback_n: int | None = None) -> DataFrame:
     """Free-text trade notes -> one row per trade.
 
     Non-blank trimmed lines are exploded with their position. A trade starts
@@ -201,7 +202,7 @@ def parse_trade_notes(df: DataFrame, text="text", id_col="note_id", fallback_n=1
     (action BUY). Following lines are appended to the trade's notes. A
     running ``sum(start)`` numbers the trades and a ``groupBy`` folds each
     back. Notes without any trade fall back to their distinct 2-5 letter
-    capital words (first ``fallback_n`` in order of appearance).
+    capital words in order of appearance (the first ``fallback_n`` if given).
     """
     from pyspark.sql import Window
     lines = df.select(id_col, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
@@ -231,7 +232,9 @@ def parse_trade_notes(df: DataFrame, text="text", id_col="note_id", fallback_n=1
     words = F.regexp_extract_all(F.col(text), F.lit(r"\b([A-Z]{2,5})\b"), 1)
     cand = F.filter(words, lambda x: ~F.array_contains(F.array(*[F.lit(s) for s in NOTE_STOPWORDS]), x))
     rest = df.join(trades.select(id_col).distinct(), id_col, "left_anti")
-    fb = rest.select(id_col, F.posexplode(F.slice(F.array_distinct(cand), 1, fallback_n)).alias("trade_no", "ticker"))
+    fb = rest.select(id_col, F.posexplode(F.array_distinct(cand)).alias("trade_no", "ticker"))
+    if fallback_n is not None:
+        fb = fb.filter(F.col("trade_no") < fallback_n)
     fb = fb.select(id_col, F.col("trade_no").cast("int"), "ticker", F.lit("BUY").alias("action"),
                    F.lit(None).cast("string").alias("date"),
                    F.concat(F.lit("Mentioned in notes: "), F.col("ticker")).alias("notes"))
@@ -249,6 +252,7 @@ PATTERN_RULES = [
     (["volume", "spike"], "Volume Signal"),
     (["news", "catalyst"], "News Catalyst"),
 ]
+# Words that mark a win or a loss.
 WIN_WORDS = ["profit", "gain", "won", "+"]
 LOSS_WORDS = ["loss", "lost", "stop", "-"]
 

@@ -79,8 +79,10 @@ def cap_edges(edges: DataFrame, n=2000, w="weight") -> DataFrame:
 
 
 def keep_last(df: DataFrame, k, t, n=20) -> DataFrame:
-    """H8: newest ``n`` rows per key."""
-    return top_k_per_group(df, k, [F.col(t).desc()], n).drop("rank")
+    """H8: newest ``n`` rows per key; rows of one time in the order of all
+    their other columns."""
+    rest = [F.col(c) for c in sorted(df.columns) if c != t]
+    return top_k_per_group(df, k, [F.col(t).desc(), *rest], n).drop("rank")
 
 
 def global_rank(df: DataFrame, order, out="rank", name="ranked") -> DataFrame:

@@ -202,13 +202,13 @@ def q_extract_symbols(spark, sf):
 
 
 @register("ingest_posts", sql=with_ctes(POSTS) + """
-SELECT id AS post_id, substr(title, 1, 1000) AS title, substr(selftext, 1, 500) AS body_preview,
+SELECT id AS post_id, title, selftext AS body, substr(selftext, 1, 500) AS body_preview,
        '[deleted]' AS author, score, created_utc, CAST(to_timestamp(created_utc) AS DATE) AS created_date
 FROM posts
 WHERE to_timestamp(created_utc) BETWEEN TIMESTAMPTZ '2024-01-01 00:00:00+00' AND TIMESTAMPTZ '2024-01-03 00:00:00+00'
 """, ops=("A11", "K2", "L5"))
 def q_ingest_posts(spark, sf):
-    """Posts in the target period, deduped by id, truncated previews."""
+    """Posts in the target period, deduped by id, with previews."""
     out = ingest_posts(_posts(spark, sf), "2024-01-01 00:00:00", "2024-01-03 00:00:00")
     return out.drop("created_ts")
 

@@ -98,16 +98,17 @@ def dedupe_by(df: DataFrame, k, order) -> DataFrame:
     return g.select(*k, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
-def ingest_posts(df: DataFrame, start: str, end: str) -> DataFrame:
-    """Posts in [start, end] (UTC), deduped by id, title cut to 1000
-    and body preview to 500 characters, null author -> "[deleted]"."""
+def ingest_posts(df: DataFrame, start: str, end: str, preview=500) -> DataFrame:
+    """Posts in [start, end] (UTC), deduped by id, whole title and body, a
+    preview of the body's first ``preview`` characters, null author ->
+    "[deleted]"."""
     ts = F.timestamp_seconds(F.col("created_utc").cast("long"))
     df = df.withColumn("created_ts", ts).filter(
         (F.col("created_ts") >= F.to_timestamp(F.lit(start))) & (F.col("created_ts") <= F.to_timestamp(F.lit(end))))
     df = dedupe_by(df, "id", ["created_utc", "title"])
     author = F.col("author") if "author" in df.columns else F.lit(None).cast("string")
-    return df.select(F.col("id").alias("post_id"), F.substring("title", 1, 1000).alias("title"),
-                     F.substring(F.coalesce("selftext", F.lit("")), 1, 500).alias("body_preview"),
+    return df.select(F.col("id").alias("post_id"), "title", F.coalesce("selftext", F.lit("")).alias("body"),
+                     F.substring(F.coalesce("selftext", F.lit("")), 1, preview).alias("body_preview"),
                      F.coalesce(author, F.lit("[deleted]")).alias("author"), "score", "created_utc",
                      F.to_date("created_ts").alias("created_date"), "created_ts")
 
