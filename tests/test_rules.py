@@ -26,6 +26,18 @@ def test_no_row_at_a_time_udf():
         assert not re.search(r"@F\.udf|F\.udf\(|@udf\b", s), p
 
 
+def test_no_local_file_checks():
+    """Data folders are looked at through the Hadoop API only."""
+    for p, s in _sources():
+        assert not re.search(r"os\.path\.(exists|isdir|isfile)|os\.(stat|listdir)\(|\bglob\.", s), p
+
+
+def test_nothing_else_imports_the_optional_subpackage():
+    for p, s in _sources():
+        if f"{os.sep}llm{os.sep}" not in p:
+            assert not re.search(r"(from|import)\s+[.\w]*\bllm\b", s), p
+
+
 def test_oracles_are_registered_queries():
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries())
