@@ -231,3 +231,38 @@ def test_journal_stats_and_pattern_graph(spark):
     assert js["Momentum"]["win_rate"] == 1.0 and js["Earnings Play"]["wins"] == 0
     g = pattern_graph(t).filter(F.col("kind") == "pattern_outcome").collect()
     assert all(0 < r["weight"] <= 1 for r in g)
+
+
+def test_global_rank(spark):
+    from kairos.operators.ranking import global_rank
+    rows = [(i, (i * 37) % 101) for i in range(101)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(7)
+    got = {r["k"]: r["rank"] for r in global_rank(df, [F.col("v").desc()]).collect()}
+    assert got == {k: 101 - v for k, v in rows}
+    assert global_rank(df.limit(0), ["v"]).count() == 0
+
+
+def test_class_topics_numbers_classes_by_name(spark):
+    from kairos.operators.ml import class_topics
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "doc_id int, lang string")
+    assert {r["doc_id"]: r["topic_id"] for r in class_topics(df).collect()} == {1: 2, 2: 0, 3: 1, 4: 2}
+
+
+def test_day_score_thresholds(spark):
+    from kairos.operators.signals import day_score
+    cols = "drawdown_percentile double, volume_percentile double, vol_percentile double, roc_5 double, roc_20 double, fwd_return_5d double, fwd_return_60d double"
+    rows = [(0.95, 0.95, 0.9, 0.0, -0.1, 0.0, 0.2), (0.82, 0.5, 0.5, -0.2, -0.1, 0.0, None), (0.8, 1.0, 1.0, None, None, None, None)]
+    got = [(r["signal_score"], r["top_tier"]) for r in day_score(spark.createDataFrame(rows, cols)).collect()]
+    assert got == [(5, True), (1, False), (0, False)]
+
+
+def test_storage_stamp_sees_changes(spark, tmp_path):
+    from kairos.sources import storage
+    path = str(tmp_path / "t")
+    assert not storage.exists(spark, path) and storage.stamp(spark, path) == ()
+    spark.range(3).write.parquet(path)
+    first = storage.stamp(spark, path)
+    spark.range(5).write.mode("append").parquet(path)
+    assert storage.exists(spark, path) and storage.stamp(spark, path) != first
+    storage.delete(spark, path)
+    assert not storage.exists(spark, path)
