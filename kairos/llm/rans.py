@@ -329,8 +329,8 @@ def write_files(docs: DataFrame, out: str, path: str | None = None, id_col: str
     shared frequency table ``out/table``.
 
     Documents are range-partitioned by doc_id (texts move once); ids are
-    staged, counted, then coded by the parts they were staged in. File names
-    are (part, seq), in ascending doc_id order; ``start`` is the number of ids
+    staged, counted, then coded in the order they were staged in. File names
+    are (part, first row), in ascending doc_id order; ``start`` is the number of ids
     in earlier files.
     """
     spark = docs.sparkSession
@@ -341,32 +341,32 @@ def write_files(docs: DataFrame, out: str, path: str | None = None, id_col: str
     table = spark.sparkContext.broadcast(Table(freq))
 
     def run(batches):
-        part, seq, docs_, raw, held = None, 0, [], [], 0
+        part, first, docs_, raw, held = None, 0, [], [], 0
 
         def close():
             lens = [len(r) // 4 for r in raw]
             ids = np.frombuffer(b"".join(raw), "<u4")
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(ids)], pa.int64()),
+                [pa.array([part], pa.int64()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()),
                  pa.array([docs_], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([encode(ids, table.value)], pa.binary())],
                 ["part", "seq", "n_ids", "doc_ids", "lengths", "payload"])
 
         for b in batches:
-            for p, d, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if raw and (p != part or held >= FILE_IDS):
+            for p, at, d, r in zip(*(c.to_pylist() for c in b.columns)):
+                if raw and (p != part or at != first + len(raw) or held >= FILE_IDS):
                     yield close()
-                    seq = seq + 1 if p == part else 0
                     docs_, raw, held = [], [], 0
-                elif not raw:
-                    seq = 0
-                part = p
+                if not raw:
+                    part, first = p, at
                 docs_.append(d)
                 raw.append(r)
                 held += len(r) // 4
         if raw:
             yield close()
 
-    rows = staged.select("part", "doc_id", "ids", "at").repartition(F.col("part")).sortWithinPartitions("part", "at").drop("at")
+    # A scan gives the rows of each staged file, or of a part of it, in their
+    # order, and files are named by their first row: no shuffle is needed.
+    rows = staged.select("part", "at", "doc_id", "ids")
     files = rows.mapInArrow(run, "part long, seq long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary")
     files.write.option("compression", "none").parquet(f"{out}/files")
 
