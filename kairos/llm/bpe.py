@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, utf8
 
-NEVER = np.int64(1) << 40  # the rank of a pair that has no merge
+NEVER = 1 << 30  # the rank of a pair that has no merge
 WIDE = 64  # words of more bytes are merged one by one
 
 # The pre-tokenizer's pattern, with \s spelled out as Unicode white space.
@@ -100,7 +100,7 @@ class Bpe:
                 row.append(split[row[-1]][side])
             rows.append(row[::-1])
         depth = max(map(len, rows))
-        spine, up = np.full((self.n, depth), -1, np.int64), np.full((self.n, depth), NEVER, np.int64)
+        spine, up = np.full((self.n, depth), -1, np.int32), np.full((self.n, depth), NEVER, np.int32)
         for i, row in enumerate(rows):
             spine[i, :len(row)] = row
             up[i, :len(row) - 1] = self.rank[row[1:]]
@@ -149,7 +149,7 @@ class Bpe:
 
     def pair_lookup(self, a, b):
         """Rank and result of merging a and b; NEVER where there is none."""
-        k = a * self.n + b
+        k = a.astype(np.int64) * self.n + b
         at = np.minimum(np.searchsorted(self.pair_key, k), len(self.pair_key) - 1)
         hit = (self.pair_key[at] == k) & (a >= 0) & (b >= 0)
         return np.where(hit, self.pair_rank[at], NEVER), self.pair_made[at]

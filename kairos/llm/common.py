@@ -18,7 +18,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def prepare(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds: very long texts make short batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
@@ -108,7 +108,7 @@ def lower_spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     keep = np.zeros(len(data) + 1, np.int8)
     keep[starts] = 1
     keep[ends] -= 1
-    solid = np.cumsum(keep[:-1]).astype(bool)
+    solid = np.cumsum(keep[:-1], dtype=np.int8).view(bool)
     out = np.full(at[-1], 32, np.uint8)
     put = np.ones(at[-1], bool)
     put[at[1:] - 1] = False

@@ -57,14 +57,15 @@ def fit(rows: list[tuple[str, bytes]]) -> tuple[list[str], np.ndarray, np.ndarra
     langs = sorted({lang for lang, _ in rows})
     if not langs:
         return [], np.zeros((WIDTH, 0), np.float32), np.zeros(0)
-    x = kernel_rows(np.unpackbits(np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), -1), axis=1)[:, :WIDTH].astype(np.float32))
+    packed = np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), -1)
+    kernel = lambda sel: kernel_rows(np.unpackbits(packed[sel], axis=1)[:, :WIDTH].astype(np.float32))
     y = np.array([langs.index(lang) for lang, _ in rows])
     each = max(1, LANDMARKS // len(langs))
-    marks = x[np.concatenate([(r := np.flatnonzero(y == c))[:: max(1, len(r) // each)][:each] for c in range(len(langs))])]
+    marks = kernel(np.concatenate([(r := np.flatnonzero(y == c))[:: max(1, len(r) // each)][:each] for c in range(len(langs))]))
     vals, vecs = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     ok = vals > 1e-6 * max(vals.max(), 1e-12)
     root = vecs[:, ok] / np.sqrt(vals[ok])
-    z = (x @ marks.T).astype(np.float64) @ root
+    z = np.vstack([(kernel(slice(lo, lo + 256)) @ marks.T).astype(np.float64) for lo in range(0, len(rows), 256)]) @ root
     z1 = np.hstack([z, np.ones((len(z), 1))])
     t = np.where(y[:, None] == np.arange(len(langs)), 1.0, -1.0)
     weight = 1 / np.bincount(y)[y]  # languages count alike
