@@ -24,6 +24,13 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.coalesce(ascii_lower(host), F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def model_text(url: Column, host: Column) -> Column:
+    """What the models read: host, path, query and fragment; the url as it is
+    where ``://`` is missing."""
+    rest = F.regexp_replace(F.expr("substring(url, locate('://', url) + 3)"), r"^[^/?#]*", "")
+    return F.coalesce(F.when(F.locate("://", url) > 0, F.concat(host, rest)).otherwise(url), F.lit(""))
+
+
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits, and its verdict; null where none does."""
     rule = verdict = F.lit(None).cast("string")
@@ -123,24 +130,24 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     """page_id, host, path, rule, verdict, score of every row.
 
     A rule decides where one fits. Urls allowed and blocked by rules train two
-    variable-order models of host and path; those with an even hash of the url
-    are counted, the others set the threshold. All urls get the mean
-    log-likelihood ratio of their characters; without a rule they pass at or
-    above the threshold. A null url or one without ``://`` has empty host and
-    path; where no url was accepted or none rejected, urls without a rule
-    pass. Repeated rows and null ids stay rows; an empty table gives an empty
+    variable-order models of the whole url (``model_text``); those with an
+    even hash of host and path are counted, the others set the threshold. All
+    urls get the mean log-likelihood ratio of their characters; without a rule
+    they pass at or above the threshold. A null url or one without ``://`` has
+    empty host and path; where no url was accepted or none rejected, urls
+    without a rule pass. Repeated rows and null ids stay rows; an empty table gives an empty
     result; other columns are not read.
     """
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.monotonically_increasing_id().alias("loc"))
     host, path = split_url(F.col("url"))
     urls = urls.withColumn("host", host).withColumn("path", path)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    urls = stage(urls.select("page_id", "loc", "host", "path", rule.alias("rule"), verdict.alias("ruled")), "urls")
-    text = F.concat("host", "path")
+    urls = stage(urls.select("page_id", "loc", "host", "path", model_text(F.col("url"), F.col("host")).alias("text"),
+                             rule.alias("rule"), verdict.alias("ruled")), "urls")
     even = F.pmod(F.xxhash64("host", "path"), F.lit(2)) == 0
     # explode_outer: for explode the optimizer moves a filter on the array's
     # size, and so the cutting into characters, into every step of the array.
-    chars = urls.select("loc", "ruled", even.alias("even"), characters(text).alias("chars")).select(
+    chars = urls.select("loc", "ruled", even.alias("even"), characters(F.col("text")).alias("chars")).select(
         "loc", "ruled", "even", F.explode_outer(windows(F.col("chars"))).alias("w"))
     wins = stage(chars.groupBy("w").agg(F.count_if((F.col("ruled") == "allow") & F.col("even")).alias("a"),
                                         F.count_if((F.col("ruled") == "block") & F.col("even")).alias("r")), "windows")
