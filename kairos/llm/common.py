@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import numpy as np
@@ -35,14 +34,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def anchored(docs: DataFrame) -> DataFrame:
-    """``docs`` such that a second scan gives every row the same
-    ``monotonically_increasing_id``: as it is if its plan only scans files,
-    filters and selects, else written once."""
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    if all(re.match(r"[\s:+-]*(Project|Filter|Relation) ", line) for line in plan.splitlines()):
-        return docs
-    return stage(docs, "input")
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` written once with each row's place in the stored column
+    ``__loc``. What needs a row twice reads both sides from this table: the
+    splits of a second scan of the input may differ, and its places with them."""
+    return stage(docs.withColumn("__loc", F.monotonically_increasing_id()), "input")
 
 
 def drop_stage(df: DataFrame) -> None:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import anchored, ascii_lower, stage, stage_path
+from .common import ascii_lower, placed, stage, stage_path
 
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -34,11 +34,12 @@ def _with_conf(spark: SparkSession, conf: dict, run):
                 spark.conf.set(k, v)
 
 
-def located(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
-    """(doc_id, loc, digest): ``loc`` is the row's place in the input, which a
-    second scan of the same input gives again."""
+def located(docs: DataFrame, id_col: str, text_col: str, digest, loc=None) -> DataFrame:
+    """(doc_id, loc, digest): ``loc`` is the row's place, a stored column of
+    ``placed`` tables."""
+    loc = F.monotonically_increasing_id() if loc is None else loc
     norm = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("loc"),
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), loc.alias("loc"),
                        digest(norm).alias("digest"))
 
 
@@ -100,9 +101,13 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     round for each different text of a digest. Every round decides at least
     the kept row of each digest, so it ends; ``rounds`` is a guard.
     """
-    docs = anchored(docs)
-    rows = stage(located(docs, id_col, text_col, digest), "digests")
-    texts = docs.select(F.monotonically_increasing_id().alias("loc"),
+    return _decide(placed(docs.select(id_col, text_col)), id_col, text_col, digest, rounds)
+
+
+def _decide(docs: DataFrame, id_col: str, text_col: str, digest=sha256, rounds: int = 50) -> DataFrame:
+    """``decisions`` on a ``placed`` table."""
+    rows = stage(located(docs, id_col, text_col, digest, F.col("__loc")), "digests")
+    texts = docs.select(F.col("__loc").alias("loc"),
                         ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("norm"))
     done = []
     for _ in range(rounds):
@@ -144,6 +149,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that exact dedup keeps, all columns unchanged."""
-    docs = anchored(docs)
-    gone = stage(decisions(docs, id_col, text_col).filter("loc <> keep_loc").select(F.col("loc").alias("__loc")), "dropped")
-    return docs.withColumn("__loc", F.monotonically_increasing_id()).join(gone, "__loc", "left_anti").drop("__loc")
+    docs = placed(docs)
+    gone = stage(_decide(docs, id_col, text_col).filter("loc <> keep_loc").select(F.col("loc").alias("__loc")), "dropped")
+    return docs.join(gone, "__loc", "left_anti").drop("__loc")

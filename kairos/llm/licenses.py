@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, anchored, stage
+from .common import LOWER, UPPER, placed, stage
 
 SHINGLE = 5  # words
 LEAST = 0.8  # containment of a match
@@ -109,7 +109,6 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     broadcast only after they were counted.
     """
     bands = bands_for(least)
-    docs = anchored(docs)
     t = templates.select(F.monotonically_increasing_id().alias("tid"), "template", tokens(F.col("text")).alias("words")).filter(F.size("words") > 0)
     t = t.withColumn("k", F.least(F.lit(SHINGLE), F.size("words")))
     t = t.withColumn("hashes", _by_length(F.col("words"), shingles)).withColumn("wide", F.size("hashes") >= LONG)
@@ -120,7 +119,11 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
                     F.explode(F.array_distinct(F.when(F.col("wide"), wide).otherwise(F.col("hashes")))).alias("key"))
     keys = stage(keys, "template-keys")
     kinds = sorted(r["kind"] for r in keys.select("kind").distinct().collect())  # SHINGLE + 1 at most
-    rows = docs.select(F.monotonically_increasing_id().alias("loc"), tokens(F.col(text_col)).alias("words"))
+    if not kinds:
+        return docs.limit(0).select(F.col(id_col).cast("long").alias("doc_id"), F.lit("").alias("template"), F.lit(0).alias("shingles"),
+                                    F.lit(0).alias("matched"), F.lit(0.0).alias("containment"))
+    docs = placed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    rows = docs.select(F.col("__loc").alias("loc"), tokens(F.col("text")).alias("words"))
     hashes = {k: shingles(F.col("words"), k) for k in {SHINGLE if kind == 0 else kind for kind in kinds}}
     rows = rows.select("loc", *[h.alias(f"h{k}") for k, h in hashes.items()])
     found = []
@@ -130,15 +133,12 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
         else:
             values = F.flatten(F.transform(_windows(F.col(f"h{SHINGLE}"), WINDOW), lambda w: band_values(w, bands)))
         found.append(_tagged(F.array_distinct(F.coalesce(values, F.array().cast("array<long>"))), kind))
-    if not found:
-        return docs.limit(0).select(F.col(id_col).cast("long").alias("doc_id"), F.lit("").alias("template"), F.lit(0).alias("shingles"),
-                                    F.lit(0).alias("matched"), F.lit(0.0).alias("containment"))
     # explode_outer: for explode the optimizer adds a filter on the array's
     # size and moves it, with the whole array's work, below the columns above.
     probes = rows.select("loc", F.explode_outer(F.concat(*found)).alias("p")).select("loc", "p.kind", "p.key")
     small = F.broadcast(keys) if keys.count() <= 300_000 else keys
     pairs = stage(probes.join(small, ["kind", "key"]).select("loc", "tid").distinct(), "license-pairs")
-    texts = docs.select(F.monotonically_increasing_id().alias("loc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col("__loc").alias("loc"), "doc_id", "text")
     known = t.select("tid", "template", "k", "names")
     known = F.broadcast(known) if t.count() <= 10_000 else known
     check = texts.join(pairs, "loc").join(known, "tid").withColumn("words", tokens(F.col("text")))
