@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, placed, stage
+from .license_texts import SHORT, TEXTS
 
 SHINGLE = 5  # words
 LEAST = 0.8  # containment of a match
@@ -26,6 +27,8 @@ NOTICES = (
      "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights "
      "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to "
      "whom the Software is furnished to do so, subject to the following conditions"),
+    *SHORT,
+    *TEXTS,
 )
 _DROPPED = ".,;:()\"'"
 
