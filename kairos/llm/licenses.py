@@ -13,6 +13,7 @@ from .license_texts import SHORT, TEXTS
 SHINGLE = 5  # words
 LEAST = 0.8  # containment of a match
 WINDOW = 16  # shingles of a window
+HALF = WINDOW // 2  # text windows begin at every so many shingles
 LONG = 2 * WINDOW  # a template of so many shingles is looked for by windows
 MISS = 1e-3  # accepted chance that the bands miss a window as alike as LEAST allows
 
@@ -89,6 +90,27 @@ def _windows(hashes: Column, step: int) -> Column:
     return F.when(last >= 1, F.transform(starts, lambda i: F.array(*[F.get(hashes, i + j) for j in range(-1, WINDOW - 1)])))
 
 
+def _blocks(hashes: Column, bands: int) -> Column:
+    """The minima of ``bands`` hash functions over each half window."""
+    def least(i, b):
+        return F.least(*[F.xxhash64(F.get(hashes, i * HALF + j), F.lit(b)) for j in range(HALF)])
+
+    n = F.floor(F.size(hashes) / HALF).cast("int")
+    return F.when(n >= 1, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(*[least(i, b) for b in range(bands)])))
+
+
+def text_band_values(hashes: Column, blocks: Column, bands: int) -> Column:
+    """Band values of text windows: one every HALF, put together from the
+    minima of two ``_blocks``, and the last one at the end. ``blocks`` must be
+    a column: an expression would be worked out anew for every window."""
+    def value(i, b):
+        return F.xxhash64(F.lit(b), F.least(F.get(F.get(blocks, i), F.lit(b)), F.get(F.get(blocks, i + 1), F.lit(b))))
+
+    inner = F.transform(F.sequence(F.lit(0), F.size(blocks) - 2), lambda i: F.array(*[value(i, b) for b in range(bands)]))
+    last = F.array(*[F.get(hashes, F.size(hashes) - WINDOW + j) for j in range(WINDOW)])
+    return F.when(F.size(hashes) >= WINDOW, F.concat(F.flatten(inner), band_values(last, bands)))
+
+
 def _tagged(values: Column, kind: int) -> Column:
     return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("key")))
 
@@ -99,9 +121,9 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     Texts are cut into word shingles (``SHINGLE`` words; a shorter template is
     one shingle, its whole word sequence). Templates of at least ``LONG``
     shingles are retrieved by MinHash bands of overlapping windows: template
-    windows begin at every shingle, text windows every WINDOW, so an
-    occurrence holds a whole text window that some template window equals but
-    for its edits. Shorter templates use windows of one shingle, whose MinHash
+    windows begin at every shingle, text windows every HALF, so an occurrence
+    holds at least two whole text windows that template windows equal but for
+    its edits. Shorter templates use windows of one shingle, whose MinHash
     is its hash. Retrieved pairs are verified by exact shingle containment
     (shared distinct shingles over the template's) of at least ``least``.
 
@@ -129,12 +151,14 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     rows = docs.select(F.col("__loc").alias("loc"), tokens(F.col("text")).alias("words"))
     hashes = {k: shingles(F.col("words"), k) for k in {SHINGLE if kind == 0 else kind for kind in kinds}}
     rows = rows.select("loc", *[h.alias(f"h{k}") for k, h in hashes.items()])
+    if 0 in kinds:
+        rows = rows.withColumn("blocks", _blocks(F.col(f"h{SHINGLE}"), bands))
     found = []
     for kind in kinds:
         if kind:
             values = F.col(f"h{kind}")
         else:
-            values = F.flatten(F.transform(_windows(F.col(f"h{SHINGLE}"), WINDOW), lambda w: band_values(w, bands)))
+            values = text_band_values(F.col(f"h{SHINGLE}"), F.col("blocks"), bands)
         found.append(_tagged(F.array_distinct(F.coalesce(values, F.array().cast("array<long>"))), kind))
     # explode_outer: for explode the optimizer adds a filter on the array's
     # size and moves it, with the whole array's work, below the columns above.

@@ -1,4 +1,6 @@
-"""License bodies and headers are templates."""
+"""License bodies and headers are templates; edited notices are found at the bound."""
+
+from pyspark.sql import functions as F
 
 from kairos.llm import licenses as L
 from llm.test_licenses import brute
@@ -18,3 +20,28 @@ def test_bodies_headers_and_short_notices(spark):
     assert {(i, n) for i, n in enumerate(names)} | {(100, "mit-licensed"), (101, "bsd-distributed")} <= {r[:2] for r in got}
     assert 102 not in {r[0] for r in got}
 
+
+def test_planted_edits_at_the_bound_are_found(spark):
+    name, least = "mit-grant", L.LEAST
+    words, rows = NOTICES[name].split(), []
+    for at in range(0, len(words) - 8, 3):
+        for lead in range(0, 16, 3):
+            near, far = words[:at] + ["x"] * 8 + words[at + 8:], list(words)
+            far[at % 20 + 5] = far[at % 20 + 30] = "y"
+            rows += [(len(rows) + k, "pre " * lead + " ".join(t) + " post" * (lead % 5)) for k, t in enumerate((near, far))]
+    templates = [(name, NOTICES[name])]
+    want = brute(rows, templates)
+    got = sorted((tuple(r) for r in L.scan(spark.createDataFrame(rows, SCHEMA), L.template_table(spark, templates)).collect()), key=str)
+    assert got == want and len(want) > 150 and min(r[4] for r in want) < least + 0.01
+
+
+def test_text_windows_overlap(spark):
+    n = 45
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.xxhash64(i)).alias("h"))
+    df = df.withColumn("b", L._blocks(F.col("h"), 3))
+    starts = [*range(0, n - L.WINDOW + 1, L.WINDOW // 2), n - L.WINDOW]
+    want = F.flatten(F.array(*[L.band_values(F.slice("h", s + 1, L.WINDOW), 3) for s in starts]))
+    r = df.select(L.text_band_values(F.col("h"), F.col("b"), 3).alias("got"), want.alias("want")).first()
+    assert set(r["want"]) <= set(r["got"]) and len(r["got"]) <= len(r["want"]) + 3
+    short = spark.range(1).select(F.array(F.lit(1).cast("long")).alias("h")).withColumn("b", L._blocks(F.col("h"), 3))
+    assert short.select(L.text_band_values(F.col("h"), F.col("b"), 3).alias("got")).first()["got"] is None
