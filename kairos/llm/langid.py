@@ -108,10 +108,11 @@ def learning_rows(docs: DataFrame, text_col: str, lang_col: str, key) -> DataFra
     return picked.select(F.col(lang_col).alias("lang"), bits(F.col(text_col)).alias("bits")).limit(4 * SAMPLE)
 
 
-def predictor(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key=None, learn=None):
+def predictor(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key=None, learn=None, unlearned: str = "und"):
     """A column function text -> struct(lang_pred, score), fitted on the rows
     of ``docs`` that ``learn`` keeps. The fit takes a bounded sample
-    (``SAMPLE`` rows of 1.6 KB); no learning rows: all texts are ``und``."""
+    (``SAMPLE`` rows of 1.6 KB); no learning rows: lettered texts are
+    ``unlearned``, others ``und``, all with score 0."""
     prepare(docs.sparkSession)
     key = F.col("doc_id").cast("string") if key is None else key
     rows = learning_rows(docs.filter(learn) if learn is not None else docs, text_col, lang_col, key)
@@ -127,7 +128,7 @@ def predictor(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", k
             data, off = utf8(part)
             has = _lettered(part, data, off)
             if not langs:
-                pred += ["und"] * len(part)
+                pred += [unlearned if h else "und" for h in has.tolist()]
                 score += [0.0] * len(part)
                 continue
             s = kernel_rows(presence(data, off)) @ weights + bias
@@ -158,8 +159,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` with a language (not ``und``), columns unchanged."""
+    """The rows of ``docs`` with a language (not ``und``), columns unchanged;
+    without learning rows only null and letterless texts go."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     key = F.col("doc_id").cast("long").cast("string")
-    predict = predictor(d, key=key, learn=F.coalesce(F.crc32(key.cast("binary")) % 4 != 2, F.lit(False)))
+    predict = predictor(d, key=key, learn=F.coalesce(F.crc32(key.cast("binary")) % 4 != 2, F.lit(False)), unlearned="")
     return docs.withColumn("__p", predict(F.col(text_col).cast("string"))).filter("__p.lang_pred <> 'und'").drop("__p")
