@@ -1,10 +1,10 @@
-"""Registered queries of the training-data operators (op1 ... op10)."""
+"""Registered queries of the training-data operators (op1 ... op13)."""
 
 from __future__ import annotations
 
 from ..registry import register
 from ..sources import load
-from . import bpe, cdc, exactdedup, langid, licenses, mixing, quality, rans, simhash, urlfilter
+from . import bpe, cdc, exactdedup, langid, licenses, mixing, quality, rans, runs, simhash, urlfilter
 
 
 @register("op1_fingerprints", ops=("llm1",))
@@ -68,3 +68,9 @@ def q_bpe(spark, sf):
 def q_urls(spark, sf):
     """Verdict on every page's url by rules and a language-model ratio."""
     return urlfilter.judge(load(spark, sf, "pages"))
+
+
+@register("op12_runs", ops=("llm12",))
+def q_runs(spark, sf):
+    """Periodic runs of every document's words, and the text without them."""
+    return runs.report(load(spark, sf, "documents"))
