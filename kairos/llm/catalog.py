@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..registry import register
 from ..sources import load
-from . import bpe, cdc, exactdedup, langid, licenses, mixing, quality, rans, runs, simhash, urlfilter
+from . import bpe, cdc, exactdedup, langid, licenses, merkle, mixing, quality, rans, runs, simhash, urlfilter
 
 
 @register("op1_fingerprints", ops=("llm1",))
@@ -70,6 +70,12 @@ def q_urls(spark, sf):
     return urlfilter.judge(load(spark, sf, "pages"))
 
 
+@register("op11_manifest", sql=merkle.ORACLE, ops=("llm11",))
+def q_manifest(spark, sf):
+    """Merkle leaf, roots and proof of every document, and a tampered copy's root."""
+    return merkle.report(load(spark, sf, "documents"))
+
+
 @register("op12_runs", ops=("llm12",))
 def q_runs(spark, sf):
     """Periodic runs of every document's words, and the text without them."""
