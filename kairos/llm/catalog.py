@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..registry import register
 from ..sources import load
-from . import bpe, cdc, exactdedup, langid, licenses, merkle, mixing, quality, rans, runs, simhash, urlfilter
+from . import bpe, cdc, exactdedup, htmltext, langid, licenses, merkle, mixing, quality, rans, runs, simhash, urlfilter
 
 
 @register("op1_fingerprints", ops=("llm1",))
@@ -80,3 +80,9 @@ def q_manifest(spark, sf):
 def q_runs(spark, sf):
     """Periodic runs of every document's words, and the text without them."""
     return runs.report(load(spark, sf, "documents"))
+
+
+@register("op13_main_text", ops=("llm13",))
+def q_main_text(spark, sf):
+    """Main text of every page."""
+    return htmltext.extract(load(spark, sf, "pages"))
