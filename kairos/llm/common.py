@@ -34,11 +34,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def placed(docs: DataFrame) -> DataFrame:
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def placed(docs: DataFrame, loc: str = "__loc") -> DataFrame:
     """``docs`` written once with each row's place in the stored column
-    ``__loc``. What needs a row twice reads both sides from this table: the
+    ``loc``. What needs a row twice reads both sides from this table: the
     splits of a second scan of the input may differ, and its places with them."""
-    return stage(docs.withColumn("__loc", F.monotonically_increasing_id()), "input")
+    return stage(docs.withColumn(loc, F.monotonically_increasing_id()), "input")
 
 
 def drop_stage(df: DataFrame) -> None:

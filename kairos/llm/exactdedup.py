@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, placed, stage, stage_path
+from .common import ascii_lower, free_name, placed, stage, stage_path
 
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -104,10 +104,10 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     return _decide(placed(docs.select(id_col, text_col)), id_col, text_col, digest, rounds)
 
 
-def _decide(docs: DataFrame, id_col: str, text_col: str, digest=sha256, rounds: int = 50) -> DataFrame:
+def _decide(docs: DataFrame, id_col: str, text_col: str, digest=sha256, rounds: int = 50, place: str = "__loc") -> DataFrame:
     """``decisions`` on a ``placed`` table."""
-    rows = stage(located(docs, id_col, text_col, digest, F.col("__loc")), "digests")
-    texts = docs.select(F.col("__loc").alias("loc"),
+    rows = stage(located(docs, id_col, text_col, digest, F.col(place)), "digests")
+    texts = docs.select(F.col(place).alias("loc"),
                         ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("norm"))
     done = []
     for _ in range(rounds):
@@ -148,7 +148,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that exact dedup keeps, all columns unchanged."""
-    docs = placed(docs)
-    gone = stage(_decide(docs, id_col, text_col).filter("loc <> keep_loc").select(F.col("loc").alias("__loc")), "dropped")
-    return docs.join(gone, "__loc", "left_anti").drop("__loc")
+    """The rows of ``docs`` that exact dedup keeps, all columns unchanged,
+    whatever their names."""
+    place = free_name(docs, "__loc")
+    docs = placed(docs, place)
+    gone = stage(_decide(docs, id_col, text_col, place=place).filter("loc <> keep_loc").select(F.col("loc").alias(place)), "dropped")
+    return docs.join(gone, place, "left_anti").drop(place)

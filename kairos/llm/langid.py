@@ -160,8 +160,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` with a language (not ``und``), columns unchanged;
-    without learning rows only null and letterless texts go."""
+    whatever their names; without learning rows only null and letterless texts go."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     key = F.col("doc_id").cast("long").cast("string")
     predict = predictor(d, key=key, learn=F.coalesce(F.crc32(key.cast("binary")) % 4 != 2, F.lit(False)), unlearned="")
-    return docs.withColumn("__p", predict(F.col(text_col).cast("string"))).filter("__p.lang_pred <> 'und'").drop("__p")
+    return docs.filter(predict(F.col(text_col).cast("string"))["lang_pred"] != "und")

@@ -96,9 +96,12 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """Every row of ``docs`` as often as the mix takes it, columns unchanged."""
-    out = copies(docs, **options).filter("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*[docs[c] for c in docs.columns])
+    """Every row of ``docs`` as often as the mix takes it, columns unchanged,
+    whatever their names: rows travel as one struct beside the mix's columns."""
+    cols = [options.pop(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(cols, ("doc_id", "text", "source"))], F.struct("*").alias("row"))
+    out = copies(rows, **options).filter("__copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select("row.*")
 
 
 ORACLE = r"""

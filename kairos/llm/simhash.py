@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import lower_spaced, placed, prepare, stage, utf8, words
+from .common import lower_spaced, free_name, placed, prepare, stage, utf8, words
 from .components import components
 
 BUCKET = 2048  # a larger bucket is split, first by more bits, then into blocks
@@ -275,15 +275,17 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4, radius: int = 4) -> DataFrame:
     """The rows of ``docs``, one of each near-duplicate component (smallest
-    doc_id, null ids last; of repeated rows the first), columns unchanged."""
-    docs = placed(docs)
+    doc_id, null ids last; of repeated rows the first), columns unchanged,
+    whatever their names."""
+    place = free_name(docs, "__loc")
+    docs = placed(docs, place)
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col("__loc").alias("loc"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(place).alias("loc"), F.col(text_col).cast("string").alias("text"))
     prints = stage(rows.select("id", "loc", _fp(F.col("text"), shingle).alias("fp")), "simhash")
     roots = link_groups(prints, radius)
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "loc"))
     least = stage(prints.groupBy("fp").agg(first.alias("k")).join(roots, "fp", "left").select(
         F.coalesce("root", "fp").alias("root"), "k"), "least")
     keep = least.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.loc").alias("keep"))
-    gone = stage(prints.join(keep, prints["loc"] == keep["keep"], "left_anti").select(F.col("loc").alias("__loc")), "dropped")
-    return docs.join(gone, "__loc", "left_anti").drop("__loc")
+    gone = stage(prints.join(keep, prints["loc"] == keep["keep"], "left_anti").select(F.col("loc").alias(place)), "dropped")
+    return docs.join(gone, place, "left_anti").drop(place)

@@ -60,6 +60,21 @@ def test_odd_rows(spark):
     check(*walk(spark, df, SF_SMALL))
 
 
+def test_clashing_columns(spark):
+    """Columns named like the stages' own helpers come out unchanged."""
+    names = ["__loc", "__loc_", "__p", "__size", "__source_size", "__target", "__copies", "__copy", "__s", "loc", "row", "keep_id", "digest", "key", "fp", "lang_pred", "col"]
+    rows = [(i, "some words of text number %d that stand alone" % i, "en", "s%d" % (i % 3), i, *[f"{n}{i}" for n in names]) for i in range(12)]
+    rows += [(100, rows[3][1].upper(), "en", "s0", 5, *[n for n in names])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    whole = {tuple(r) for r in rows}
+    for name, fn in P.STAGES[:-1]:
+        got = fn(spark, df, SF_SMALL)
+        assert got.columns == df.columns, name
+        out = got.collect()
+        assert out and {tuple(r) for r in out} <= whole, name
+    assert P.STAGES[-1][1](spark, df, SF_SMALL).count() == len(rows)
+
+
 def test_empty_table(spark):
     df = stage(spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(0), "none")
     steps, last = walk(spark, df, SF_SMALL)

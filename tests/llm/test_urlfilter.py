@@ -20,6 +20,14 @@ def brute_split(url):
     return host, rest[:min([i for i, c in enumerate(rest) if c in "?#"], default=len(rest))]
 
 
+def brute_text(url):
+    """What the models read: the whole url behind the scheme, host lower-cased."""
+    if url is None or "://" not in url:
+        return url or ""
+    host, _ = brute_split(url)
+    return host + url.split("://", 1)[1][len(host):]
+
+
 def brute_rule(host, path):
     fits = [(len(h + p), h + p, v) for h, p, v in U.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits)[1:] if fits else (None, None)
@@ -59,9 +67,9 @@ def check(spark, rows, got, evens):
         h, p = parts[u]
         v = brute_rule(h, p)[1]
         if v and evens[h, p]:
-            train[v].append(h + p)
+            train[v].append(brute_text(u))
     a, r = Brute(train["allow"]), Brute(train["block"])
-    score = {u: round(sum(math.log(a.p(w, None) / r.p(w, None)) for w in grams(h + p)) / len(grams(h + p)), 6) for u, (h, p) in parts.items()}
+    score = {u: round(sum(math.log(a.p(w, None) / r.p(w, None)) for w in grams(brute_text(u))) / len(grams(brute_text(u))), 6) for u in parts}
     by = sorted((x["page_id"] if x["page_id"] is not None else -1, x["host"], x["path"], x["rule"] or "", round(x["score"], 6)) for x in got)
     want = sorted((i if i is not None else -1, *parts[u], brute_rule(*parts[u])[0] or "", score[u]) for i, u in rows)
     assert len(by) == len(want)

@@ -6,15 +6,7 @@ from pyspark.sql import functions as F
 
 from kairos.llm import urlfilter as U
 from llm.conftest import SF_SMALL
-from llm.test_urlfilter import Brute, brute_rule, brute_split, evens_of, grams
-
-
-def brute_text(url):
-    if url is None or "://" not in url:
-        return url or ""
-    host, path = brute_split(url)
-    rest = url.split("://", 1)[1]
-    return host + rest[len(host):]
+from llm.test_urlfilter import Brute, brute_rule, brute_split, brute_text, evens_of, grams
 
 
 def check_whole(spark, rows, got):
