@@ -11,11 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, prepare, utf8
+from .common import give_back, id_text, prepare, utf8
 
 LEAST, NORMAL, MOST = 16, 64, 255  # bytes of a chunk
 #: Bits that must be zero for a border: more before the normal size, fewer after.
 STRICT, LOOSE = 7, 4
+HELD = 1 << 19  # bytes of texts that are hashed together
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -185,12 +186,13 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buck
             for bucket, guest, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if last is not None and last[0] == bucket:
                     held.append((last[1], last[2], text))
-                    size += len(last[2])
+                    size += len(last[2].encode())
                 last = None if guest else (bucket, doc, text)
-                if size > 1 << 21 or len(held) >= 2000:
+                if size > HELD or len(held) >= 2000:
                     yield out(held)
                     held, size = [], 0
         if held:
             yield out(held)
+        give_back()
 
     return rows.mapInArrow(run, SCHEMA)

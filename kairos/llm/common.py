@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +84,26 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
+def by_bytes(batch: pa.RecordBatch, col: int, most: int = 2 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` text bytes (one row at least)."""
+    _, off = utf8(batch.column(col))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(off, off[lo] + most, side="right")) - 1))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def give_back() -> None:
+    """Return free memory to the system: Spark's Python workers wait for the
+    next stage with whatever they hold."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
