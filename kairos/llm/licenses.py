@@ -15,6 +15,7 @@ LEAST = 0.8  # containment of a match
 WINDOW = 16  # shingles of a window
 HALF = WINDOW // 2  # text windows begin at every so many shingles
 LONG = 2 * WINDOW  # a template of so many shingles is looked for by windows
+INSIDE = 2_000  # so many counted keys of one kind are looked for inside each row
 MISS = 1e-3  # accepted chance that the bands miss a window as alike as LEAST allows
 
 # License notices looked for.
@@ -35,7 +36,7 @@ _DROPPED = ".,;:()\"'"
 
 
 def bands_for(least: float = LEAST, miss: float = MISS) -> int:
-    """One-row bands needed so that a window with containment ``least`` in a
+    """One-value bands needed so that a window with containment ``least`` in a
     template window of its size (Jaccard least / (2 - least)) shares a band
     value with probability 1 - ``miss``: (1 - J)^bands <= miss."""
     return math.ceil(math.log(miss) / math.log(1 - least / (2 - least)))
@@ -76,39 +77,27 @@ def _by_length(words: Column, make) -> Column:
 
 
 def band_values(window: Column, bands: int) -> Column:
-    """The minimum of each of ``bands`` hash functions over a window."""
-    def least(b):
-        return F.xxhash64(F.lit(b), F.array_min(F.transform(window, lambda h: F.xxhash64(h, F.lit(b)))))
+    """The ``bands`` least hashes of a window, one band each (MinHash by a
+    bottom sketch: one hash function instead of ``bands``).
 
-    return F.array(*[least(b) for b in range(bands)])
+    Of the union of two windows with Jaccard J, each of the ``bands`` least
+    hashes is among the least ones of whichever window has it; it is in both
+    with probability J, drawn without putting back. So windows share no value
+    with probability (1 - J)^bands at most."""
+    return F.slice(F.sort_array(F.array_distinct(window)), 1, bands)
 
 
-def _windows(hashes: Column, step: int) -> Column:
-    """Windows of WINDOW shingles every ``step``, the last one at the end."""
-    last = F.size(hashes) - WINDOW + 1
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(1), last, F.lit(step)), F.array(last)))
-    return F.when(last >= 1, F.transform(starts, lambda i: F.array(*[F.get(hashes, i + j) for j in range(-1, WINDOW - 1)])))
+def _at(hashes: Column, start) -> Column:
+    """The window of WINDOW shingles that begins at ``start``. Hashes are taken
+    by index: ``slice`` copies the whole array every time."""
+    return F.array(*[F.get(hashes, start + j) for j in range(WINDOW)])
 
 
-def _blocks(hashes: Column, bands: int) -> Column:
-    """The minima of ``bands`` hash functions over each half window."""
-    def least(i, b):
-        return F.least(*[F.xxhash64(F.get(hashes, i * HALF + j), F.lit(b)) for j in range(HALF)])
-
-    n = F.floor(F.size(hashes) / HALF).cast("int")
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(*[least(i, b) for b in range(bands)])))
-
-
-def text_band_values(hashes: Column, blocks: Column, bands: int) -> Column:
-    """Band values of text windows: one every HALF, put together from the
-    minima of two ``_blocks``, and the last one at the end. ``blocks`` must be
-    a column: an expression would be worked out anew for every window."""
-    def value(i, b):
-        return F.xxhash64(F.lit(b), F.least(F.get(F.get(blocks, i), F.lit(b)), F.get(F.get(blocks, i + 1), F.lit(b))))
-
-    inner = F.transform(F.sequence(F.lit(0), F.size(blocks) - 2), lambda i: F.array(*[value(i, b) for b in range(bands)]))
-    last = F.array(*[F.get(hashes, F.size(hashes) - WINDOW + j) for j in range(WINDOW)])
-    return F.when(F.size(hashes) >= WINDOW, F.concat(F.flatten(inner), band_values(last, bands)))
+def window_values(hashes: Column, step: int, bands: int) -> Column:
+    """Band values of windows every ``step`` shingles, the last one at the end."""
+    last = F.size(hashes) - WINDOW
+    inner = F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: band_values(_at(hashes, i), bands))
+    return F.when(last >= 0, F.concat(F.flatten(inner), band_values(_at(hashes, last), bands)))
 
 
 def _tagged(values: Column, kind: int) -> Column:
@@ -139,7 +128,7 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     t = t.withColumn("hashes", _by_length(F.col("words"), shingles)).withColumn("wide", F.size("hashes") >= LONG)
     t = stage(t.withColumn("names", F.array_distinct(_by_length(F.col("words"), shingle_texts))), "templates")
     # Keys of all kinds of windows: (shingle length, hash) or (band, minimum).
-    wide = F.flatten(F.transform(_windows(F.col("hashes"), 1), lambda w: band_values(w, bands)))
+    wide = window_values(F.col("hashes"), 1, bands)
     keys = t.select("tid", F.when(F.col("wide"), F.lit(0)).otherwise(F.col("k")).alias("kind"),
                     F.explode(F.array_distinct(F.when(F.col("wide"), wide).otherwise(F.col("hashes")))).alias("key"))
     keys = stage(keys, "template-keys")
@@ -151,15 +140,17 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     rows = docs.select(F.col("__loc").alias("loc"), tokens(F.col("text")).alias("words"))
     hashes = {k: shingles(F.col("words"), k) for k in {SHINGLE if kind == 0 else kind for kind in kinds}}
     rows = rows.select("loc", *[h.alias(f"h{k}") for k, h in hashes.items()])
-    if 0 in kinds:
-        rows = rows.withColumn("blocks", _blocks(F.col(f"h{SHINGLE}"), bands))
     found = []
     for kind in kinds:
-        if kind:
-            values = F.col(f"h{kind}")
+        if not kind:
+            found.append(_tagged(F.array_distinct(F.coalesce(window_values(F.col(f"h{SHINGLE}"), HALF, bands), F.array().cast("array<long>"))), 0))
+            continue
+        own = keys.filter(F.col("kind") == kind).select("key").distinct()
+        if own.count() <= INSIDE:  # few keys: texts are searched for them, and only hits become rows
+            few = F.array(*[F.lit(r["key"]) for r in own.collect()])
+            found.append(_tagged(F.array_intersect(F.col(f"h{kind}"), few), kind))
         else:
-            values = text_band_values(F.col(f"h{SHINGLE}"), F.col("blocks"), bands)
-        found.append(_tagged(F.array_distinct(F.coalesce(values, F.array().cast("array<long>"))), kind))
+            found.append(_tagged(F.array_distinct(F.col(f"h{kind}")), kind))
     # explode_outer: for explode the optimizer adds a filter on the array's
     # size and moves it, with the whole array's work, below the columns above.
     probes = rows.select("loc", F.explode_outer(F.concat(*found)).alias("p")).select("loc", "p.kind", "p.key")

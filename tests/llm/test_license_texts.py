@@ -38,10 +38,9 @@ def test_planted_edits_at_the_bound_are_found(spark):
 def test_text_windows_overlap(spark):
     n = 45
     df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.xxhash64(i)).alias("h"))
-    df = df.withColumn("b", L._blocks(F.col("h"), 3))
     starts = [*range(0, n - L.WINDOW + 1, L.WINDOW // 2), n - L.WINDOW]
     want = F.flatten(F.array(*[L.band_values(F.slice("h", s + 1, L.WINDOW), 3) for s in starts]))
-    r = df.select(L.text_band_values(F.col("h"), F.col("b"), 3).alias("got"), want.alias("want")).first()
+    r = df.select(L.window_values(F.col("h"), L.HALF, 3).alias("got"), want.alias("want")).first()
     assert set(r["want"]) <= set(r["got"]) and len(r["got"]) <= len(r["want"]) + 3
-    short = spark.range(1).select(F.array(F.lit(1).cast("long")).alias("h")).withColumn("b", L._blocks(F.col("h"), 3))
-    assert short.select(L.text_band_values(F.col("h"), F.col("b"), 3).alias("got")).first()["got"] is None
+    short = spark.range(1).select(F.array(F.lit(1).cast("long")).alias("h"))
+    assert short.select(L.window_values(F.col("h"), L.HALF, 3).alias("got")).first()["got"] is None
