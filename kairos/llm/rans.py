@@ -25,19 +25,21 @@ import json
 import os
 import struct
 import zlib
-from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import _ranges, byte_chars, distinct, tokenizer_path, utf8_bytes
-from .common import _SPACE, id_text, prepare, stage, stage_path, utf8, words
+from .common import _SPACE, by_bytes, give_back, id_text, prepare, stage, stage_path, utf8, words
 
 MAGIC = b"RANSTOK1"
 LANES, STEPS = 16, 512
 SCALE = 18
+STARTS = 200_000  # files' places are broadcast up to so many counted rows
 LOW = np.uint64(1 << 31)
 FILE_IDS = 1 << 19  # a file ends with the document that reaches so many ids
 
@@ -156,7 +158,7 @@ class WordEncoder:
     all others through its whole ``encode``; ids of known words are held in a
     bounded table."""
 
-    HELD = 500_000
+    HELD = 1_000_000  # words; some 40 bytes each
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
@@ -179,8 +181,9 @@ class WordEncoder:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.end = array("I"), array("q", [0])
+        self.known = pa.array([], pa.large_binary())
+        self.flat, self.end = Grown(np.uint32), Grown(np.int64)
+        self.end.add(np.zeros(1, np.int64))
 
     def _latin(self, word: bytes) -> list[int] | None:
         """Ids of a word of Latin-1 letters, already lower-cased; such words
@@ -192,24 +195,16 @@ class WordEncoder:
             return [t.id for t in self.tok.model.tokenize(word.decode("latin-1").translate(_BYTE_CHARS))]
         return [t.id for t in self.tok.model.tokenize(word.decode())]
 
-    def _learn(self, missing: list[bytes]) -> None:
-        slow, rows, flat, ends = [], [], [], []
-        for w in missing:
-            ids = self._latin(w) if self.suffix else None
-            if ids is None:
-                slow.append(w)
-            else:
-                rows.append(w)
-                flat += ids
-                ends.append(len(flat))
-        for w, ids in zip(slow, self._whole([w.decode() for w in slow])):
-            rows.append(w)
-            flat += ids
-            ends.append(len(flat))
-        base, at = len(self.flat), len(self.end) - 1
-        self.flat.extend(flat)
-        self.end.extend([base + e for e in ends])
-        self.known.update(zip(rows, range(at, at + len(rows))))
+    def _learn(self, missing: pa.Array) -> None:
+        names = missing.to_pylist()
+        rows = [self._latin(w) if self.suffix else None for w in names]
+        slow = [i for i, r in enumerate(rows) if r is None]
+        for i, ids in zip(slow, self._whole([names[i].decode() for i in slow])):
+            rows[i] = ids
+        ends = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))
+        self.end.add(self.flat.size + ends)
+        self.flat.add(np.fromiter(chain.from_iterable(rows), np.uint32, int(ends[-1])))
+        self.known = pa.concat_arrays([self.known, missing])
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and their number for each."""
@@ -217,22 +212,41 @@ class WordEncoder:
         if len(cut) < 2:
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
         word, back = distinct(raw, cut)
-        names = word.to_pylist()
-        missing = [w for w in names if w not in self.known]
-        if len(self.known) + len(missing) > self.HELD:
+        found = pc.index_in(word, self.known)
+        if found.null_count and len(self.known) + found.null_count > self.HELD:
             self.clear()
-            missing = names
-        self._learn(missing)
-        at = np.fromiter((self.known[w] for w in names), np.int64, len(names))
-        # Copies: an array that lends its memory can't grow.
-        end, flat = np.array(self.end), np.array(self.flat, np.uint32)
+            found = pc.index_in(word, self.known)
+        new = np.asarray(found.is_null())
+        at = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if new.any():
+            at[new] = len(self.known) + np.arange(new.sum())
+            self._learn(word.filter(pa.array(new)))
+        end = self.end.view()
         start, n = end[at], end[at + 1] - end[at]
         count = n[back]
-        ids = flat[_ranges(start[back], count)]
+        ids = self.flat.view()[_ranges(start[back], count)]
         ends = np.concatenate(([0], np.cumsum(count)))
         return ids, np.diff(ends[first])
 
 
+class Grown:
+    """An array that grows by doubling; ``view`` copies nothing."""
+
+    def __init__(self, kind):
+        self.room, self.size = np.empty(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.room):
+            room = np.empty(max(2 * len(self.room), self.size + len(values)), self.room.dtype)
+            room[:self.size] = self.room[:self.size]
+            self.room = room
+        self.room[self.size:self.size + len(values)] = values
+        self.size += len(values)
+
+    def view(self) -> np.ndarray:
+        return self.room[:self.size]
+
+
 _BYTE_CHARS = {b: c for c, b in byte_chars().items()}
 
 
@@ -290,7 +304,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
         enc, part, at = _encoder(spec.value), TaskContext.get().partitionId(), 0
-        for b in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
+        for b in (part for whole in batches for part in by_bytes(whole, 1, 4 << 20)):
             data, off = utf8(b.column(1))
             ids, n = enc.encode(data, off)
             ends = np.cumsum(n)
@@ -300,6 +314,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 [b.column(0), pa.array([part] * b.num_rows, pa.int64()), pa.array(range(at, at + b.num_rows), pa.int64()), pa.array(raw, pa.binary())],
                 ["doc_id", "part", "at", "ids"])
             at += b.num_rows
+        give_back()
 
     n = docs.rdd.getNumPartitions()
     return docs.repartitionByRange(max(n, 1), F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).sortWithinPartitions(
@@ -404,7 +419,9 @@ def read_files(spark: SparkSession, out: str) -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids"])
 
     prepare(spark)
-    rows = files.join(F.broadcast(starts), (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s"))).select("start", "doc_ids", "lengths", "payload")
+    if starts.count() <= STARTS:
+        starts = F.broadcast(starts)
+    rows = files.join(starts, (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s"))).select("start", "doc_ids", "lengths", "payload")
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
