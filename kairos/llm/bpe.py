@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, utf8
+from .common import by_bytes, give_back, prepare, utf8
 
 NEVER = 1 << 30  # the rank of a pair that has no merge
 WIDE = 64  # words of more bytes are merged one by one
@@ -446,13 +446,13 @@ def _run(docs, path, id_col, text_col, schema, row):
     def run(batches):
         bpe = shared.value
         for b in batches:
-            for lo in range(0, b.num_rows, 4096):
-                part = b.slice(lo, 4096)
+            for part in by_bytes(b, 1):
                 data, off = utf8(part.column(1))
                 ids, n = bpe.encode_texts(data, off)
                 ends = np.cumsum(n)
                 rows = [row(own := ids[e - k:e], bpe.decode(own)) for e, k in zip(ends.tolist(), n.tolist())]
                 cols = [pa.array(c) for c in zip(*rows)] if rows else [pa.array([])] * (len(schema.split(",")) - 1)
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], [c.split()[0] for c in schema.split(",")])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

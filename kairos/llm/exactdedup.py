@@ -17,6 +17,8 @@ ROCKS = {
     # Many small stores: no space set aside for each one's logs.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    # Stores of a stream that has ended are unloaded soon.
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
 
 

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import prepare, utf8
+from .common import give_back, prepare, utf8
 
 #: Presence of byte n-grams: n and the number of hash bins.
 SPECTRUM = ((1, 256), (2, 4096), (3, 8192))
 WIDTH = sum(w for _, w in SPECTRUM)
 SAMPLE = 4000  # learning rows in all, dealt evenly to the languages
+LANGUAGES = 500  # languages that are learned
 LANDMARKS = 160  # in all, likewise
 RIDGE = 1e-2
 
@@ -85,17 +86,21 @@ def _lettered(texts: pa.Array, data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def learning_rows(docs: DataFrame, text_col: str, lang_col: str, key) -> DataFrame:
-    """(lang, bits) of about ``SAMPLE`` rows, alike for each language, chosen
-    by a hash of the key."""
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & key.isNotNull())
-    counts = known.groupBy(F.col(lang_col).alias("l")).count().collect()  # one row for each language
+    """(lang, bits) of at most ``SAMPLE`` rows, alike for each language: those
+    with the least hash of key and text, so reruns take the same rows. Of more
+    than ``LANGUAGES`` values of lang the most frequent ones are learned."""
+    known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(key, F.lit("langid")).alias("h")).filter(
+        F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & key.isNotNull())
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None
     each = max(1, SAMPLE // len(counts))
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col(lang_col) == r["l"], min(1 << 20, -(-each * (1 << 20) // r["count"]))).otherwise(share)
-    picked = known.filter(F.pmod(F.xxhash64(key, F.lit("langid")), F.lit(1 << 20)) < share)
+    # Twice the wanted share by hash first, so that few rows are ordered.
+    share = [(r["lang"], min(1 << 20, -(-2 * each * (1 << 20) // r["n"]))) for r in counts]
+    shares = docs.sparkSession.createDataFrame(share, "lang string, share long")
+    picked = known.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1 << 20)) < F.col("share"))
+    first = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h", F.xxhash64("text"))
+    picked = picked.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= each)
 
     @arrow_udf("binary")
     def bits(text: pa.Array) -> pa.Array:
@@ -105,7 +110,7 @@ def learning_rows(docs: DataFrame, text_col: str, lang_col: str, key) -> DataFra
             out += [r.tobytes() for r in np.packbits(x.astype(bool), axis=1)]
         return pa.array(out, pa.binary())
 
-    return picked.select(F.col(lang_col).alias("lang"), bits(F.col(text_col)).alias("bits")).limit(4 * SAMPLE)
+    return picked.select("lang", bits("text").alias("bits"))
 
 
 def predictor(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key=None, learn=None, unlearned: str = "und"):
@@ -135,6 +140,7 @@ def predictor(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", k
             best = s.argmax(axis=1)
             pred += [langs[c] if h else "und" for c, h in zip(best.tolist(), has.tolist())]
             score += np.where(has, np.clip((s.max(axis=1) + 1) / 2, 0, 1), 0.0).tolist()
+        give_back()
         return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     return predict
