@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.core import div
 from ..functions.text import topic_label
+from ..session import materialize
+from .hmm import fit_paths
 
 
 def regime_features(bench: DataFrame, t="dt") -> DataFrame:
@@ -29,30 +31,29 @@ def regime_features(bench: DataFrame, t="dt") -> DataFrame:
     return df.dropna(subset=["daily_return", "realized_vol_20d", "return_5d", "vol_change", "log_volume"])
 
 
-def detect_regimes(feats: DataFrame, k=3, seed=42, cols=("daily_return", "realized_vol_20d", "return_5d")) -> DataFrame:
-    """N2 (re-aimed): Gaussian mixture with ``k`` states on the benchmark
-    features; states labelled by rank of their mean return (lowest Bear,
-    middle Neutral, highest Bull; other ranks State_i)."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-    va = VectorAssembler(inputCols=list(cols), outputCol="features")
-    x = va.transform(feats)
-    model = GaussianMixture(k=k, seed=seed, featuresCol="features", predictionCol="regime_id").fit(x)
-    pred = model.transform(x).drop("features", "probability")
-    stats = regime_stats(pred)
-    rk = stats.withColumn("__rk", F.row_number().over(Window.orderBy("mean_return", "regime_id")))
-    lab = F.when(F.col("__rk") == 1, "Bear").when(F.col("__rk") == k, "Bull").when(F.col("__rk") == 2, "Neutral") \
+def detect_regimes(feats: DataFrame, k=3, cols=("daily_return", "realized_vol_20d", "return_5d"), rounds=200, tol=1e-2, key="ticker",
+                   t="dt") -> DataFrame:
+    """A Gaussian hidden Markov model with ``k`` states for each series
+    (Baum-Welch, then the Viterbi path); a series' states are labelled by rank
+    of their mean return (lowest Bear, middle Neutral, highest Bull; other
+    ranks State_i)."""
+    _, paths = fit_paths(feats, key, t, cols, k, rounds, tol)
+    pred = materialize(feats.join(paths.select(F.col("key").alias(key), F.col("t").alias(t), F.col("state").alias("regime_id")), [key, t]))
+    rk = regime_stats(pred, (key,)).withColumn("__rk", F.row_number().over(Window.partitionBy(key).orderBy("mean_return", "regime_id")))
+    last = F.max("__rk").over(Window.partitionBy(key))
+    lab = F.when(F.col("__rk") == 1, "Bear").when(F.col("__rk") == last, "Bull").when(F.col("__rk") == 2, "Neutral") \
         .otherwise(F.concat(F.lit("State_"), F.col("__rk").cast("string")))
-    return pred.join(F.broadcast(rk.select("regime_id", lab.alias("regime_label"))), "regime_id")
+    return pred.join(rk.select(key, "regime_id", lab.alias("regime_label")), [key, "regime_id"])
 
 
-def regime_stats(pred: DataFrame) -> DataFrame:
-    """Days, share, mean/std return, mean vol, mean 5-day return per state."""
-    g = pred.groupBy("regime_id").agg(
+def regime_stats(pred: DataFrame, by=()) -> DataFrame:
+    """Days, share, mean/std return, mean vol, mean 5-day return per state
+    (of each series if ``by`` names its key)."""
+    g = pred.groupBy(*by, "regime_id").agg(
         F.count(F.lit(1)).alias("days"), F.avg("daily_return").alias("mean_return"),
         F.stddev_samp("daily_return").alias("std_return"), F.avg("realized_vol_20d").alias("mean_vol"),
         F.avg("return_5d").alias("mean_5d_return"))
-    return g.withColumn("pct", F.col("days") * 100.0 / F.sum("days").over(Window.partitionBy()))
+    return g.withColumn("pct", F.col("days") * 100.0 / F.sum("days").over(Window.partitionBy(*by)))
 
 
 # Per-regime agent parameters (urgency, buy bias, vol threshold).

@@ -39,16 +39,24 @@ def q_regime_features(spark, sf):
 
 @register("regimes", ops=("N2", "N4", "N5", "C9"))
 def q_regimes(spark, sf):
-    """Three-state Gaussian mixture on benchmark features, labelled by mean
-    return, with the per-regime agent parameters."""
-    r = N.detect_regimes(N.regime_features(_bench(spark, sf)))
+    """Three-state Gaussian hidden Markov model on benchmark features, labelled
+    by mean return, with the per-regime agent parameters."""
+    r = N.detect_regimes(N.regime_features(_bench(spark, sf)), rounds=40)
     return N.with_regime_config(r.select("dt", "regime_id", "regime_label", "daily_return", "realized_vol_20d"))
 
 
+@register("regime_paths", ops=("N2",))
+def q_regime_paths(spark, sf):
+    """Hidden Markov regimes of every instrument: one model each, all at once."""
+    b = E.with_realised_vol(E.with_returns(FX.bars_table(spark, sf)), ns=(20,))
+    r = N.detect_regimes(N.regime_features(b), rounds=12)
+    return r.select("ticker", "dt", "regime_id", "regime_label")
+
+
 @register("regime_states", ops=("N4", "N6"))
 def q_regime_states(spark, sf):
     """Per-state statistics with the rule-based quiet/volatile label."""
-    r = N.detect_regimes(N.regime_features(_bench(spark, sf)))
+    r = N.detect_regimes(N.regime_features(_bench(spark, sf)), rounds=40)
     return N.regime_rule_label(N.regime_stats(r))
 
 
