@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.core import div
 from ..functions.text import topic_label
 from ..session import materialize
+from .boost import Model, Params, train
 from .hmm import fit_paths
 
 
@@ -117,42 +118,53 @@ def time_split(df: DataFrame, t="dt", test=0.2) -> DataFrame:
 ACTIONS = ["BUY", "CALL", "PUT", "SHORT"]
 
 
-def train_actions(df: DataFrame, features, seed=42, trees=50, depth=6):
-    """N9 (re-aimed): multiclass random forest with balanced class weights,
-    trained on the time-split train part."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    train = df.filter(~F.col("is_test")).dropna(subset=list(features))
-    counts = train.groupBy("optimal_action").agg(F.count(F.lit(1)).alias("__c"))
-    tot = F.sum("__c").over(Window.partitionBy())
-    k = F.count(F.lit(1)).over(Window.partitionBy())
-    wts = counts.select("optimal_action", (tot / (k * F.col("__c"))).alias("class_weight"))
-    train = train.join(F.broadcast(wts), "optimal_action")
-    pipe = Pipeline(stages=[
-        StringIndexer(inputCol="optimal_action", outputCol="label", stringOrderType="alphabetAsc"),
-        VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip"),
-        RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, weightCol="class_weight")])
-    return pipe.fit(train)
-
-
-def score_actions(model, df: DataFrame, version="rf-1") -> DataFrame:
-    """Class probabilities, argmax action and confidence."""
-    from pyspark.ml.functions import vector_to_array
-    out = model.transform(df)
-    prob = vector_to_array("probability")
-    out = out.withColumn("__p", prob)
-    labels = list(model.stages[0].labels)  # class index -> action (model metadata)
-    cols = {f"prob_{a.lower()}": (F.col("__p")[labels.index(a)] if a in labels else F.lit(0.0))
-            for a in ACTIONS}
-    out = out.withColumns(cols)
-    arr = F.array(*[F.col(c) for c in cols])
-    out = out.withColumn("confidence", F.array_max(arr))
+def train_actions(df: DataFrame, features, params: Params | None = None, key=("ticker", "dt")) -> Model:
+    """Boosted trees for the four actions on the time split; the rows of
+    the test dates stop the training early. Classes weigh alike."""
+    return train(df.dropna(subset=list(features)), features, "optimal_action", ACTIONS, "is_test", key, params)
+
+
+def score_actions(model: Model, df: DataFrame, version="gbdt-1") -> DataFrame:
+    """Class probabilities, argmax action (first of equal ones) and confidence."""
+    out = model.predict(df, "__p")
+    out = out.withColumns({f"prob_{a.lower()}": F.col("__p")[i] for i, a in enumerate(ACTIONS)}).withColumn("confidence", F.array_max("__p"))
     names = F.array(*[F.lit(a) for a in ACTIONS])
-    out = out.withColumn("ml_action", F.element_at(names, F.array_position(arr, F.col("confidence")).cast("int")))
+    out = out.withColumn("ml_action", F.element_at(names, F.array_position("__p", F.col("confidence")).cast("int")))
     return out.withColumns({"model_version": F.lit(version), "scored_at": F.current_timestamp()}).drop("__p")
 
 
+def confusion(pred: DataFrame, label="optimal_action", predicted="ml_action") -> DataFrame:
+    """Rows of each (actual, predicted) pair of actions, empty ones too."""
+    spark = pred.sparkSession
+    cells = spark.createDataFrame([(a, b) for a in ACTIONS for b in ACTIONS], "actual string, predicted string")
+    n = pred.groupBy(F.col(label).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    return cells.join(n, ["actual", "predicted"], "left").fillna(0, ["n"])
+
+
+def importances(spark, model: Model) -> DataFrame:
+    """Total gain and number of splits of each feature, all features."""
+    rows = spark.createDataFrame([(s[3], s[5]) for s in model.splits() if s[3] is not None], "feature string, gain double")
+    all_ = spark.createDataFrame([(f,) for f in model.features], "feature string")
+    return all_.join(rows.groupBy("feature").agg(F.sum("gain").alias("gain"), F.count(F.lit(1)).alias("splits")), "feature", "left") \
+        .fillna(0.0, ["gain"]).fillna(0, ["splits"])
+
+
+def action_coverage(pred: DataFrame, total: DataFrame, predicted="ml_action", key=("ticker", "dt")) -> DataFrame:
+    """Predicted rows and their share by action, and the share of all
+    rows that were scored."""
+    n = total.select(*key).distinct().count()
+    g = pred.groupBy(F.col(predicted).alias("action")).agg(F.count(F.lit(1)).alias("predicted_rows"), F.avg("confidence").alias("mean_confidence"))
+    return g.withColumns({"share": F.col("predicted_rows") / F.sum("predicted_rows").over(Window.partitionBy()),
+                          "coverage": F.sum("predicted_rows").over(Window.partitionBy()) / F.lit(float(max(1, n)))})
+
+
+def numeric_features(df: DataFrame, exclude) -> list[str]:
+    """The numeric columns by schema type, less the excluded ones, sorted."""
+    kinds = ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal")
+    gone = {c.lower() for c in exclude}
+    return sorted(f.name for f in df.schema.fields if f.dataType.simpleString().split("(")[0] in kinds and f.name.lower() not in gone)
+
+
 def evaluate(pred: DataFrame, label="optimal_action", predicted="ml_action") -> DataFrame:
     """Per-class precision/recall/F1 with support, plus accuracy and
     macro / weighted F1 as extra rows (class = '__macro', '__weighted',

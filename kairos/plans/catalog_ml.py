@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ml as N
 from ..operators import windows as E
+from ..operators.boost import Params
 from ..registry import register
 from ..sources import load
 from . import fixtures as FX
@@ -107,18 +108,63 @@ FEATURES = ["daily_return", "drawdown_pct", "drawdown_percentile", "realized_vol
             "relative_return_20d"]
 
 
-@register("action_model", ops=("N9", "N10", "N11", "D31", "B11", "B13"))
+# Query settings: fewer and smaller trees than the defaults (500 rounds of depth 5).
+BOOST = Params(rounds=12, patience=5, rate=0.2, depth=3, bins=32)
+
+
+def action_boost(spark, sf):
+    """The boosted model, trained once per application and input version."""
+    key = ("boost", spark.sparkContext.applicationId, sf, FX.stamp(spark, sf))
+    if key not in FX._TABLES:
+        FX._TABLES[key] = N.train_actions(N.time_split(N.label_actions(silver_table(spark, sf))), FEATURES, BOOST)
+    return FX._TABLES[key]
+
+
+def _test_scores(spark, sf):
+    lab = N.time_split(N.label_actions(silver_table(spark, sf)))
+    return N.score_actions(action_boost(spark, sf), lab.filter(F.col("is_test")).dropna(subset=FEATURES))
+
+
+@register("action_model", ops=("N9", "N10", "D31", "B13"))
 def q_action_model(spark, sf):
-    """Random forest on the time split; per-class and summary metrics on
+    """Boosted trees on the time split; per-class and summary metrics on
     the test dates, plus the predicted-action distribution."""
-    s = silver_table(spark, sf)
-    lab = N.time_split(N.label_actions(s))
-    model = N.train_actions(lab, FEATURES)
-    test = lab.filter(F.col("is_test")).dropna(subset=FEATURES)
-    pred = N.score_actions(model, test)
-    ev = N.evaluate(pred)
+    pred = _test_scores(spark, sf)
     dist = pred.groupBy(F.col("ml_action").alias("cls")).agg(F.count(F.lit(1)).alias("predicted_rows"))
-    return ev.join(dist, "cls", "left")
+    return N.evaluate(pred).join(dist, "cls", "left")
+
+
+@register("action_confusion", ops=("N10",))
+def q_action_confusion(spark, sf):
+    """Actual against predicted action on the test dates."""
+    return N.confusion(_test_scores(spark, sf))
+
+
+@register("action_importance", ops=("N10",))
+def q_action_importance(spark, sf):
+    """Total gain and splits of each feature."""
+    return N.importances(spark, action_boost(spark, sf))
+
+
+@register("action_curve", ops=("N9",))
+def q_action_curve(spark, sf):
+    """Learning and held-out loss after each round."""
+    return spark.createDataFrame(action_boost(spark, sf).curve, "round int, train_loss double, held_out_loss double")
+
+
+@register("action_scores", ops=("N11",))
+def q_action_scores(spark, sf):
+    """Probabilities, action and confidence of every row with complete features."""
+    s = silver_table(spark, sf).dropna(subset=FEATURES)
+    return N.score_actions(action_boost(spark, sf), s).select(
+        "ticker", "dt", *[f"prob_{a.lower()}" for a in N.ACTIONS], "ml_action", "confidence", "model_version")
+
+
+@register("action_coverage", ops=("D31",))
+def q_action_coverage(spark, sf):
+    """Predicted actions over all rows and the share of rows scored."""
+    s = silver_table(spark, sf)
+    return N.action_coverage(N.score_actions(action_boost(spark, sf), s.dropna(subset=FEATURES)), s)
 
 
 @register("embedding_topics", ops=("N12",))

@@ -219,10 +219,9 @@ def q_ml_bias(spark, sf):
     """Model action probabilities where the model scored the row, else the
     momentum heuristic."""
     from ..operators import ml as N
-    from .catalog_ml import FEATURES
+    from .catalog_ml import FEATURES, action_boost
     s = silver_table(spark, sf)
-    lab = N.time_split(N.label_actions(s))
-    model = N.train_actions(lab, FEATURES)
+    model = action_boost(spark, sf)
     # Every row with complete features is scored; only training needs labels.
     scored = N.score_actions(model, latest_per_key(s).dropna(subset=FEATURES)).select(
         "ticker", "dt", "prob_buy", "prob_call", "prob_put", "prob_short")
