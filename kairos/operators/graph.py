@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import div
-from ..session import materialize
+from ..session import layer_table, materialize
+from .louvain import louvain
 
 PAIR_SCHEMA = T.StructType([
     T.StructField("src", T.StringType()), T.StructField("dst", T.StringType()),
@@ -226,39 +227,35 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iters=20, d=0.85, id_="ticker",
     return rank.select(F.col("node").alias(id_), F.col("rank").alias("pagerank"))
 
 
-def eigenvector(nodes: DataFrame, edges: DataFrame, iters=50, id_="ticker", checkpoint_every=1) -> DataFrame:
+def eigenvector(nodes: DataFrame, edges: DataFrame, iters=100, id_="ticker", tol=1e-9) -> DataFrame:
     """Eigenvector centrality by power iteration on (A + I) with |weight|,
-    L2-normalised each step (the norm is a window over the node table)."""
-    adj = materialize(both_directions(edges).select("src", "dst", F.abs("weight").alias("w")))
-    x = materialize(nodes.select(F.col(id_).alias("node")).distinct().withColumn("x", F.lit(1.0)))
-    for i in range(iters):
+    L2-normalised each step, until no entry changes by more than ``tol`` (or
+    after ``iters`` steps). Norm and change are one number each."""
+    adj = layer_table(both_directions(edges).select("src", "dst", F.abs("weight").alias("w")), "eigen-edges")
+    x = layer_table(nodes.select(F.col(id_).alias("node")).distinct().withColumns({"x": F.lit(1.0), "y": F.lit(1.0)}), "eigen")
+    for _ in range(iters):
         ax = x.join(adj, x.node == adj.src).groupBy("dst").agg(F.sum(F.col("x") * F.col("w")).alias("ax"))
-        y = x.join(ax, x.node == ax.dst, "left").select("node", (F.col("x") + F.coalesce("ax", F.lit(0.0))).alias("x"))
-        nrm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy()))
-        x = y.select("node", F.coalesce(div(F.col("x"), nrm), F.lit(0.0)).alias("x"))
-        if checkpoint_every and (i + 1) % checkpoint_every == 0:
-            x = materialize(x)
+        y = layer_table(x.join(ax, x.node == ax.dst, "left").select("node", "x", (F.col("x") + F.coalesce("ax", F.lit(0.0))).alias("y")), "eigen")
+        norm = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0]
+        if not norm:
+            break
+        change = y.agg(F.max(F.abs(F.col("y") / norm - F.col("x")))).first()[0]
+        x = y.select("node", (F.col("y") / norm).alias("x"), "y")
+        if change <= tol:
+            break
     return x.select(F.col("node").alias(id_), F.col("x").alias("eigenvector"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, iters=10, id_="ticker") -> DataFrame:
-    """G13 (re-aimed): weighted label propagation over positive edges. Each
-    node takes the label with the largest summed edge weight among its
-    neighbours and itself (tie: smallest label); sizes per community."""
-    adj = materialize(both_directions(edges.filter(F.col("edge_type") == "positive"))
-                      .select("src", "dst", F.abs("weight").alias("w")))
-    lab = materialize(nodes.select(F.col(id_).alias("node")).distinct().withColumn("label", F.col("node")))
-    for i in range(iters):
-        votes = lab.join(adj, lab.node == adj.src).groupBy(F.col("dst").alias("node"), "label") \
-            .agg(F.sum("w").alias("s"))
-        self_v = lab.select("node", "label", F.lit(1e-9).alias("s"))
-        allv = votes.unionByName(self_v).groupBy("node", "label").agg(F.sum("s").alias("s"))
-        best = Window.partitionBy("node").orderBy(F.col("s").desc(), F.col("label"))
-        lab = allv.withColumn("__r", F.row_number().over(best)).filter("__r = 1").select("node", "label")
-        lab = materialize(lab)
-    sizes = lab.groupBy("label").agg(F.count(F.lit(1)).alias("community_size"))
-    return lab.join(sizes, "label").select(F.col("node").alias(id_), F.col("label").alias("community"),
-                                           "community_size")
+def communities(nodes: DataFrame, edges: DataFrame, id_="ticker") -> DataFrame:
+    """Louvain communities over positive edges, with their sizes."""
+    comm = louvain(nodes, edges.filter(F.col("edge_type") == "positive"), id_)
+    sizes = comm.groupBy("comm").agg(F.count(F.lit(1)).alias("community_size"))
+    return comm.join(sizes, "comm").select(F.col("node").alias(id_), F.col("comm").alias("community"), "community_size")
+
+
+def community_sectors(comm: DataFrame, nodes: DataFrame, id_="ticker") -> DataFrame:
+    """Instruments of each sector in each community."""
+    return comm.join(nodes.select(id_, "sector"), id_).groupBy("community", "sector").agg(F.count(F.lit(1)).alias("n"))
 
 
 def network_stats(nodes: DataFrame, edges: DataFrame, id_="ticker") -> DataFrame:

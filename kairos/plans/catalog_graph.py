@@ -208,15 +208,22 @@ def q_pagerank(spark, sf):
 @register("eigenvector", ops=("G6",))
 def q_eigenvector(spark, sf):
     """Eigenvector centrality by power iteration."""
-    return G.eigenvector(_nodes(spark, sf), _edges(spark, sf), iters=30)
+    return G.eigenvector(_nodes(spark, sf), _edges(spark, sf))
 
 
 @register("communities", ops=("G13",))
 def q_communities(spark, sf):
-    """Label-propagation communities over positive edges, with sizes."""
+    """Louvain communities over positive edges, with sizes."""
     return G.communities(_nodes(spark, sf), _edges(spark, sf))
 
 
+@register("community_sectors", ops=("G13",))
+def q_community_sectors(spark, sf):
+    """Sector composition of each community."""
+    n = _nodes(spark, sf)
+    return G.community_sectors(G.communities(n, _edges(spark, sf)), n)
+
+
 @register("intensity_shock", ops=("G10", "G11"))
 def q_intensity(spark, sf):
     """Intensity BFS from the benchmark node, applied to the latest
