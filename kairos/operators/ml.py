@@ -16,6 +16,7 @@ from ..functions.core import div
 from ..functions.text import topic_label
 from ..session import materialize
 from .boost import Model, Params, train
+from .density import clusters, project
 from .hmm import fit_paths
 
 
@@ -187,28 +188,11 @@ def evaluate(pred: DataFrame, label="optimal_action", predicted="ml_action") ->
     return per.drop("__n", "__acc", "__mf1", "__wf1").unionByName(summary, allowMissingColumns=True)
 
 
-def cluster_embeddings(df: DataFrame, k=20, dims=8, seed=42, outlier_q=0.95, vec="embedding") -> DataFrame:
-    """N12 (re-aimed): PCA to ``dims`` then KMeans(k); rows farther from
-    their centre than the ``outlier_q`` quantile of distances get -1."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    x = df.withColumn("__v", array_to_vector(F.col(vec).cast("array<double>")))
-    pca = PCA(k=dims, inputCol="__v", outputCol="__pc").fit(x)
-    x = pca.transform(x)
-    km = KMeans(k=k, seed=seed, featuresCol="__pc", predictionCol="topic_id").fit(x)
-    x = km.transform(x)
-    centers = [list(map(float, c)) for c in km.clusterCenters()]  # k x dims model parameters
-    cmap = F.array(*[F.array(*[F.lit(v) for v in c]) for c in centers])
-    pc = vector_to_array("__pc")
-    ctr = F.element_at(cmap, F.col("topic_id") + 1)
-    dist = F.sqrt(F.aggregate(F.zip_with(pc, ctr, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y))
-    x = x.withColumn("distance", dist)
-    # One number; sketches of the partitions are merged, within 1e-5 of the rank.
-    thr = x.agg(F.percentile_approx("distance", outlier_q, 100_000)).first()[0]
-    if thr is not None:
-        x = x.withColumn("topic_id", F.when(F.col("distance") > F.lit(thr), F.lit(-1)).otherwise(F.col("topic_id")))
-    return x.drop("__v", "__pc")
+def cluster_embeddings(df: DataFrame, eps=0.25, least=5, dims=3, seed=42, vec="embedding", id_="vec_id", width=64) -> DataFrame:
+    """Random projection to ``dims``, then density clusters; topic_id is
+    the cluster's smallest core id, -1 for outliers."""
+    points = project(df.select(F.col(id_).alias("id"), vec), vec, dims, seed, width).select("id", "v")
+    return clusters(points, eps, least, dims).select(F.col("id").alias(id_), F.col("cluster").alias("topic_id"), "core")
 
 
 def class_topics(docs: DataFrame, cls="lang", out="topic_id") -> DataFrame:

@@ -169,8 +169,9 @@ def q_action_coverage(spark, sf):
 
 @register("embedding_topics", ops=("N12",))
 def q_embedding_topics(spark, sf):
-    """PCA + KMeans topics on the embedding table, far points as -1."""
-    return N.cluster_embeddings(load(spark, sf, "embeddings")).select("vec_id", "topic_id", "distance")
+    """Density clusters of the embedding table after a random projection,
+    outliers as -1."""
+    return N.cluster_embeddings(load(spark, sf, "embeddings"))
 
 
 @register("topic_words", ops=("N13", "N14", "L8"))
