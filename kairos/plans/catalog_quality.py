@@ -3,13 +3,17 @@ C10, C11, C14)."""
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import quality as M
 from ..operators.joins import diff_versions
 from ..operators.ranking import latest_per_key
 from ..registry import register
-from ..sources import load
+from ..session import checkpoint_dir
+from ..sources import load, versions
 from . import fixtures as FX
 from .gold import signal_table
 from .silver import daily_features, silver_table
@@ -174,23 +178,34 @@ def q_check_drawdown(spark, sf):
 
 @register("version_diff", sql=with_ctes(BARS, SILVER).rstrip() + """,
 v1 AS (SELECT ticker, dt, rsi_14 AS rsi_a FROM silver WHERE dt BETWEEN DATE '1996-01-01' AND DATE '1996-03-31'),
-v2 AS (SELECT ticker, dt, CASE WHEN avg_loss_14 > 0 THEN 100.0 - 100.0 / (1.0 + avg_gain_14 / avg_loss_14) ELSE 50.0 END AS rsi_b
-       FROM silver WHERE dt BETWEEN DATE '1996-01-01' AND DATE '1996-03-31')
+v2 AS (SELECT ticker, dt, FLOOR(rsi_14) AS rsi_b FROM silver WHERE dt BETWEEN DATE '1996-02-01' AND DATE '1996-04-30')
 SELECT COALESCE(v1.ticker, v2.ticker) AS ticker, COALESCE(v1.dt, v2.dt) AS dt, rsi_a AS rsi_14_a, rsi_b AS rsi_14_b,
        CASE WHEN v1.ticker IS NULL THEN 'added' WHEN v2.ticker IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM v1 FULL OUTER JOIN v2 ON v1.ticker = v2.ticker AND v1.dt = v2.dt
 WHERE v1.ticker IS NULL OR v2.ticker IS NULL OR rsi_a IS DISTINCT FROM rsi_b""",
-          floats=("rsi_14_a", "rsi_14_b"), ops=("M14", "C11", "A19"))
+          floats=("rsi_14_a", "rsi_14_b"), ops=("M14", "C11", "A19", "A6"))
 def q_version_diff(spark, sf):
-    """Diff of two feature versions (RSI zero-loss rule) on a period."""
-    from ..operators.windows import with_returns, with_rsi
-    b = FX.bars_table(spark, sf)
-    per = (F.col("dt") >= F.lit("1996-01-01").cast("date")) & (F.col("dt") <= F.lit("1996-03-31").cast("date"))
-    r = with_returns(b)
-    a = with_rsi(r, zero_loss="cap").filter(per).select("ticker", "dt", "rsi_14")
-    c = with_rsi(r, zero_loss="neutral").filter(per).select("ticker", "dt", "rsi_14")
-    return diff_versions(a, c, ["ticker", "dt"], ["rsi_14"]).withColumnsRenamed(
-        {"rsi_14_a": "rsi_14_a", "rsi_14_b": "rsi_14_b"})
+    """Diff of two committed versions of a feature table: the second one is a
+    month later and stores whole numbers."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/versions/rsi-{uuid.uuid4().hex}"
+    s = silver_table(spark, sf).select("ticker", "dt", "rsi_14")
+    first = versions.write(s.filter("dt BETWEEN DATE '1996-01-01' AND DATE '1996-03-31'"), path)
+    later = s.filter("dt BETWEEN DATE '1996-02-01' AND DATE '1996-04-30'").withColumn("rsi_14", F.floor("rsi_14").cast("double"))
+    second = versions.write(later, path, based_on=first)
+    return diff_versions(versions.read(spark, path, first), versions.read(spark, path, second), ["ticker", "dt"], ["rsi_14"])
+
+
+@register("version_history", sql=with_ctes(BARS) + """
+SELECT CAST(v AS BIGINT) AS version, (SELECT COUNT(*) FROM bars WHERE dt >= DATE '1996-01-01' AND dt < DATE '1996-02-01' + to_months(CAST(v AS INTEGER))) AS rows,
+       'append' AS operation FROM range(3) t(v)""", ops=("A19",))
+def q_version_history(spark, sf):
+    """History of a table committed month by month: each version's rows."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/versions/bars-{uuid.uuid4().hex}"
+    b = FX.bars_table(spark, sf).select("ticker", "dt", "close")
+    for month in ("1996-01", "1996-02", "1996-03"):
+        versions.write(b.filter(F.date_format("dt", "yyyy-MM") == month), path, "append")
+    counts = [versions.read(spark, path, v).agg(F.lit(v).cast("long").alias("version"), F.count(F.lit(1)).alias("rows")) for v in range(3)]
+    return reduce(lambda x, y: x.unionByName(y), counts).join(versions.history(spark, path).select("version", "operation"), "version")
 
 
 @register("regime_share", sql=with_ctes(BARS, SILVER).rstrip() + """,

@@ -21,6 +21,30 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, bytes, modification time) of the entries of a folder."""
+    fs, p = _fs(spark, path)
+    return [(f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p)]
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def stamp(spark: SparkSession, path: str) -> tuple:
     """Size and newest change of a file or folder: the version of an input."""
     fs, p = _fs(spark, path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import storage
+from . import storage, versions
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -72,30 +72,16 @@ def reset_table(spark: SparkSession, path: str, schema) -> None:
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
-def write_version(df: DataFrame, path: str) -> int:
-    """Write a new version ``version=N`` under ``path``; returns N.
+def write_version(df: DataFrame, path: str, mode: str = "overwrite") -> int:
+    """Commit a new version of the table at ``path``; returns its number."""
+    return versions.write(df, path, mode)
 
-    Version directories stand in for a table log; readers pick a version
-    by partition pruning on ``version``.
-    """
-    spark = df.sparkSession
-    hist = history(spark, path)
-    nxt = 0 if hist is None else (hist.agg(F.max("version")).first()[0] + 1)
-    df.write.mode("overwrite").parquet(f"{path}/version={nxt}")
-    return nxt
-
-
-def history(spark: SparkSession, path: str) -> DataFrame | None:
-    """The versions present (version, rows)."""
-    if not storage.exists(spark, path):
-        return None
-    return spark.read.parquet(path).groupBy("version").agg(F.count(F.lit(1)).alias("rows"))
-
-
-def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """Read as of a version (latest when ``version`` is None)."""
-    df = spark.read.parquet(path)
-    if version is None:
-        latest = df.agg(F.max("version").alias("v"))
-        return df.join(F.broadcast(latest), df["version"] == latest["v"], "left_semi")
-    return df.filter(F.col("version") == version).drop("version")
+
+def history(spark: SparkSession, path: str) -> DataFrame:
+    """The versions present, with their time, files and columns."""
+    return versions.history(spark, path)
+
+
+def read_version(spark: SparkSession, path: str, version: int | None = None, as_of_ms: int | None = None) -> DataFrame:
+    """Read as of a version or a time (latest when both are None)."""
+    return versions.read(spark, path, version, as_of_ms)
