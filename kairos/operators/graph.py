@@ -1,106 +1,92 @@
 """Correlation graph operators.
 
-Nodes are instruments, edges are correlation pairs (src < dst). The pair
-statistics are built from per-partition sufficient statistics (a Gram
-matrix per block of dates, summed by ``groupBy``), never from a self join
+Nodes are instruments, edges are correlation pairs (src < dst). Correlations
+come from Gram matrices of instrument blocks, never from a self join
 that emits every pair of instruments of every date. Graph walks (BFS,
-PageRank, label propagation) are bounded iterations of join + aggregate;
-long iterations checkpoint to the shared checkpoint folder.
+PageRank, communities) are iterations of join + aggregate whose state is
+written to the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.core import div
-from ..session import layer_table, materialize
+from ..session import layer_table, materialize, ship_package
 from .louvain import louvain
 
-PAIR_SCHEMA = T.StructType([
-    T.StructField("src", T.StringType()), T.StructField("dst", T.StringType()),
-    T.StructField("n", T.LongType()), T.StructField("sx", T.DoubleType()), T.StructField("sy", T.DoubleType()),
-    T.StructField("sxx", T.DoubleType()), T.StructField("syy", T.DoubleType()),
-    T.StructField("sxy", T.DoubleType())])
+PAIRS = "src string, dst string, n long, corr double"
 
 
-def _block_stats(pdfs, key, t, v):
-    """mapInPandas body: for the dates of this partition, pivot to a dense
-    dates x instruments block and emit the pairwise-complete sums of every
-    instrument pair present (matrix products, one row per pair)."""
+def _gram(pdf, t, v, min_overlap, pos, neg):
+    """The pairs of one instrument block with another (or with itself): dense
+    dates x instruments matrices of both, products of them, one row for each
+    pair that stays."""
     import numpy as np
     import pandas as pd
-    frames = [p for p in pdfs if len(p)]
-    if not frames:
-        return
-    pdf = pd.concat(frames)
-    wide = pdf.pivot_table(index=t, columns=key, values=v, aggfunc="first")
-    names = np.array(wide.columns, dtype=object)
-    x = wide.to_numpy(dtype="float64")
-    m = np.isfinite(x).astype("float64")
-    x0 = np.where(m > 0, x, 0.0)
-    n = m.T @ m
-    sx = x0.T @ m          # sx[i, j] = sum x_i over dates where j present
-    sxx = (x0 * x0).T @ m
-    sxy = x0.T @ x0
-    iu, ju = np.triu_indices(len(names), k=1)
-    keep = n[iu, ju] > 0
-    iu, ju = iu[keep], ju[keep]
-    a, b = names[iu], names[ju]
-    swap = a > b  # orient every pair as src < dst
-    src = np.where(swap, b, a)
-    dst = np.where(swap, a, b)
-    yield pd.DataFrame({
-        "src": src.astype(str), "dst": dst.astype(str), "n": n[iu, ju].astype("int64"),
-        "sx": np.where(swap, sx[ju, iu], sx[iu, ju]), "sy": np.where(swap, sx[iu, ju], sx[ju, iu]),
-        "sxx": np.where(swap, sxx[ju, iu], sxx[iu, ju]), "syy": np.where(swap, sxx[iu, ju], sxx[ju, iu]),
-        "sxy": sxy[iu, ju]})
-
-
-def correlation_pairs(df: DataFrame, key="ticker", t="dt", v="daily_return", min_obs=60,
-                      min_overlap=2, date_partitions: int | None = None) -> DataFrame:
+    days, row = np.unique(pdf[t].to_numpy(), return_inverse=True)
+    left = pdf["side"].to_numpy() == 0
+    same = bool(pdf["same"].iloc[0])
+
+    def dense(part):
+        names, col = np.unique(pdf["key"].to_numpy()[part].astype(str), return_inverse=True)
+        x, m = np.zeros((len(days), len(names))), np.zeros((len(days), len(names)))
+        x[row[part], col], m[row[part], col] = pdf[v].to_numpy(float)[part], 1.0
+        return names, x, m
+
+    a, x, mx = dense(left)
+    b, y, my = (a, x, mx) if same else dense(~left)
+    n, sx, sy = mx.T @ my, x.T @ my, mx.T @ y
+    cov = n * (x.T @ y) - sx * sy
+    vx, vy = n * ((x * x).T @ my) - sx * sx, n * (mx.T @ (y * y)) - sy * sy
+    ok = (n >= max(1, min_overlap)) & (vx > 0) & (vy > 0)
+    if same:
+        ok &= np.triu(np.ones_like(ok), 1).astype(bool)
+    i, j = np.nonzero(ok)
+    corr = cov[i, j] / (np.sqrt(vx[i, j]) * np.sqrt(vy[i, j]))
+    if pos is not None:
+        keep = (corr >= pos) | (corr <= neg)
+        i, j, corr = i[keep], j[keep], corr[keep]
+    swap = a[i] > b[j]  # orient every pair as src < dst
+    return pd.DataFrame({"src": np.where(swap, b[j], a[i]), "dst": np.where(swap, a[i], b[j]), "n": n[i, j].astype("int64"), "corr": corr})
+
+
+def _blocked(x: DataFrame, key, t, v, min_overlap, block, pos=None, neg=None) -> DataFrame:
+    """Correlations of all instrument pairs of ``x`` by blocks of instruments:
+    each pair of blocks is one group, of the dates of ``2 * block`` instruments
+    at most (by hash; about as many). Values go once to each group of their
+    block. With thresholds only pairs beyond them leave a group."""
+    ship_package(x.sparkSession)
+    nb = max(1, -(-x.select(key).distinct().count() // block))
+    rows = x.select(F.col(key).alias("key"), F.col(t).alias("t"), F.col(v).cast("double").alias("v")).dropDuplicates(["key", "t"])
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(nb)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    rows = rows.select("key", "t", "v", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"),
+                       (F.col("b") > F.col("o")).cast("int").alias("side"), (F.col("b") == F.col("o")).alias("same"))
+    return rows.groupBy("i", "j").applyInPandas(lambda pdf: _gram(pdf, "t", "v", min_overlap, pos, neg), PAIRS)
+
+
+def correlation_pairs(df: DataFrame, key="ticker", t="dt", v="daily_return", min_obs=60, min_overlap=2, block=256, pos=None, neg=None) -> DataFrame:
     """G1: Pearson correlation of every instrument pair over their common
     dates, for instruments with >= ``min_obs`` values.
 
-    Rows are hash-partitioned by date; each task turns its dates into one
-    dense block and emits partial sums per pair (bounded by the number of
-    instrument pairs, independent of the number of rows); a ``groupBy``
-    adds the partials. The pair table is O(instruments^2); beyond a few
-    thousand instruments, block the instrument axis as well.
+    Two-dimensional blocks of instruments (``block`` wide) are worked on by
+    themselves, so memory is bounded by a block and the calendar; with ``pos``
+    and ``neg`` only pairs with corr >= pos or <= neg are ever written.
     """
-    x = df.select(key, t, v).filter(F.col(v).isNotNull())
+    x = df.select(key, t, v).filter(F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double")))
     counts = x.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_obs)
-    x = x.join(counts.select(key), key, "left_semi")
-    nparts = date_partitions or df.sparkSession.sparkContext.defaultParallelism
-    x = x.repartition(nparts, t)
-    parts = x.mapInPandas(lambda it: _block_stats(it, key, t, v), PAIR_SCHEMA)
-    g = parts.groupBy("src", "dst").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    return pair_corr(g, min_overlap)
-
-
-def pair_corr(g: DataFrame, min_overlap=2) -> DataFrame:
-    """Correlation from pair sums (null when a side is constant)."""
-    n = F.col("n").cast("double")
-    cov = n * F.col("sxy") - F.col("sx") * F.col("sy")
-    vx = n * F.col("sxx") - F.col("sx") * F.col("sx")
-    vy = n * F.col("syy") - F.col("sy") * F.col("sy")
-    corr = F.when((vx > 0) & (vy > 0), div(cov, F.sqrt(vx) * F.sqrt(vy)))
-    return g.filter(F.col("n") >= min_overlap).select("src", "dst", "n", corr.alias("corr")) \
-        .filter(F.col("corr").isNotNull())
-
-
-def tail_correlation(df: DataFrame, n=120, min_n=60, key="ticker", t="dt", v="daily_return") -> DataFrame:
+    return _blocked(x.join(counts.select(key), key, "left_semi"), key, t, v, min_overlap, block, pos, neg)
+
+
+def tail_correlation(df: DataFrame, n=120, min_n=60, key="ticker", t="dt", v="daily_return", block=256) -> DataFrame:
     """Correlation of the last ``n`` values of each instrument aligned by
     position from the end (not by date); |corr| kept."""
     r = F.row_number().over(Window.partitionBy(key).orderBy(F.col(t).desc()))
-    x = df.select(key, t, v).filter(F.col(v).isNotNull()).withColumn("__pos", r).filter(F.col("__pos") <= n)
+    x = df.select(key, t, v).filter(F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double"))).withColumn("__pos", r).filter(F.col("__pos") <= n)
     cnt = x.groupBy(key).agg(F.count(F.lit(1)).alias("__c")).filter(F.col("__c") >= min_n)
-    x = x.join(cnt.select(key), key, "left_semi")
-    nparts = df.sparkSession.sparkContext.defaultParallelism
-    parts = x.repartition(nparts, "__pos").mapInPandas(lambda it: _block_stats(it, key, "__pos", v), PAIR_SCHEMA)
-    g = parts.groupBy("src", "dst").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    return pair_corr(g).withColumn("corr", F.abs("corr"))
+    pairs = _blocked(x.join(cnt.select(key), key, "left_semi"), key, "__pos", v, 2, block)
+    return pairs.withColumn("corr", F.abs("corr"))
 
 
 def correlation_edges(pairs: DataFrame, pos=0.5, neg=-0.3, kind="signed") -> DataFrame:

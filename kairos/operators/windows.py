@@ -153,41 +153,40 @@ def with_rsi(df: DataFrame, n=14, ret="daily_return", zero_loss="cap", min_perio
     return df.withColumn(f"rsi_{n}", rsi)
 
 
-def ema_columns(df: DataFrame, specs, k="ticker", t="dt") -> DataFrame:
+def ema_columns(df: DataFrame, specs, k="ticker", t="dt", block=64) -> DataFrame:
     """Exponential means with ``adjust=False`` (y0 = x0, y = y'(1-a) + x a).
 
-    ``specs``: list of (out, source, span), or (out, fn) for a derived
-    column ``fn(pdf)``; a later spec may read an earlier output. The recursion is sequential per key, so it runs as one grouped
-    ``applyInPandas`` pass per instrument: a group is one instrument's bar
-    history, bounded by the calendar, and the output keeps the key
-    partitioning, so following windows on the same key do not re-shuffle.
+    ``specs``: (out, source, span). A step is an affine map of y, and maps
+    compose: the rows of a key are cut into time blocks, a running sum gives
+    each row's map from its block's start, and the blocks' own maps are folded
+    along the key, ``block`` times fewer than rows. All of it are native
+    expressions; a null value leaves the mean as it was (null before the
+    first value).
     """
-    from pyspark.sql import types as T
-    import numpy as np
-
-    fields = list(df.schema.fields) + [T.StructField(sp[0], T.DoubleType()) for sp in specs]
-    schema = T.StructType(fields)
-    names = [f.name for f in fields]
-
-    def run(pdf):
-        pdf = pdf.sort_values(t, kind="mergesort")
-        for sp in specs:
-            if len(sp) == 2:
-                pdf[sp[0]] = sp[1](pdf).astype("float64")
-                continue
-            out, src, span = sp
-            a = 2.0 / (span + 1.0)
-            b = 1.0 - a
-            x = pdf[src].to_numpy(dtype="float64")
-            y = np.empty(len(x))
-            acc = np.nan
-            for i in range(len(x)):
-                acc = x[i] if i == 0 else acc * b + x[i] * a
-                y[i] = acc
-            pdf[out] = y
-        return pdf[names]
-
-    return df.groupBy(k).applyInPandas(run, schema)
+    whole = Window.partitionBy(k).orderBy(t)
+    inside = Window.partitionBy(k, "__block").orderBy("__pos")
+    run = inside.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__pos", F.row_number().over(whole) - 1).withColumn("__block", F.floor(F.col("__pos") / block))
+    power, ends = {}, []
+    for out, src, span in specs:
+        a = 2.0 / (span + 1.0)
+        x = F.col(src).cast("double")
+        # Steps count values, not rows: i of this block, the key's first value has weight one.
+        seen = F.count(x).over(whole.rowsBetween(Window.unboundedPreceding, 0))
+        i = F.count(x).over(run)
+        df = df.withColumns({f"__i_{out}": i, f"__n_{out}": seen})
+        weight = F.when(F.col(f"__n_{out}") == 1, F.lit(1.0)).otherwise(F.lit(a))
+        term = F.when(x.isNotNull(), x * weight * F.pow(F.lit(1.0 - a), -F.col(f"__i_{out}")))
+        power[out] = F.pow(F.lit(1.0 - a), F.col(f"__i_{out}"))
+        df = df.withColumn(f"__l_{out}", F.coalesce(F.sum(term).over(run), F.lit(0.0)) * power[out])
+        ends += [F.max_by(f"__l_{out}", "__pos").alias(f"__l_{out}"), F.max_by(power[out], "__pos").alias(f"__d_{out}")]
+    blocks = df.groupBy(k, "__block").agg(*ends)
+    before = Window.partitionBy(k).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = [F.aggregate(F.collect_list(F.struct(F.col(f"__l_{out}").alias("l"), F.col(f"__d_{out}").alias("d"))).over(before), F.lit(0.0),
+                         lambda acc, e: acc * e["d"] + e["l"]).alias(f"__c_{out}") for out, _, _ in specs]
+    df = df.join(blocks.select(k, "__block", *carry), [k, "__block"])
+    df = df.withColumns({out: F.when(F.col(f"__n_{out}") > 0, F.col(f"__l_{out}") + F.col(f"__c_{out}") * power[out]) for out, _, _ in specs})
+    return df.drop("__pos", "__block", *[f"__{c}_{out}" for out, _, _ in specs for c in "inlc"])
 
 
 def with_macd(df: DataFrame, fast=12, slow=26, signal=9, kind="sma", price="close",
@@ -204,9 +203,8 @@ def with_macd(df: DataFrame, fast=12, slow=26, signal=9, kind="sma", price="clos
         df = df.withColumn("macd_signal", F.avg("macd_line").over(frame(signal, k, t)))
     else:
         ef, es = f"ema_{fast}", f"ema_{slow}"
-        df = ema_columns(df, [(ef, price, fast), (es, price, slow),
-                              ("macd_line", lambda p: p[ef] - p[es]),
-                              ("macd_signal", "macd_line", signal)], k, t)
+        df = ema_columns(df, [(ef, price, fast), (es, price, slow)], k, t).withColumn("macd_line", F.col(ef) - F.col(es))
+        df = ema_columns(df, [("macd_signal", "macd_line", signal)], k, t)
     return df.withColumn("macd_histogram", F.col("macd_line") - F.col("macd_signal"))
 
 

@@ -51,7 +51,8 @@ def _pairs(spark, sf):
 
 
 def _edges(spark, sf):
-    return G.correlation_edges(_pairs(spark, sf), POS, NEG)
+    pairs = G.correlation_pairs(_returns(spark, sf), min_obs=MIN_OBS, pos=POS, neg=NEG)
+    return G.correlation_edges(pairs, POS, NEG)
 
 
 def _nodes(spark, sf):
