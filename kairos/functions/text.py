@@ -277,3 +277,9 @@ def tag_patterns(notes) -> dict[str, Column]:
 def parse_ts(col, formats=("yyyyMMdd'T'HHmmss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")) -> Column:
     """L4: timestamp from text, trying each format in turn; else null."""
     return F.coalesce(*[F.try_to_timestamp(col_(col), F.lit(f)) for f in formats])
+
+
+def filter_min_text(df, col, least=10):
+    """Rows whose trimmed text has more than ``least`` characters (null
+    texts go)."""
+    return df.filter(F.col(col).isNotNull() & (F.length(F.trim(F.col(col))) > least))

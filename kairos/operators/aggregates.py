@@ -1,13 +1,17 @@
 """Aggregations (D1-D33). Every one is a ``groupBy().agg`` (partial
 aggregation before the shuffle) or a window over a bounded key; exact
-quantiles use ``percentile`` (linear interpolation)."""
+quantiles of a few large groups use histograms (``exact_quantiles``), those of
+many small groups ``percentile``; both interpolate linearly."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import div
+from ..session import layer_table
 
 
 def profile(df: DataFrame, key: str, t: str, cols) -> DataFrame:
@@ -93,20 +97,64 @@ def first_date_with(df: DataFrame, n: int, k="ticker", t="dt") -> DataFrame:
     return d.agg(F.min(t).alias("first_date"))
 
 
+def exact_quantiles(df: DataFrame, k, col: str, ps, limit=10_000, bins=1024) -> DataFrame:
+    """(keys, p, value): exact quantiles of each group, interpolated between
+    neighbours, without a buffer or a sort of a whole group.
+
+    The wanted ranks lie between a least and a greatest value; while more than
+    ``limit`` rows lie there, a histogram of ``bins`` equal parts (combined
+    map-side) shows the part that holds the rank. Then the few rows left are
+    numbered. Null and NaN values don't count; a group without values has
+    no row. The state is one row for each group and rank.
+    """
+    k = [k] if isinstance(k, str) else list(k)
+    x = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(k)], F.col(col).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    keys = [f"k{i}" for i in range(len(k))]
+    at = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")) if keys else \
+        x.agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).filter("c > 0")
+    at = at.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps]))).withColumn("pos", F.col("p") * (F.col("c") - 1))
+    at = at.withColumn("rank", F.explode(F.array(F.floor("pos"), F.ceil("pos")).cast("array<long>"))).dropDuplicates([*keys, "p", "rank"])
+    at = layer_table(at.withColumns({"id": F.monotonically_increasing_id(), "base": F.lit(0).cast("long")}), "quantiles")
+
+    def meet(t):
+        same = reduce(lambda a, b: a & b, [x[c].eqNullSafe(t[c]) for c in keys], F.lit(True))
+        return x.join(F.broadcast(t) if t.count() <= 100_000 else t, same & (x["v"] >= t["lo"]) & (x["v"] <= t["hi"]))
+
+    while not (wide := at.filter(f"c > {limit} AND lo < hi")).isEmpty():
+        # The width of a finite range may overflow: halve before subtracting.
+        part = F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins)
+        h = meet(wide).groupBy("id", "rank", "base", F.least(F.lit(bins - 1), part).alias("part")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("nlo"), F.max("v").alias("nhi"))
+        upto = F.sum("n").over(Window.partitionBy("id").orderBy("part"))  # at most ``bins`` rows
+        h = h.withColumn("upto", F.col("base") + upto).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+        h = h.select("id", F.col("n").alias("nc"), "nlo", "nhi", (F.col("upto") - F.col("n")).alias("nbase"))
+        at = layer_table(at.join(h, "id", "left").select(
+            *keys, "p", "pos", "rank", "id", F.coalesce("nc", "c").alias("c"), F.coalesce("nlo", "lo").alias("lo"),
+            F.coalesce("nhi", "hi").alias("hi"), F.coalesce("nbase", "base").alias("base")), "quantiles")
+    few = meet(at.filter("lo < hi")).select("id", "rank", "base", "v").withColumn(
+        "at", F.col("base") + F.row_number().over(Window.partitionBy("id").orderBy("v")) - 1).filter("at = rank").select("id", F.col("v").alias("found"))
+    got = at.join(few, "id", "left").select(*keys, "p", "pos", F.struct("rank", F.coalesce("found", "lo").alias("v")).alias("r"))
+    got = got.groupBy(*keys, "p").agg(F.first("pos").alias("pos"), F.min("r").alias("a"), F.max("r").alias("b"))
+    part = F.col("pos") - F.col("a.rank")
+    value = F.when(F.col("a.rank") == F.col("b.rank"), F.col("a.v")).otherwise((1 - part) * F.col("a.v") + part * F.col("b.v"))
+    return got.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(k)], "p", value.alias("value"))
+
+
 def returns_by_score(df: DataFrame, score="signal_score", fwd="fwd_60d_median") -> DataFrame:
-    """Count, median and mean forward value per score tier."""
-    return df.groupBy(score).agg(F.count(F.lit(1)).alias("n"),
-                                 F.percentile(fwd, 0.5).alias("median_fwd"), F.avg(fwd).alias("mean_fwd"))
+    """Count, exact median and mean forward value per score tier."""
+    g = df.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.avg(fwd).alias("mean_fwd"))
+    med = exact_quantiles(df, score, fwd, [0.5]).select(F.col(score).alias("__s"), F.col("value").alias("median_fwd"))
+    return g.join(med, F.col(score).eqNullSafe(F.col("__s")), "left").select(score, "n", "median_fwd", "mean_fwd")
 
 
 def flagged_vs_baseline(df: DataFrame, score="signal_score", fwd="fwd_60d_median") -> DataFrame:
-    """Median forward value of flagged (score >= 1) vs unflagged rows."""
-    g = df.agg(F.percentile(F.when(F.col(score) >= 1, F.col(fwd)), 0.5).alias("flagged_median"),
-               F.percentile(F.when(F.col(score) == 0, F.col(fwd)), 0.5).alias("baseline_median"),
-               F.count_if(F.col(score) >= 1).alias("flagged_count"),
-               F.count_if(F.col(score) == 0).alias("baseline_count"))
-    g = g.withColumns({"flagged_median": F.coalesce("flagged_median", F.lit(0.0)),
-                       "baseline_median": F.coalesce("baseline_median", F.lit(0.0))})
+    """Exact median forward value of flagged (score >= 1) vs unflagged rows."""
+    side = F.when(F.col(score) >= 1, "flagged").when(F.col(score) == 0, "baseline")
+    med = exact_quantiles(df.withColumn("__side", side).filter("__side IS NOT NULL"), "__side", fwd, [0.5])
+    med = {r["__side"]: r["value"] for r in med.collect()}  # two numbers
+    g = df.agg(F.count_if(F.col(score) >= 1).alias("flagged_count"), F.count_if(F.col(score) == 0).alias("baseline_count"))
+    g = g.select(F.lit(med.get("flagged", 0.0)).alias("flagged_median"), F.lit(med.get("baseline", 0.0)).alias("baseline_median"),
+                 "flagged_count", "baseline_count")
     return g.withColumn("alpha", F.col("flagged_median") - F.col("baseline_median"))
 
 

@@ -66,14 +66,15 @@ def silver_checks(silver: DataFrame, min_rows=100000, max_null_pct=10.0) -> Data
     return run_checks(silver, "silver", rules)
 
 
-def gold_checks(gold: DataFrame, min_tickers=400) -> DataFrame:
-    """M4: instruments, top-tier share in (0, 10) %, null/out-of-range score."""
+def gold_checks(gold: DataFrame, min_tickers=400, min_sectors=8) -> DataFrame:
+    """M4: instruments, top-tier share in (0, 10) %, null/out-of-range score,
+    sectors."""
     n = F.count(F.lit(1))
     rules = [("ticker_count", F.count_distinct("ticker"), f">{min_tickers}", lambda v: v > min_tickers),
              ("top_tier_pct", F.count_if(F.col("top_tier")) * 100.0 / n, "(0,10)", lambda v: (v > 0) & (v < 10)),
              ("null_score", F.count_if(F.col("signal_score").isNull()), "0", _eq0),
              ("score_range", F.count_if((F.col("signal_score") < 0) | (F.col("signal_score") > 5)), "0", _eq0),
-             ("sector_count", F.count_distinct("sector"), ">0", lambda v: v > 0)]
+             ("sector_count", F.count_distinct("sector"), f">={min_sectors}", lambda v: v >= min_sectors)]
     return run_checks(gold, "gold", rules)
 
 

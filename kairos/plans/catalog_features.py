@@ -322,10 +322,14 @@ def q_grid(spark, sf):
         "ticker", "sector", "idx", "group_n", "grid_cols", "grid_row", "grid_col")
 
 
+# The instruments of the matrix: its columns are part of the query.
+PIVOT_TICKERS = ["BRAZIL", "CANADA", "CHINA", "EGYPT", "FRANCE", "GERMANY", "INDIA", "JAPAN", "KENYA", "MKT"]
+
+
 @register("pivot_returns", sql=S + """
-SELECT * FROM (PIVOT (SELECT dt, ticker, daily_return FROM silver) ON ticker USING first(daily_return) GROUP BY dt)""",
-          ops=("D12",))
+SELECT dt, """ + ", ".join(f"MAX(CASE WHEN ticker = '{t}' THEN daily_return END) AS \"{t}\"" for t in PIVOT_TICKERS) + """
+FROM silver GROUP BY dt""", floats=tuple(PIVOT_TICKERS), ops=("D12",))
 def q_pivot_returns(spark, sf):
     """Dates x instruments matrix of daily returns (first value per cell)."""
     from ..operators.aggregates import pivot_wide
-    return pivot_wide(E.with_returns(FX.bars_table(spark, sf)), "dt", "ticker", "daily_return")
+    return pivot_wide(E.with_returns(FX.bars_table(spark, sf)), "dt", "ticker", "daily_return", PIVOT_TICKERS)

@@ -78,7 +78,7 @@ ga AS (SELECT COUNT(DISTINCT ticker) AS tks, CAST(COUNT(*) FILTER (WHERE top_tie
 GOLD_ROWS = _rows("gold", [("ticker_count", "tks", ">400", "{v} > 400"),
                            ("top_tier_pct", "tt", "(0,10)", "({v} > 0 AND {v} < 10)"),
                            ("null_score", "ns", "0", "{v} = 0"), ("score_range", "bs", "0", "{v} = 0"),
-                           ("sector_count", "sc", ">0", "{v} > 0")], "ga")
+                           ("sector_count", "sc", ">=8", "{v} >= 8")], "ga")
 
 
 @register("bronze_checks", sql=with_ctes(BARS, BRONZE_CTE) + BRONZE_ROWS, ops=("M1", "M2", "D14"))
@@ -131,20 +131,27 @@ def q_layer_integrity(spark, sf):
     return M.layer_integrity(b, lower)
 
 
-@register("orphans", sql="SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
+@register("orphans", sql="SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
           ops=("M9",))
 def q_orphans(spark, sf):
-    """Label rows whose document does not exist."""
-    return M.orphans(load(spark, sf, "labels"), load(spark, sf, "documents"), "doc_id")
+    """Documents without a row in the label table."""
+    return M.orphans(load(spark, sf, "documents"), load(spark, sf, "labels"), "doc_id")
 
 
 @register("values_match", sql=G + """
-SELECT COUNT(*) AS compared, COUNT(*) FILTER (WHERE ABS(g.close - s.close) > 0.0001) AS mismatches
-FROM gold g JOIN silver s ON g.ticker = s.ticker AND g.dt = s.dt""", ops=("M10", "C10"))
+SELECT 'close' AS what, COUNT(*) AS compared, COUNT(*) FILTER (WHERE ABS(b.close - s.close) > 0.0001) AS mismatches
+FROM bars b JOIN silver s ON b.ticker = s.ticker AND b.dt = s.dt
+UNION ALL
+SELECT 'open' AS what, COUNT(*) AS compared, COUNT(*) FILTER (WHERE ABS(b.open - s.close) > 0.0001) AS mismatches
+FROM bars b JOIN silver s ON b.ticker = s.ticker AND b.dt = s.dt""", ops=("M10", "C10"))
 def q_values_match(spark, sf):
-    """Signal-table close equals feature-table close on every key."""
-    s = silver_table(spark, sf)
-    return M.values_match(signal_table(s), s, ["ticker", "dt"], "close")
+    """Feature-table close against the bar table's close (equal on every key)
+    and, as the counter-check, against its open."""
+    s, b = silver_table(spark, sf), FX.bars_table(spark, sf)
+    keys = ["ticker", "dt"]
+    same = M.values_match(b, s, keys, "close").withColumn("what", F.lit("close"))
+    other = M.values_match(b.select(*keys, F.col("open").alias("close")), s, keys, "close").withColumn("what", F.lit("open"))
+    return same.unionByName(other).select("what", "compared", "mismatches")
 
 
 @register("check_forward", sql=with_ctes(BARS, SILVER) + """

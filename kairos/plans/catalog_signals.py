@@ -11,6 +11,7 @@ from ..operators import aggregates as D
 from ..operators import ranking as H
 from ..operators.windows import with_returns
 from ..registry import register
+from ..sources import load
 from . import fixtures as FX
 from .gold import signal_table
 from .silver import daily_features, silver_table
@@ -211,11 +212,11 @@ def q_profile(spark, sf):
     return D.profile(FX.bars_table(spark, sf), "ticker", "dt", ["close", "volume", "sector"])
 
 
-@register("duplicate_keys", sql=with_ctes(BARS) + """
-SELECT ticker, dt, COUNT(*) AS n FROM bars GROUP BY ticker, dt HAVING COUNT(*) > 1""", ops=("D14",))
+@register("duplicate_keys", sql="""
+SELECT l_partkey, l_suppkey, COUNT(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey HAVING COUNT(*) > 1""", ops=("D14",))
 def q_duplicates(spark, sf):
-    """(ticker, dt) keys that occur more than once."""
-    return D.duplicate_keys(FX.bars_table(spark, sf), ["ticker", "dt"])
+    """(part, supplier) keys that occur more than once among the trades."""
+    return D.duplicate_keys(load(spark, sf, "lineitem"), ["l_partkey", "l_suppkey"])
 
 
 @register("first_date_with", sql=with_ctes(BARS) + """

@@ -194,11 +194,14 @@ def _sym_sql(col):
 
 
 @register("extract_symbols", sql=with_ctes(POSTS) + f"""
-SELECT id, {_sym_sql("translate(title || ' ' || selftext, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')")} AS symbols FROM posts""", ops=("L2",))
+SELECT id, {_sym_sql("translate(title || ' $' || (" + _sql_list(TX.SYMBOL_WHITELIST) + ")[1 + conv_id % " + str(len(TX.SYMBOL_WHITELIST)) + "] || ' the ' || selftext, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')")} AS symbols FROM posts""", ops=("L2",))
 def q_extract_symbols(spark, sf):
-    """Symbols mentioned in each post (upper-cased whole text)."""
+    """Symbols mentioned in each post (upper-cased whole text); the invented
+    prose holds none, so each post gets one, dealt by its conversation."""
     p = _posts(spark, sf)
-    return p.select("id", TX.extract_symbols(TX.ascii_upper(F.concat_ws(" ", "title", "selftext"))).alias("symbols"))
+    symbol = F.get(F.array(*[F.lit(s) for s in TX.SYMBOL_WHITELIST]), (F.col("conv_id") % len(TX.SYMBOL_WHITELIST)).cast("int"))
+    whole = F.concat_ws("", "title", F.lit(" $"), symbol, F.lit(" the "), "selftext")
+    return p.select("id", TX.extract_symbols(TX.ascii_upper(whole)).alias("symbols"))
 
 
 @register("ingest_posts", sql=with_ctes(POSTS) + """
@@ -260,11 +263,16 @@ def q_html_text(spark, sf):
 
 @register("dedupe_pages", sql="""
 SELECT page_id, url FROM (
-  SELECT page_id, url, ROW_NUMBER() OVER (PARTITION BY url ORDER BY page_id) AS r FROM pages
+  SELECT page_id, url, ROW_NUMBER() OVER (PARTITION BY url ORDER BY page_id) AS r
+  FROM (SELECT page_id, split_part(url, '?', 1) AS url FROM pages UNION ALL SELECT page_id + 1000000, split_part(url, '?', 1) FROM pages
+        UNION ALL SELECT page_id + 2000000, '' FROM pages)
   WHERE url IS NOT NULL AND url <> '') WHERE r = 1""", ops=("K1",))
 def q_dedupe_pages(spark, sf):
-    """One page per url (first by id); empty urls dropped."""
-    p = load(spark, sf, "pages").filter(F.col("url").isNotNull() & (F.col("url") != "")).select("page_id", "url")
+    """One page per url without its query (first by id) of a table that holds
+    every page twice; empty urls dropped."""
+    p = load(spark, sf, "pages").select("page_id", F.split_part("url", F.lit("?"), F.lit(1)).alias("url"))
+    again = p.select((F.col("page_id") + 1_000_000).alias("page_id"), "url").unionByName(p.select((F.col("page_id") + 2_000_000).alias("page_id"), F.lit("").alias("url")))
+    p = p.unionByName(again).filter(F.col("url").isNotNull() & (F.col("url") != ""))
     return dedupe_by(p, "url", "page_id")
 
 
