@@ -253,23 +253,33 @@ def project_forward(latest: DataFrame, days: int = 90) -> DataFrame:
                     *[f"projected_signal_{i}" for i in range(1, 6)])
 
 
-def payload_checks(snapshot_docs: DataFrame, graph_docs: DataFrame, min_stocks=400, min_edges=500) -> DataFrame:
-    """M5: rules over the emitted documents (parsed back from JSON)."""
+def payload_checks(snapshot_docs: DataFrame, graph_docs: DataFrame, news: DataFrame | None = None, min_stocks=400, min_edges=500,
+                   min_sectors=8) -> DataFrame:
+    """M5: rules over the emitted documents (parsed back from JSON): stocks,
+    edges, missing names, prices, score range, top-tier share, sectors, and
+    the share of stocks with news (``news``: ticker rows)."""
     from .quality import run_checks
     st = snapshot_docs.select(F.explode(F.from_json(
-        "json", "struct<stocks: array<struct<ticker: string, sector: string, close: double>>>").stocks).alias("s"))
+        "json", "struct<stocks: array<struct<ticker: string, sector: string, close: double, signal_score: int, top_tier: boolean>>>").stocks).alias("s"))
+    st = st.select("s.*")
+    if news is not None:
+        st = st.join(news.select("ticker").distinct().withColumn("covered", F.lit(True)), "ticker", "left")
+    else:
+        st = st.withColumn("covered", F.lit(False))
+    n = F.count(F.lit(1))
+    share = lambda c: F.coalesce(F.count_if(c) * 100.0 / F.nullif(n, F.lit(0)), F.lit(0.0))
+    stocks = run_checks(st, "payload", [
+        ("stock_count", n, f">={min_stocks}", lambda v: v >= min_stocks),
+        ("null_tickers", F.count_if(F.col("ticker").isNull()), "0", lambda v: v == 0),
+        ("null_sectors", F.count_if(F.col("sector").isNull()), "0", lambda v: v == 0),
+        ("non_positive_price", F.count_if(~(F.col("close") > 0)), "0", lambda v: v == 0),
+        ("score_range", F.count_if((F.col("signal_score") < 0) | (F.col("signal_score") > 5)), "0", lambda v: v == 0),
+        ("top_tier_pct", share(F.col("top_tier")), "[0,10)", lambda v: (v >= 0) & (v < 10)),
+        ("sector_count", F.count_distinct("sector"), f">={min_sectors}", lambda v: v >= min_sectors),
+        ("news_coverage_pct", share(F.col("covered")), ">50", lambda v: v > 50)])
     ed = graph_docs.select(F.explode(F.from_json(
         "json", "struct<edges: array<struct<target: string, weight: double>>>").edges).alias("e"))
-    s = st.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("s.ticker").isNull()).alias("nt"),
-               F.count_if(F.col("s.sector").isNull()).alias("ns"),
-               F.count_if(~(F.col("s.close") > 0)).alias("bp"), F.lit(1).alias("__k"))
-    e = ed.agg((F.count(F.lit(1)) / 2).alias("ne"),
-               F.count_if((F.col("e.weight") < -1) | (F.col("e.weight") > 1)).alias("bw"), F.lit(1).alias("__k"))
-    one = s.join(e, "__k")
-    return run_checks(one, "payload", [
-        ("stock_count", F.first("n"), f">={min_stocks}", lambda v: v >= min_stocks),
-        ("edge_count", F.first("ne"), f">={min_edges}", lambda v: v >= min_edges),
-        ("null_tickers", F.first("nt"), "0", lambda v: v == 0),
-        ("null_sectors", F.first("ns"), "0", lambda v: v == 0),
-        ("non_positive_price", F.first("bp"), "0", lambda v: v == 0),
-        ("edge_weight_out_of_range", F.first("bw"), "0", lambda v: v == 0)])
+    edges = run_checks(ed, "payload", [
+        ("edge_count", n / 2, f">={min_edges}", lambda v: v >= min_edges),
+        ("edge_weight_out_of_range", F.count_if((F.col("e.weight") < -1) | (F.col("e.weight") > 1)), "0", lambda v: v == 0)])
+    return stocks.unionByName(edges)

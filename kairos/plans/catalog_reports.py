@@ -367,4 +367,4 @@ def q_sector_filter(spark, sf):
 def q_payload_checks(spark, sf):
     """Rules over the emitted snapshot and graph documents."""
     from .catalog_docs import q_graph_payload, q_snapshot
-    return R.payload_checks(q_snapshot(spark, sf), q_graph_payload(spark, sf))
+    return R.payload_checks(q_snapshot(spark, sf), q_graph_payload(spark, sf), FX.instrument_news(spark, sf))
