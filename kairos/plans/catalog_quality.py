@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..operators import observed as O
 from ..operators import quality as M
 from ..operators.joins import diff_versions
 from ..operators.ranking import latest_per_key
@@ -16,7 +17,7 @@ from ..session import checkpoint_dir
 from ..sources import load, versions
 from . import fixtures as FX
 from .gold import signal_table
-from .silver import daily_features, silver_table
+from .silver import daily_features, silver_path, silver_table
 from .sqltext import BARS, GOLD, SILVER, with_ctes
 
 G = with_ctes(BARS, SILVER, GOLD)
@@ -115,6 +116,33 @@ def q_quality_report(spark, sf):
     return M.quality_report(checks)
 
 
+def _observed_layers(spark, sf):
+    """The feature layer and a gold layer, both written with their rules."""
+    lower = silver_path(spark, sf)
+    upper = O.layer_path(spark, "gold")
+    O.write_observed(_gold(spark, sf), upper, {"gold": O.gold_rules()})
+    return lower, upper
+
+
+ALL_CHECKS = G.rstrip() + ",\n" + BRONZE_CTE.strip() + ",\n" + SILVER_CTE.strip() + ",\n" + GOLD_CTE.strip() + ",\nallc AS (" \
+    + BRONZE_ROWS + "\nUNION ALL\n" + SILVER_ROWS + "\nUNION ALL\n" + GOLD_ROWS + ")\n"
+
+
+@register("observed_checks", sql=ALL_CHECKS + "SELECT * FROM allc", floats=("value",), ops=("M1", "M2", "M3", "M4"))
+def q_observed_checks(spark, sf):
+    """Rules of all layers, measured while the layers were written."""
+    return O.read_checks(spark, *_observed_layers(spark, sf))
+
+
+@register("observed_report", sql=ALL_CHECKS + """
+SELECT layer, COUNT(*) AS total_checks, COUNT(*) FILTER (WHERE NOT passed) AS failed_checks,
+       CASE WHEN COUNT(*) FILTER (WHERE NOT passed) > 0 THEN 'fail' ELSE 'pass' END AS status
+FROM allc GROUP BY layer""", ops=("M6",))
+def q_observed_report(spark, sf):
+    """The stored report documents of the layers."""
+    return O.read_status(spark, *_observed_layers(spark, sf))
+
+
 @register("layer_integrity", sql=with_ctes(BARS, SILVER) + """
 SELECT u.upper_rows, l.lower_rows, k.keys_lost,
        CAST(u.upper_rows - l.lower_rows AS DOUBLE) / u.upper_rows AS loss_ratio,

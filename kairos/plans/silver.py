@@ -76,12 +76,27 @@ def daily_features(bars: DataFrame, benchmark=BENCHMARK, rsi_zero_loss="cap",
     return df
 
 
-def silver_table(spark, sf_dir: str) -> DataFrame:
-    """The feature table written once per application and input version (a
-    Parquet table in the shared folder, so readers scan only their columns)."""
-    from ..session import layer_table
+def _written(spark, sf_dir: str):
+    """(folder, schema) of the feature table, written once per application and
+    input version. Rules of the bars and of the features are observed in that
+    pass (it is the first one by instrument and keeps every bar)."""
+    from ..operators.observed import bronze_rules, layer_path, silver_rules, write_observed
     from . import fixtures as FX
     key = ("silver", spark.sparkContext.applicationId, sf_dir, FX.stamp(spark, sf_dir))
     if key not in FX._TABLES:
-        FX._TABLES[key] = layer_table(daily_features(FX.bars_table(spark, sf_dir)), "silver")
+        df = daily_features(FX.bars_table(spark, sf_dir))
+        path = layer_path(spark, "silver")
+        write_observed(df, path, {"bronze": bronze_rules(), "silver": silver_rules()})
+        FX._TABLES[key] = path, df.schema
     return FX._TABLES[key]
+
+
+def silver_path(spark, sf_dir: str) -> str:
+    return _written(spark, sf_dir)[0]
+
+
+def silver_table(spark, sf_dir: str) -> DataFrame:
+    """The feature table (a Parquet table in the shared folder, so readers
+    scan only their columns)."""
+    path, schema = _written(spark, sf_dir)
+    return spark.read.schema(schema).parquet(path)
