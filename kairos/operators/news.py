@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lexicon_sentiment, match_keywords
+from .titles import with_scores
 
 
 def explode_matches(df: DataFrame, text: str, keywords: dict, out="ticker") -> DataFrame:
@@ -44,17 +45,12 @@ def news_rolling(df: DataFrame, t="published_date") -> DataFrame:
 
 def score_text(df: DataFrame, text: str, scorer=None, neg=None, pos=None) -> DataFrame:
     """Score each text. The default scorer is the lexicon (L6), a JVM
-    expression; ``scorer`` may be an iterator pandas UDF returning
-    struct<score double, label string, confidence double> for a model
-    loaded once per worker."""
-    if scorer is None:
-        s = lexicon_sentiment(text, neg, pos)
-        return df.withColumns({"sentiment_score": s["score"], "sentiment_label": s["label"],
-                               "sentiment_confidence": F.abs(s["score"])})
-    r = scorer(F.col(text))
-    return df.withColumn("__s", r).withColumns({
-        "sentiment_score": F.col("__s.score"), "sentiment_label": F.col("__s.label"),
-        "sentiment_confidence": F.col("__s.confidence")}).drop("__s")
+    expression; ``scorer`` is the ``load`` of a batched one (``titles``)."""
+    if scorer is not None:
+        return with_scores(df, text, scorer)
+    s = lexicon_sentiment(text, neg, pos)
+    return df.withColumns({"sentiment_score": s["score"], "sentiment_label": s["label"],
+                           "sentiment_confidence": F.abs(s["score"])})
 
 
 def daily_sentiment(scored: DataFrame, t="published_date") -> DataFrame:

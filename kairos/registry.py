@@ -61,7 +61,7 @@ def oracle_text(q: Query) -> str | None:
 def _load_all():
     # Importing the catalog modules fills REGISTRY.
     for mod in ("catalog_features", "catalog_signals", "catalog_text", "catalog_quality", "catalog_graph", "catalog_decide",
-                "catalog_ml", "catalog_docs", "catalog_reports", "catalog_stream", "catalog_sources", "catalog_lines"):
+                "catalog_ml", "catalog_docs", "catalog_reports", "catalog_stream", "catalog_sources", "catalog_lines", "catalog_titles"):
         importlib.import_module(f".plans.{mod}", __package__)
 
 
