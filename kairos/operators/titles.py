@@ -121,13 +121,18 @@ def fit_titles(df: DataFrame, text: str, mark: str, ridge: float = 1.0) -> Title
 _LOADED: dict = {}
 
 
+def _loaded(key: str, shared) -> Callable[[list], np.ndarray]:
+    # A function of the module, so that tasks share the worker's own table.
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = pickle.loads(shared.value)()
+    return _LOADED[key]
+
+
 def _scorer(shared, key: str, band: float):
     @arrow_udf("struct<score:double,label:string>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = pickle.loads(shared.value)()
-        run = _LOADED[key]
+        run = _loaded(key, shared)
         for texts in batches:
             parts = [np.asarray(run([t or "" for t in texts.slice(a, CHUNK).to_pylist()]), dtype=float) for a in range(0, len(texts), CHUNK)]
             s = np.concatenate(parts) if parts else np.zeros(0)
