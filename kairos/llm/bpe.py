@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import by_bytes, give_back, prepare, utf8
 
 NEVER = 1 << 30  # the rank of a pair that has no merge
-WIDE = 64  # words of more bytes are merged one by one
+WIDE = 64  # words of more bytes are proposed for and, if need be, merged one at a time
+BLOCK = 1 << 16  # positions of such a word that are matched together
 
 # The pre-tokenizer's pattern, with \s spelled out as Unicode white space.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -200,6 +201,35 @@ class Bpe:
         order = np.argsort(w, kind="stable")
         return w[order], t[order]
 
+    def greedy_wide(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``greedy`` for words of any length: the longest match at every
+        position of a block, then hops from token to token."""
+        words_, toks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for w, (lo, hi) in enumerate(zip(start.tolist(), end.tolist())):
+            at = lo
+            while at < hi:
+                first, stop = at, min(hi, at + BLOCK)
+                best, size = np.full(stop - first, -1, np.int64), np.ones(stop - first, np.int64)
+                node, live, depth = np.zeros(stop - first, np.int64), np.arange(stop - first), 0
+                while len(live):
+                    k = node[live] * 256 + data[first + live + depth]
+                    found = np.minimum(np.searchsorted(self.step_key, k), len(self.step_key) - 1)
+                    hit = self.step_key[found] == k
+                    live, to = live[hit], self.step_to[found[hit]]
+                    node[live] = to
+                    depth += 1
+                    token = self.accept[to]
+                    took = live[token >= 0]
+                    best[took], size[took] = token[token >= 0], depth
+                    live = live[first + live + depth < hi]
+                hops, step = [], size.tolist()
+                while at < stop:
+                    hops.append(at - first)
+                    at += step[at - first]
+                toks.append(best[hops])
+                words_.append(np.full(len(hops), w, np.int64))
+        return np.concatenate(words_), np.concatenate(toks)
+
     def merge_many(self, data, start, end) -> tuple[np.ndarray, np.ndarray]:
         """Exact BPE of words of at most ``WIDE`` bytes, all at once: in each
         step every word merges its lowest, leftmost pair."""
@@ -247,24 +277,24 @@ class Bpe:
         """Tokens of all (non-empty) words, and their number for each word."""
         start, end = off[:-1], off[1:]
         lens = end - start
-        long_ = np.flatnonzero(lens > WIDE)
-        short = np.flatnonzero(lens <= WIDE)
+        wide, short = np.flatnonzero(lens > WIDE), np.flatnonzero(lens <= WIDE)
         w, t = self.greedy(data, start[short], end[short])
-        w = short[w]
+        lw, lt = self.greedy_wide(data, start[wide], end[wide])
+        w, t = np.concatenate([short[w], wide[lw]]), np.concatenate([t, lt])
         same = w[1:] == w[:-1]
         a, b = t[:-1][same], t[1:][same]
         pair, back = np.unique(a * self.n + b, return_inverse=True)
         bad = ~self.compatible(pair // self.n, pair % self.n)[back]
         wrong = np.unique(w[1:][same][bad])
         keep = ~np.isin(w, wrong)
-        mw, mt = self.merge_many(data, start[wrong], end[wrong])
-        lw, lt = [], []
-        for i in long_.tolist():
+        few = wrong[lens[wrong] <= WIDE]
+        mw, mt = self.merge_many(data, start[few], end[few])
+        ws, ts = [w[keep], few[mw]], [t[keep], mt]
+        for i in wrong[lens[wrong] > WIDE].tolist():
             got = self.merge(data[start[i]:end[i]].tobytes())
-            lw += [i] * len(got)
-            lt += got
-        w = np.concatenate([w[keep], wrong[mw], np.array(lw, np.int64)])
-        t = np.concatenate([t[keep], mt, np.array(lt, np.int64)])
+            ws.append(np.full(len(got), i, np.int64))
+            ts.append(np.array(got, np.int64))
+        w, t = np.concatenate(ws), np.concatenate(ts)
         order = np.argsort(w, kind="stable")
         return t[order], np.bincount(w, minlength=len(lens))
 

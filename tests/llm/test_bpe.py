@@ -53,6 +53,31 @@ def test_pairs_are_compatible_exactly_if_bpe_keeps_them(both):
     assert bpe.compatible(a, b).tolist() == want and 0 < sum(want) < 3000
 
 
+def test_wide_words_are_proposed_and_verified(both, monkeypatch):
+    """Words of any length: the proposal is the longest match, only words with
+    an incompatible pair are merged; block borders change nothing."""
+    bpe, tok = both
+    rng = random.Random(8)
+    parts = ["ing", "the", "un", "x", "zz", "tion", "qu", "e", "s"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(30, 400))) for _ in range(60)] + ["-" * 4096, "=" * 70, "a" * 65]
+    data, off = utf8(pa.array(texts))
+    merged, merge = [], bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda word: merged.append(word) or merge(word))
+    for block in (7, 1 << 16):
+        monkeypatch.setattr(B, "BLOCK", block)
+        w, t = bpe.greedy_wide(data, off[:-1], off[1:])
+        w2, t2 = bpe.greedy(data, off[:-1], off[1:])
+        assert w.tolist() == w2.tolist() and t.tolist() == t2.tolist()
+        merged.clear()
+        ids, n = bpe.encode_words(data, off)
+        ends = np.cumsum(n)
+        for i, text in enumerate(texts):
+            want = tok.encode(text, add_special_tokens=False).ids
+            assert ids[ends[i] - n[i]:ends[i]].tolist() == want
+            assert len(text) <= B.WIDE or (text.encode() in merged) == (t[w == i].tolist() != want)
+        assert 0 < len(merged) < len(texts)
+
+
 def test_small_table(spark, both):
     _, tok = both
     rows = list(enumerate(fuzz(200, 5))) + [(3, "twice"), (3, "twice"), (None, "no id")]
