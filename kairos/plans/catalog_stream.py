@@ -108,7 +108,7 @@ def q_stream_news(spark, sf):
     path = S.stage_by_day(p.select("id", "title", "ts"), "ts", "posts")
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("title", T.StringType()),
                            T.StructField("ts", T.TimestampType()), T.StructField("day", T.DateType())])
-    st = S.read_stream(spark, path, schema)
+    st = S.read_stream(spark, path, schema, bytes_per_batch=128 << 20)  # the posts of a day are few
     s = TX.lexicon_sentiment("title", FX.NEGATIVE_WORDS, FX.POSITIVE_WORDS)
     st = st.select("id", s["score"].alias("score"), s["label"].alias("label"),
                    F.explode(TX.candidate_symbols(TX.ascii_upper("title"))).alias("symbol"))

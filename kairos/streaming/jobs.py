@@ -52,9 +52,12 @@ def stage_by_day(df: DataFrame, ts: str, name: str, end_after: str | None = None
     return path
 
 
-def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 16) -> DataFrame:
-    """File stream over a staged folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 16, bytes_per_batch: int | None = None) -> DataFrame:
+    """File stream over a staged folder. ``bytes_per_batch`` bounds a batch by
+    its bytes instead of its files: where days grow in number and not in size,
+    the batches then grow with the rows, not with the calendar."""
+    limit = ("maxBytesPerTrigger", bytes_per_batch) if bytes_per_batch else ("maxFilesPerTrigger", files_per_batch)
+    return spark.readStream.schema(schema).option(*limit).parquet(path)
 
 
 def run_batches(stream: DataFrame, out: str, fn=None, mode: str = "append", schema=None) -> DataFrame:

@@ -95,3 +95,15 @@ def test_advance_reset_and_wrap(spark):
     assert S.advance(silver, path, score, days=None) == days[1:]
     S.reset(spark, path)
     assert S.advance(silver, path, score, days=2, start=days[2]) == days[2:]
+
+
+def test_news_batches_do_not_grow_with_the_days(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+    from kairos.sources import storage
+    posts = [(24 * day, 1, "user", f"the beta word {day}") for day in range(40)]
+    spark.createDataFrame(posts, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "Beta with word")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(S, "shared_path", lambda sp, name: f"{tmp_path}/{name}")
+    got = sorted(tuple(r) for r in entry.queries()["stream_news"](spark, str(tmp_path)).select("id", "symbol").collect())
+    assert got == sorted((f"{24 * day}-1", w) for day in range(40) for w in ("BETA", "WORD"))
+    assert sum(n.startswith("__batch=") for n, _, _ in storage.listing(spark, f"{tmp_path}/news")) == 1
