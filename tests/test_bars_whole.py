@@ -1,4 +1,4 @@
-"""Bars of hand-made trades: repeated and missing keys, and no sort of all trades."""
+"""Bars of hand-made trades: repeated and missing keys, and no sort of all trades, also not for the join of suppliers."""
 
 import datetime as dt
 
@@ -65,3 +65,27 @@ def test_trades_are_aggregated_by_hash(spark, folder, monkeypatch):
     assert len(plans) == 1 and "HashAggregate" in plans[0] and "SortAggregate" not in plans[0]
     # What is compared by the whole trade key are trades of the days' end orders.
     assert "LeftSemi" in last._jdf.queryExecution().sparkPlan().toString() and last.filter(F.col("ticker") == "MKT").count() == 2
+
+
+@pytest.mark.parametrize("most, join", [(FX.BROADCAST_SUPPLIERS, "BroadcastHashJoin"), (0, "ShuffledHashJoin")])
+def test_trades_are_not_sorted_for_the_join_of_suppliers(spark, folder, monkeypatch, most, join):
+    plans = []
+    kept = session.layer_table
+
+    def layer(df, name):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(session, "layer_table", layer)
+    monkeypatch.setattr(FX, "BROADCAST_SUPPLIERS", most)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # more suppliers than the planner would broadcast
+    try:
+        last = FX.bars(spark, folder)
+        plans.append(last._jdf.queryExecution().sparkPlan().toString())
+        assert {tuple(r) for r in last.collect()} == brute()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    for plan in plans:
+        sides = [line for line in plan.splitlines() if "Join [l_suppkey" in line]
+        assert sides and all(join in line for line in sides)
