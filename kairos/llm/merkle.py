@@ -11,7 +11,7 @@ from .common import ascii_lower, drop_stage, stage
 
 FAN = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-#: Offsets of partitions are broadcast up to so many counted rows (100 bytes each).
+#: Offsets of partitions are broadcast up to so many times 100 bytes, counted as 100 for each row and its key's own.
 FEW = 50_000
 PATH = "array<struct<left:string,right:string>>"
 
@@ -31,6 +31,16 @@ def leaf_of(**changed: Column) -> Column:
     return digest(*[encoded(changed.get(c, F.col(c))) for c in FIELDS])
 
 
+def joined(left: DataFrame, right: DataFrame, on) -> DataFrame:
+    """Inner join of sorted partitions, whatever Spark takes the sizes to be.
+
+    It counts stored paths by their compressed bytes, a join by digest as no
+    larger than the records and exploded children as one row, so it would
+    broadcast far more than its threshold through the driver.
+    """
+    return left.join(right.hint("merge"), on)
+
+
 def with_ranks(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
     """``rows`` with ``rank`` (from 0, by ``order``) inside each key and the
     key's number of rows ``n``, written once.
@@ -45,8 +55,9 @@ def with_ranks(rows: DataFrame, key: str, order: list[str], name: str) -> DataFr
     parts = stage(at.groupBy(key, "part").agg(F.count("*").alias("c"), F.min("at").alias("first")).select(
         key, "part", "first", F.sum("c").over(w).alias("n"),
         F.coalesce(F.sum("c").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")), f"{name}-parts")
-    few = F.broadcast(parts) if parts.count() <= FEW else parts
-    out = stage(at.join(few, [key, "part"]).withColumn("rank", F.col("at") - F.col("first") + F.col("before")).drop("part", "at", "first", "before"), name)
+    on, held = [key, "part"], parts.agg(F.sum(100 + F.octet_length(key).cast("long"))).first()[0] or 0
+    placed = at.join(F.broadcast(parts), on) if held <= 100 * FEW else joined(at, parts, on)
+    out = stage(placed.withColumn("rank", F.col("at") - F.col("first") + F.col("before")).drop("part", "at", "first", "before"), name)
     drop_stage(at)
     drop_stage(parts)
     return out
@@ -108,20 +119,20 @@ def descend(starts: DataFrame, tree: Tree, keep: tuple) -> DataFrame:
     """
     cols = ["key", "rank", "n", "digest", "path", *keep]
     starts = starts.withColumn("rank", F.lit(0).cast("long")).select(*cols)
-    lone = starts.filter("n = 1").drop("n", "digest", "rank").join(tree.nodes.filter("n = 1").select("key", *tree.carry), "key")
+    lone = joined(starts.filter("n = 1").drop("n", "digest", "rank"), tree.nodes.filter("n = 1").select("key", *tree.carry), "key")
     done = [lone.select(*tree.carry, *keep, "path")]
     front = None
     for h in range(len(tree.levels), 0, -1):
         here = starts.filter((F.col("n") > FAN ** (h - 1)) & (F.col("n") <= FAN ** h))
         here = here if front is None else front.unionByName(here)
-        found = here.join(tree.records(h), "digest")
+        found = joined(here, tree.records(h), "digest")
         if h > 1:
             found = found.select("*", F.posexplode("children").alias("pos", "child"))
             front = found.select("key", (F.shiftleft("rank", 4) + F.col("pos")).alias("rank"), "n", F.col("child").alias("digest"),
                                  F.concat("path", F.array(_chosen("children", "pos"))).alias("path"), *keep)
             continue
         asked = tree.levels[0].select("key", "rank", "items")
-        found = found.drop("n", "digest").join(asked, ["key", "rank"]).select("path", "children", *keep, F.posexplode("items").alias("pos", "item"))
+        found = joined(found.drop("n", "digest"), asked, ["key", "rank"]).select("path", "children", *keep, F.posexplode("items").alias("pos", "item"))
         done.append(found.select(*[F.col(f"item.{c}").alias(c) for c in tree.carry], *keep, F.concat("path", F.array(_chosen("children", "pos"))).alias("path")))
     out = done[0]
     for d in done[1:]:

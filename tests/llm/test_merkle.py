@@ -3,6 +3,8 @@
 import hashlib
 import zlib
 
+import pytest
+
 from kairos.llm import merkle as M
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -111,3 +113,41 @@ def test_records_answer_by_digest(spark):
     for h in (1, 2, 3):
         for r in below.records(h).collect():
             assert r.digest == sha("".join(r.children)) and len(r.children) <= 16
+
+
+@pytest.fixture
+def broadcasts(spark, monkeypatch):
+    """The names of the staged tables whose plan has a broadcast, at a threshold of 32 MB."""
+    old, found, stage = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), [], M.stage
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 << 20))
+    monkeypatch.setattr(M, "stage", lambda df, name: (found.extend([name] * ("Broadcast" in plan(df))), stage(df, name))[1])
+    yield found
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_requests_are_not_broadcast(spark, broadcasts):
+    """Requests and records of every level meet without the driver, whatever Spark estimates: one large source, and many of one and two rows."""
+    for source in (lambda i: "s", lambda i: "s%d" % (i * 2 // 3)):
+        rows = [(i, "T%d" % i, "en", source(i), 2) for i in range(600)]
+        out = M.report(spark.createDataFrame(rows, SCHEMA))
+        assert "Broadcast" not in plan(out)
+        out.collect()
+        assert "Broadcast" not in plan(out)
+        check(spark, rows)
+    assert "requests" not in broadcasts
+
+
+def test_offsets_are_broadcast_if_few(spark, broadcasts, monkeypatch):
+    """Offsets of many partitions, or of few with long keys, are joined by shuffle, with the same ranks."""
+    rows = [(i, "T%d" % i, "en", "s%d" % (i % 40), 2) for i in range(400)]
+    check(spark, rows)
+    assert "leaf-ranks" in broadcasts
+    broadcasts.clear()
+    check(spark, [(*r[:3], r[3] * 50_000, r[4]) for r in rows])
+    monkeypatch.setattr(M, "FEW", 0)
+    check(spark, rows)
+    assert "leaf-ranks" not in broadcasts
